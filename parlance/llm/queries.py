@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter
+from . import mixing, quality, sharding, toxicity, url_filter
 from .common import table
+from .learning import fold
 
 #: The rules of the URL query: verdict, host, path.
 URL_RULES = [
@@ -25,6 +26,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,11 +42,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": op2_url_filters,
+        "op3_toxicity": op3_toxicity,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
+        "op9_quality_classifier": op9_quality,
     }
 
 
