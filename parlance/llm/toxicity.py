@@ -22,8 +22,8 @@ from .learning import training_sample
 TRAIN_ROWS = 5000
 #: Lengths of word beginnings that may become entries, and how many entries there may be.
 SHORTEST, LONGEST, MOST_ENTRIES = 4, 12, 5000
-#: Documents that an entry must be seen in, and its least log odds ratio.
-LEAST_SEEN, LEAST_ODDS = 5, 2.5
+#: Documents of class 1 that an entry must be seen in, in number and share, and its least log odds ratio.
+LEAST_SEEN, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 2.5
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "toxic
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     found = (
         spread(sample).mapInPandas(beginnings, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter(F.col("pos") >= LEAST_SEEN).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+        .filter(F.col("pos") >= max(LEAST_SEEN, LEAST_SHARE * pos)).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
         .orderBy(F.desc("pos"), "entry").limit(4 * MOST_ENTRIES).collect()
     )
     lexicon = Lexicon(choose({r.entry: (r.pos, r.odds) for r in found}))
