@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, toxicity, url_filter
+from . import decontamination, mixing, quality, sharding, toxicity, url_filter
 from .common import table
 from .learning import fold
 
@@ -42,6 +42,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("text_key")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
+        "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality,
     }
 
