@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, sharding, toxicity, url_filter
+from . import decontamination, html_text, mixing, quality, sharding, toxicity, url_filter
 from .common import table
 from .learning import fold
 
@@ -22,6 +22,11 @@ URL_RULES = [
 N_SHARDS = 40
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -56,6 +61,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_url_filters": op2_url_filters,
         "op3_toxicity": op3_toxicity,
         "op5_sharding": op5_sharding,
