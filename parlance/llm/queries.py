@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, quality, sharding, toxicity, url_filter
+from . import decontamination, html_text, mixing, nearest, quality, sharding, toxicity, url_filter
 from .common import table
 from .learning import fold
 
@@ -47,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("text_key")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality,
     }
