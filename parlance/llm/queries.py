@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, nearest, quality, sharding, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, mixing, nearest, quality, sharding, toxicity, url_filter
 from .common import table
 from .learning import fold
 
@@ -38,6 +38,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op2_url_filters": op2_url_filters,
         "op3_toxicity": op3_toxicity,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
         "op7_nearest_neighbours": op7_nearest_neighbours,
