@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, mixing, nearest, quality, sharding, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, mixing, nearest, passages, quality, sharding, toxicity, url_filter
 from .common import table
 from .learning import fold
 
@@ -67,6 +67,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
