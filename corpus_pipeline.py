@@ -1,7 +1,64 @@
-"""Placeholder until the stages are in."""
-STAGES = []
+"""From raw documents to shards of a training mix: five stages, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm import decontamination, jaccard_join, mixing, quality, sharding
+from parlance.llm.common import save, small, table
+from parlance.llm.learning import fold
+
+#: Score that a document needs, similarity from which documents form a group, shards.
+LEAST_QUALITY, SIMILAR, N_SHARDS = 0.3, 0.8, 40
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier lets through."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return docs.filter(quality.scorer(model)(F.col("text")) >= LEAST_QUALITY)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return jaccard_join.one_of_each(docs, threshold=SIMILAR)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    gone = save(found.select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_key")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document of the mix."""
+    return sharding.shard(docs, N_SHARDS)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("jaccard_join", keep_distinct),
+    ("decontamination", keep_clean),
+    ("source_mixing", mix_sources),
+    ("sharding", deal_shards),
+]
+
+#: A trained model and texts' word sets decide, which SQL doesn't express; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied in turn to the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, name)
+    return docs

@@ -119,8 +119,8 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
     compared in pairs of blocks, so nothing is left out. Pairs of a bucket are sifted by sketches, then counted exactly
     in the first run in which they meet; only links' numbers and a spanning forest leave a bucket.
 
-    Returns id, class_id (the least id of the class) and n_links (the other rows that the row's text is similar to,
-    copies included). Texts without words, null ones too, are alone in their class with no links. Rows alike count
+    Returns id, class_id (the least id of the class), n_links (the other rows that the row's text is similar to,
+    copies included), is_first (whether id and text are the class's first) and text_key (xxhash64 of the text). Texts without words, null ones too, are alone in their class with no links. Rows alike count
     each. Null ids are least of no class unless all its ids are null. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -221,10 +221,26 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
     classes = components(links.select(F.col("name").alias("a"), F.col("root").alias("b")))
     numbers = links.groupBy("name").agg(F.sum("links").alias("links"))
     named = sets.join(classes.withColumnRenamed("node", "name"), "name", "left").join(numbers, "name", "left")
-    of_root = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(of_root, "root", "left").select(
-        "name", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
-    )
-    out = worded.select("id", "name").join(named, "name").select("id", "class_id", "n_links")
-    alone = members.filter("name is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    of_root = named.filter("root is not null").groupBy("root").agg(F.min(least).alias("first"))
+    named = named.withColumn("own", least).join(of_root, "root", "left").withColumn("first", F.coalesce("first", "own"))
+    named = named.select("name", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
+    out = worded.select("id", "text_key", "name").join(named, "name").select("id", F.col("first.id").alias("class_id"), "n_links", is_first.alias("is_first"), "text_key")
+    alone = members.filter("name is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_first"), "text_key")
     return out.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with its columns, one row of each class of similar texts: that of least id, then of least text hash.
+
+    Of rows alike in id and text one stays. Texts without words stay all.
+    """
+    classes = save(join(docs, id_col=id_col, text_col=text_col, **options), "classes").withColumnRenamed(id_col, "c_id")
+    key = F.col(id_col).eqNullSafe(F.col("c_id")) & F.xxhash64(text_col).eqNullSafe(F.col("text_key"))
+    gone = save(classes.filter(~F.col("is_first")).select("c_id", "text_key").distinct(), "gone")
+    again = save(classes.filter("is_first and n_links > 0").groupBy("c_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    kept = docs.join(small(gone), key, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(small(again), key, "left_anti").unionByName(kept.join(small(again), key, "left_semi").dropDuplicates([id_col, text_col]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +42,37 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], mos
     )
 
 
-def mix(
+@dataclass
+class Mix:
+    """What decides on a row: its source's plan, where the source's sample ends, and the rows at that border that are in."""
+
+    plan: DataFrame
+    border: DataFrame
+    winners: DataFrame
+    seed: int
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """``rows`` has id, source and size, and whatever else it may carry; adds source_size, target and copies.
+
+        The three tables are joined by broadcast as long as they are small, so ``rows`` stay where they are.
+        """
+        out = _ranked(rows.withColumn("u", unit(F.col("id"), seed=self.seed)), self.plan)
+        out = out.join(small(self.border), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        won = small(self.winners.select(*[F.col(c).alias(f"w_{c}") for c in ("source", "id", "size")], F.lit(True).alias("won")))
+        alike = F.col("source").eqNullSafe(F.col("w_source")) & F.col("id").eqNullSafe(F.col("w_id")) & (F.col("size") == F.col("w_size"))
+        out = out.join(won, alike, "left")
+        sampled = F.col("border").isNull() | (F.col("bin") < F.col("border")) | ((F.col("bin") == F.col("border")) & F.col("won").isNotNull())
+        extra = F.when(F.col("rank").isNotNull() & sampled, 1).otherwise(0)
+        return out.withColumn("copies", (F.col("sure") + extra).cast("int")).drop(
+            "u", "weight", "sure", "part", "f", "rank", "bin", "border", "start", "w_source", "w_id", "w_size", "won"
+        )
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plan_mix(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -50,27 +82,17 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     most: float = 2.0,
     seed: int = SEED,
-) -> DataFrame:
-    """How many words of every row the mix takes, repeats counted.
+) -> Mix:
+    """Targets of the sources and the borders of their samples.
 
     A source whose target is c whole times its size and a fraction f of it takes each row c times for certain, and a
     sample besides: rows ranked by Pareto order, u / (1 - u) over f / (1 - f) with u fixed by seed and id, and taken
     up to the fraction's words; the row at the border is in if that comes nearer. ``f`` differs by source, so the
-    inclusion odds do. No row is taken in part, so a source misses its target by half a row's size at most.
-
-    Returns id, source, size, source_size, target, copies, taken. Null texts and empty ones have size 0; a null
-    source is a source of its own; rows with equal ids share u and follow each other by size. An empty table gives
-    no rows. Reruns agree, as nothing depends on the partitioning. Other columns are not read.
+    inclusion odds do. No row is taken in part, so a source misses its target by half a row's size at most; rows alike
+    in source, id and size are in or out together.
     """
-    rows = save(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            unit(F.col(id_col), seed=seed).alias("u"),
-        ),
-        "rows",
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = save(rows.withColumn("u", unit(F.col("id"), seed=seed)), "rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = save(
@@ -80,36 +102,51 @@ def mix(
         .withColumn("f", F.when(F.col("source_size") > 0, F.col("part") / F.col("source_size")).otherwise(0.0)),
         "plan",
     )
-    keyed = rows.join(small(plan).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-    keyed = keyed.withColumn("rank", F.when(F.col("f") > 0, odds)).withColumn("bin", pareto_bin())
+    keyed = _ranked(rows, plan)
     # Of each source, the bin whose words reach over the fraction's: at most BINS rows a source go in.
     binned = keyed.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("part").alias("part"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
     border = save(
-        binned.withColumn("end", upto)
+        binned.filter("bin is not null")
+        .withColumn("end", upto)
         .withColumn("start", F.col("end") - F.col("words"))
         .filter((F.col("start") <= F.col("part")) & (F.col("end") > F.col("part")))
         .select(F.col("source").alias("s"), F.col("bin").alias("border"), "start"),
         "border",
     )
-    keyed = keyed.join(small(border), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    inside = F.col("rank").isNotNull() & (F.col("border").isNull() | (F.col("bin") < F.col("border")))
-    at = F.col("rank").isNotNull() & (F.col("bin") == F.col("border"))
-    clear = keyed.filter(~F.coalesce(at, F.lit(False))).withColumn("extra", F.when(inside, 1).otherwise(0))
+    at = keyed.join(small(border), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("border")))
+    alike = at.groupBy("source", "rank", "id", "size", "part", "start").agg((F.count("*") * F.col("size")).alias("words"))
     w = W.partitionBy("source").orderBy("rank", F.col("id").isNull(), "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    ahead = F.col("start") + F.coalesce(F.sum("size").over(w), F.lit(0))
-    close = keyed.filter(at).withColumn("extra", F.when(2 * ahead + F.col("size") <= 2 * F.col("part"), 1).otherwise(0))
-    out = clear.unionByName(close).withColumn("copies", (F.col("sure") + F.col("extra")).cast("long"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-    )
+    ahead = F.col("start") + F.coalesce(F.sum("words").over(w), F.lit(0))
+    winners = save(alike.withColumn("ahead", ahead).filter(2 * F.col("ahead") + F.col("words") <= 2 * F.col("part")).select("source", "id", "size"), "winners")
+    return Mix(plan, border, winners, seed)
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """How many words of every row the mix takes, repeats counted; see ``plan_mix`` for the options.
+
+    Returns id, source, size, source_size, target, copies, taken. Null texts and empty ones have size 0; a null
+    source is a source of its own; rows with equal ids share u and follow each other by size. An empty table gives
+    no rows. Reruns agree, as nothing depends on the partitioning. Other columns are not read.
+    """
+    made = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    out = made.decide(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    out = out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix: each row of ``docs``, with its columns, as many times as the mix takes it."""
+    made = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    row = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct("*").alias("row"))
+    return made.decide(row).select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select("row.*")
+
+
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds the plan of each row's source, the row's Pareto rank in its sample, null where there is none, and its bin."""
+    out = rows.join(small(plan).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+    return out.withColumn("rank", F.when(F.col("f") > 0, odds)).withColumn("bin", pareto_bin())
 
 
 def pareto_bin() -> Column:

@@ -151,17 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "quali
     return model
 
 
+def scorer(model: FactorisationMachine):
+    """A function of a text column that gives the score column; null texts score as empty ones."""
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(list(text)))
+
+    return scored
+
+
 def score(docs: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of every row.
 
     A null text scores as the empty one, which has statistics but no words. Repeated rows score alike, texts are read
     whole, an empty table gives no rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": model.score(list(batch["text"]))})
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(id_col, scorer(model)(F.col(text_col)).alias("score"))

@@ -39,7 +39,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
