@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 FENCE = "```"
 #: Words that stand for true and for false in settings.
-TRUE_WORDS = ("1", "true", "yes", "y", "on")
-FALSE_WORDS = ("0", "false", "no", "n", "off")
+TRUE_WORDS = ("1", "true", "yes", "on")
+FALSE_WORDS = ("0", "false", "no", "off", "")
 
 
 def collapse(x: Column) -> Column:
