@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from parlance.functions.text import strip
 
 SCHEMA = "variant string, topic string, pos int, question string"
-#: Variants of the languages that have one by default.
-DEFAULT_VARIANTS = {"ar": "msa", "en": "english", "fr": "french"}
+#: Variants of the languages that have one by default, names that tell a variant, keys that are no topic.
+DEFAULT_VARIANTS = {"ar": "msa", "en": "english", "fr": "france"}
+VARIANT_NAMES = ("english", "france", "msa", "morocco", "egypt", "gulf", "levantine", "saudi", "ar", "en", "fr", "arabic", "french")
+META_KEYS = ("version", "aliases", "defaults", "variants", "topics", "final_fallback", "default_variant_by_target_language")
 
 
 def is_topic_first(payload: dict) -> bool:
-    """Whether a mapping goes from topics to variants, not the other way round: all values are mappings with a list each,
-    and under half of the keys look like names of variants."""
-    if not payload or any(k in payload for k in ("variants", "aliases", "defaults")):
+    """Whether a mapping goes from topics to variants, not the other way round: no key is known as metadata, under half
+    of the keys are known names of variants, and every value is a mapping that holds a list."""
+    names = [str(k).strip().lower() for k in payload]
+    if not any(names) or set(names) & set(META_KEYS):
         return False
-    if not all(isinstance(v, dict) and any(isinstance(x, list) for x in v.values()) for v in payload.values()):
-        return False
-    inner = {k for v in payload.values() for k in v}
-    return sum(k in inner or k in DEFAULT_VARIANTS.values() for k in payload) < 0.5 * len(payload)
+    nested = all(isinstance(v, dict) and any(isinstance(x, list) for x in v.values()) for v in payload.values())
+    return nested and sum(n in VARIANT_NAMES for n in names) < 0.5 * sum(map(bool, names))
 
 
 def seed_table(spark: SparkSession, payload: dict) -> DataFrame:

@@ -60,8 +60,8 @@ def non_blank_counts(df: DataFrame, value: str) -> DataFrame:
 
 
 def score_bucket(score: Column) -> Column:
-    """Scores rounded half to even and held in 0 to 10."""
-    return F.least(F.lit(10), F.greatest(F.lit(0), F.bround(score.cast("double")).cast("int")))
+    """Scores rounded half to even and held in 0 to 10; null stays null."""
+    return F.when(score.isNotNull(), F.least(F.lit(10), F.greatest(F.lit(0), F.bround(score.cast("double")).cast("int"))))
 
 
 def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
