@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parlance.functions.text import strip
 
@@ -75,7 +76,7 @@ def rerank(results: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series
                 found = -batch["rank"].astype(float)
             yield batch.assign(rerank_score=found)
 
-    schema = results.schema.add("rerank_score", "double")
+    schema = StructType([*results.schema.fields]).add("rerank_score", "double")
     order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     ranked = results.mapInPandas(scored, schema).withColumn("new_rank", F.row_number().over(order))
     return ranked.filter(F.col("new_rank") <= k).drop("rank").withColumnRenamed("new_rank", "rank")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEFAULTS = {"title": "No title", "link": "No link", "snippet": "No snippet provided."}
 RESULTS = "query string, results array<struct<title:string,link:string,snippet:string>>"
@@ -69,7 +70,7 @@ def complete(rows: DataFrame, call: Callable[[dict], str], parse: Callable[[str]
     ``call`` gets the row as a mapping with ``repair`` set to the broken answer on a retry. An answer that never
     parses gives a null reply.
     """
-    schema = rows.schema.add("reply", "string").add("attempts", "int")
+    schema = StructType([*rows.schema.fields]).add("reply", "string").add("attempts", "int")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

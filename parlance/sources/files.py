@@ -24,7 +24,7 @@ def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     suffix = F.concat(F.lit("."), F.lower(F.element_at(F.split("path", r"\."), -1)))
     rows = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(*SUFFIXES))
-    plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     texts = rows.filter("suffix <> '.pdf'").select("path", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), strip(plain).alias("text"))
     pdfs = rows.filter("suffix = '.pdf'").select("path", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     return texts.unionByName(pdf_text(pdfs))
