@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of sorted rows cut where a group ends, each with the bounds of its groups.
+
+    For many small groups this spares the call for each one; the rows must be dealt and sorted by ``keys``.
+    """
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        starts = _starts(batch, keys)
+        rest = batch.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield batch.iloc[: starts[-1]], starts
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
+def _starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(batch), dtype=bool)
+    new[0] = True
+    for k in keys:
+        values = batch[k].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows over the session's shuffle partitions by ``keys`` before heavy work on each row."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

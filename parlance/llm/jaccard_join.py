@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import save, small, whole_groups
 from .components import components
 from .shingles import WordHashes, hashed, mix, shingle_set, words_of
 
@@ -28,25 +28,25 @@ def runs_needed(threshold: float, recall: float = RECALL, depth: int = DEPTH) ->
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
+#: Odd multipliers, one for each hash function: multiplication by an odd number permutes the 64-bit numbers.
+FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     """The least of the shingles' hashes under each of SKETCH hash functions."""
-    seeds = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     out = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(shingles), 4096):
-        part = shingles[k : k + 4096, None] * seeds[None, :]
-        out = np.minimum(out, (part ^ (part >> np.uint64(32))).min(axis=0))
+    for k in range(0, len(shingles), 1024):
+        np.minimum(out, (shingles[k : k + 1024, None] * FACTORS).min(axis=0), out=out)
     return out
 
 
-def paths(sketch: np.ndarray, runs: int) -> list[int]:
+def paths(sketch: np.ndarray, runs: int) -> np.ndarray:
     """Of each run, the paths to each level: a path is told by the sampled shingles that were chosen on the way."""
-    out = []
-    for run in range(runs):
-        value = np.array([run + 1], dtype=np.uint64)
-        for level in range(DEPTH):
-            value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sketch[(run * DEPTH + level) % SKETCH : (run * DEPTH + level) % SKETCH + 1])
-            out.append(int(value.view(np.int64)[0]))
-    return out
+    chosen = sketch[: runs * DEPTH].reshape(runs, DEPTH)
+    value, out = np.arange(1, runs + 1, dtype=np.uint64), np.empty((runs, DEPTH), dtype=np.uint64)
+    for level in range(DEPTH):
+        value = out[:, level] = mix(value * np.uint64(0x9E3779B97F4A7C15) + chosen[:, level])
+    return out.view(np.int64).ravel()
 
 
 def owned_pairs(sketch: np.ndarray, leaves: np.ndarray, sizes: np.ndarray, run: int, side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +58,12 @@ def owned_pairs(sketch: np.ndarray, leaves: np.ndarray, sizes: np.ndarray, run:
     n = len(sketch)
     for at in range(0, n, 512):
         strip = slice(at, min(n, at + 512))
-        same = np.zeros((strip.stop - at, n), dtype=np.uint8)
-        for k in range(SKETCH):
-            same += sketch[strip, k][:, None] == sketch[None, :, k]
+        if n <= 32:
+            same = (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2)
+        else:
+            same = np.zeros((strip.stop - at, n), dtype=np.uint8)
+            for k in range(SKETCH):
+                same += sketch[strip, k][:, None] == sketch[None, :, k]
         a, b = np.nonzero(same >= SIFT * SKETCH)
         a += at
         ok = (a < b) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]))
@@ -139,7 +142,7 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
                 shingles = shingle_set(hashed(words, hashes))
                 sketch = minhashes(shingles)
                 name = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
-                out.append((name, len(shingles), sketch.astype(np.uint32).tobytes(), paths(sketch, runs)))
+                out.append((name, len(shingles), (sketch >> np.uint64(32)).astype(np.uint32).tobytes(), paths(sketch, runs)))
             made = pd.DataFrame(out, columns=["name", "size", "sketch", "paths"])
             yield pd.concat([batch[["id", "text_key"]].reset_index(drop=True), made], axis=1)
 
@@ -179,20 +182,30 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
         "block", "name", "sketch", "size", "copies", "by_run",
     )
 
-    def pairs_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        first = group.iloc[0]
-        return owned_pairs(
-            np.stack([np.frombuffer(s, dtype=np.uint32) for s in group["sketch"]]), np.array(group["by_run"].tolist(), dtype=np.int64),
-            group["size"].to_numpy(), int(first["run"]), group["block"].to_numpy(), first["low"] != first["high"], threshold,
-        )
-
-    def sifted(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_of(group) if len(group) > 1 else ((), ())
-        stay = np.unique(np.concatenate([a, b])).astype(int) if len(a) else []
-        return group.iloc[stay]
-
     bucket = ["leaf", "low", "high"]
-    held = save(dealt.groupBy(*bucket).applyInPandas(sifted, dealt.schema), "held")
+
+    def pairs_in(rows: pd.DataFrame, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Of each bucket in the rows that has pairs: its bounds and the pairs, counted from its start."""
+        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint32).reshape(len(rows), SKETCH)
+        by_run = np.array(rows["by_run"].tolist(), dtype=np.int64).reshape(len(rows), runs)
+        sizes, block, run = (rows[c].to_numpy() for c in ("size", "block", "run"))
+        cross = (rows["low"] != rows["high"]).to_numpy()
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            a, b = owned_pairs(sketch[lo:hi], by_run[lo:hi], sizes[lo:hi], int(run[lo]), block[lo:hi], bool(cross[lo]), threshold)
+            if len(a):
+                yield lo, hi, a, b
+
+    def sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in whole_groups(batches, bucket):
+            stay = np.zeros(len(rows), dtype=bool)
+            for lo, _, a, b in pairs_in(rows, bounds):
+                stay[lo + a] = stay[lo + b] = True
+            yield rows[stay]
+
+    sorted_buckets = lambda df: df.repartition(*bucket).sortWithinPartitions(*bucket)
+    held = save(sorted_buckets(dealt).mapInPandas(sifted, dealt.schema), "held")
     # Texts of the sets that are left: looked up by id and hash, one row for each.
     wanted = save(held.select("name").distinct().join(sets.select("name", F.col("id").alias("want_id"), F.col("text_key").alias("want_key")), "name"), "wanted")
     side = small(wanted, 100_000)
@@ -205,19 +218,21 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
 
     full = save(texts.mapInPandas(shingled, "name binary, shingles binary"), "shingles")
 
-    def linked(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_of(group)
-        if len(a):
-            ok = similar([np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]], a, b, threshold)
-            a, b = a[ok], b[ok]
-        n, copies, names = len(group), group["copies"].to_numpy(), group["name"].to_numpy()
-        links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        root = roots(n, a, b)
-        return pd.DataFrame({"name": names, "root": names[root], "links": links})[links > 0]
-
-    links = save(held.join(full, "name").groupBy(*bucket).applyInPandas(linked, "name binary, root binary, links long"), "links")
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in whole_groups(batches, bucket):
+            name, copies, shingles = (rows[c].to_numpy() for c in ("name", "copies", "shingles"))
+            out = []
+            for lo, hi, a, b in pairs_in(rows, bounds):
+                ok = similar([np.frombuffer(s, dtype=np.uint64) for s in shingles[lo:hi]], a, b, threshold)
+                a, b = a[ok], b[ok]
+                links = np.zeros(hi - lo, dtype=np.int64)
+                np.add.at(links, a, copies[lo:hi][b])
+                np.add.at(links, b, copies[lo:hi][a])
+                root = roots(hi - lo, a, b)
+                out += [(name[lo + k], name[lo + root[k]], int(links[k])) for k in np.flatnonzero(links)]
+            yield pd.DataFrame(out, columns=["name", "root", "links"])
+
+    links = save(sorted_buckets(held.join(full, "name")).mapInPandas(linked, "name binary, root binary, links long"), "links")
     classes = components(links.select(F.col("name").alias("a"), F.col("root").alias("b")))
     numbers = links.groupBy("name").agg(F.sum("links").alias("links"))
     named = sets.join(classes.withColumnRenamed("node", "name"), "name", "left").join(numbers, "name", "left")
@@ -236,10 +251,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows alike in id and text one stays. Texts without words stay all.
     """
-    classes = save(join(docs, id_col=id_col, text_col=text_col, **options), "classes").withColumnRenamed(id_col, "c_id")
-    key = F.col(id_col).eqNullSafe(F.col("c_id")) & F.xxhash64(text_col).eqNullSafe(F.col("text_key"))
-    gone = save(classes.filter(~F.col("is_first")).select("c_id", "text_key").distinct(), "gone")
-    again = save(classes.filter("is_first and n_links > 0").groupBy("c_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    classes = save(join(docs, id_col=id_col, text_col=text_col, **options), "classes").withColumnRenamed(id_col, "_class_id").withColumnRenamed("text_key", "_class_key")
+    key = F.col(id_col).eqNullSafe(F.col("_class_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_class_key"))
+    gone = save(classes.filter(~F.col("is_first")).select("_class_id", "_class_key").distinct(), "gone")
+    again = save(classes.filter("is_first and n_links > 0").groupBy("_class_id", "_class_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
     kept = docs.join(small(gone), key, "left_anti")
     if not again.limit(1).count():
         return kept
