@@ -28,8 +28,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = save(found.select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_key")), "left_anti")
+    gone = save(found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

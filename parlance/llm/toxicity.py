@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "toxic
                 words = set(WORD.findall(fold_text(text)))
                 seen[y].update({w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)})
             keys = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"entry": keys, "pos": [seen[1][k] for k in keys], "neg": [seen[0][k] for k in keys]})
+            yield pd.DataFrame({"entry": pd.Series(keys, dtype=object), "pos": [seen[1][k] for k in keys], "neg": [seen[0][k] for k in keys]})
 
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     found = (
