@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from parlance.functions.text import strip
 
-TOP_K, CANDIDATES = 4, 12
+TOP_K, CANDIDATES, MOST_QUERIES = 4, 12, 10_000
 EMPTY = "No relevant passages found in the knowledge base."
 
 
@@ -24,9 +24,12 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, *, digits: int | None = None) -> DataFrame:
     """The k chunks of largest inner product with each query: query_id, rank, id, score and the chunks' other columns.
 
-    ``queries`` has query_id and q (a stated, small set, broadcast); ``chunks`` has id and v. Every task keeps its own
-    best k of each query before the shuffle (a window with a limit), so k rows a task and query move.
+    ``queries`` has query_id and q, a stated set of at most MOST_QUERIES, which is broadcast; ``chunks`` has id and v.
+    Every task keeps its own best k of each query before the shuffle (a window with a limit), so k rows a task and
+    query move.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"over {MOST_QUERIES} queries; put them in blocks")
     scores = dot(F.col("q"), F.col("v"))
     scored = chunks.join(F.broadcast(queries.select("query_id", "q"))).withColumn("score", F.round(scores, digits) if digits is not None else scores)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -76,9 +76,13 @@ def seed_question(seeds: DataFrame, ledger: DataFrame, slots: DataFrame, *, seed
     used = ledger.filter("seed_topic <> ''").groupBy(F.col("seed_topic").alias("topic")).agg(F.count("*").alias("used"))
     eligible = left.join(used, "topic", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     eligible = eligible.withColumn("least", F.min("used").over(W.partitionBy())).filter("used = least").drop("used", "least")
-    asks = slots.filter(uniform(F.col("slot"), seed=f"{seed}-p") <= probability)
-    order = W.partitionBy("slot").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("slot").cast("string"), "seed_question_hash")), "question")
-    return asks.join(F.broadcast(eligible)).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    # Eligible questions are numbered in an order fixed by the seed; each slot's draw picks a number.
+    every = W.partitionBy()
+    numbered = eligible.withColumn("place", F.row_number().over(every.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "seed_question_hash")), "topic", "question")) - 1)
+    n = eligible.agg(F.count("*").alias("n"))
+    asks = slots.filter(uniform(F.col("slot"), seed=f"{seed}-p") <= probability).join(F.broadcast(n))
+    asks = asks.withColumn("place", F.floor(uniform(F.col("slot"), seed=f"{seed}-q") * F.col("n")).cast("int"))
+    return asks.join(numbered, "place").drop("place", "n")
 
 
 def snippets(tries: list[DataFrame], n: int = 6) -> DataFrame:

@@ -8,7 +8,6 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions.text import better_text, is_object, strict_variant, strip
@@ -75,9 +74,12 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of append-only files with their order as ``seq``: by file name, then place in the file."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    return lines.withColumn("seq", F.row_number().over(W.partitionBy().orderBy("file", "at")).cast("long")).select("seq", "value")
+    """Lines of append-only files with their order as ``seq``: file, start of the stretch read, line of that stretch.
+
+    The order needs no pass over all lines and no number that all of them share.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return lines.select(F.struct("file_path", "file_block_start", "line").alias("seq"), "value")
 
 
 def load_mapping(path: str) -> dict:

@@ -77,6 +77,14 @@ def test_personas_are_used_equally(spark):
     assert sampling.assign_personas(spark.range(2).withColumnRenamed("id", "slot"), personas.filter("false")).filter("persona_id is null").count() == 2
 
 
+def test_seed_questions_are_fresh_and_least_used(spark):
+    table = spark.createDataFrame([("t", "q1"), ("t", "q2"), ("u", "q3"), ("u", "q4")], "topic string, question string")
+    ledger = spark.createDataFrame([("t", "q1")], "seed_topic string, question string").withColumn("seed_question_hash", dedup.question_hash(F.col("question")))
+    rows = sampling.seed_question(table, ledger, spark.range(20).withColumnRenamed("id", "slot")).collect()
+    assert len(rows) == 20 and {r.question for r in rows} == {"q3", "q4"}
+    assert sampling.seed_question(table, ledger, spark.range(5).withColumnRenamed("id", "slot"), probability=-1.0).count() == 0
+
+
 def test_turn_counts_stay_in_bounds(spark):
     df = spark.range(500).withColumn("u", F.col("id") / 500)
     for kind in ("uniform", "poisson", "exponential"):
@@ -152,6 +160,8 @@ def test_sources(spark, tmp_path):
     lines.mkdir()
     (lines / "a.jsonl").write_text('{"a":1}\n\nbad\n[1]\n{"b":2}\n')
     assert files.json_lines(spark, str(lines)).count() == 2 and files.line_count(spark, str(lines)) == 5
+    tail = coverage.ledger_tail(files.numbered_lines(spark, str(lines)), 3).orderBy("seq").collect()
+    assert [r.value for r in tail] == ["bad", "[1]", '{"b":2}']
     found = adapters.web_search(spark.createDataFrame([("q",)], "query string"), lambda q, n: [{"title": "t"}] * 9, num_results=2).first()
     assert len(found.results) == 2 and found.results[0].link == "No link"
     vectors = adapters.embed(spark.createDataFrame([("a b",), (None,)], "text string"), adapters.hashing_embedder(8)).collect()
