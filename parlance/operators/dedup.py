@@ -14,19 +14,20 @@ from parlance.functions.text import normalize_question, question_hash
 def first_wins(batch: DataFrame, seen: DataFrame | None = None, *, question: str = "question", order: str = "conversation_index") -> DataFrame:
     """Rows of ``batch`` with the outcome: accepted, blank, in_run (asked before) or in_batch (an earlier row asks it).
 
-    ``seen`` has a column of the same name as ``question``. Equality is on the normal form. The first row of a form
-    that several rows share wins, by ``order``. The mark of what was seen comes with a left join on the form, and the
-    rank within the batch with one window over it, so both share a partitioning.
+    ``seen`` has a column of the same name as ``question``. Equality is on the normal form, told by its MD5, question_key,
+    so texts move only if the caller asks for them. The first row of a form that several rows share wins, by ``order``.
+    What was seen is marked by a left join on the key and the rank taken in one window over it: one partitioning for both.
     """
-    form = F.coalesce(normalize_question(F.col(question)), F.lit(""))
-    rows = batch.withColumn("normalized", form)
+    key = F.md5(F.coalesce(normalize_question(F.col(question)), F.lit("")))
+    rows = batch.withColumn("question_key", key)
     if seen is not None:
-        known = seen.select(normalize_question(F.col(question)).alias("normalized")).distinct().withColumn("known", F.lit(True))
-        rows = rows.join(known, "normalized", "left")
+        known = seen.select(key.alias("question_key")).distinct().withColumn("known", F.lit(True))
+        rows = rows.join(known, "question_key", "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("boolean"))
-    turn = F.row_number().over(W.partitionBy("normalized").orderBy(F.col(order)))
-    outcome = F.when(F.col("normalized") == "", "blank").when(F.col("known"), "in_run").when(turn > 1, "in_batch").otherwise("accepted")
+    turn = F.row_number().over(W.partitionBy("question_key").orderBy(F.col(order)))
+    blank = F.col("question_key") == F.md5(F.lit(""))
+    outcome = F.when(blank, "blank").when(F.col("known"), "in_run").when(turn > 1, "in_batch").otherwise("accepted")
     return rows.withColumn("outcome", outcome).drop("known")
 
 
@@ -64,7 +65,7 @@ def commit_with_retries(
         good = judged.filter("outcome = 'accepted'")
         if lenient and attempt == retries:
             good = judged.filter("outcome <> 'blank'")
-        good = good.drop("outcome", "normalized")
+        good = good.drop("outcome", "question_key")
         taken = good if taken is None else taken.unionByName(good)
         seen = seen.select("question").unionByName(good.select("question"))
         waiting = waiting.join(good.select("conversation_index"), "conversation_index", "left_anti")

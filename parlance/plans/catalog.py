@@ -171,12 +171,12 @@ def chat_record_shape(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, normalized, outcome FROM (SELECT doc_id, md5({norm_sql('text')}) AS normalized,
+    f"""SELECT doc_id, normalized, outcome FROM (SELECT doc_id, md5(coalesce({norm_sql('text')}, '')) AS normalized,
     CASE WHEN coalesce({norm_sql('text')}, '') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY {norm_sql('text')} ORDER BY doc_id) > 1 THEN 'in_batch' ELSE 'accepted' END AS outcome FROM documents)"""
 )
 def normalized_dedup_first_wins(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("question"))
-    return dedup.first_wins(docs, order="doc_id").select("doc_id", F.md5("normalized").alias("normalized"), "outcome")
+    return dedup.first_wins(docs, order="doc_id").select("doc_id", F.col("question_key").alias("normalized"), "outcome")
 
 
 @query(
