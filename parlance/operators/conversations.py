@@ -168,6 +168,19 @@ def evidence(turns: Column, cap: int = EVIDENCE_CAP) -> Column:
     return F.slice(F.concat(facts, traced), 1, cap)
 
 
+def prior_turns(turns: DataFrame, *columns: str) -> DataFrame:
+    """Each turn with the turns before it, in order, as an array ``prior``: what a judge of that turn may see."""
+    w = W.partitionBy("conv_id").orderBy("turn_index").rowsBetween(W.unboundedPreceding, -1)
+    return turns.withColumn("prior", F.collect_list(F.struct("turn_index", *columns)).over(w))
+
+
+def emits_judged(conversation_judge: Column, judge_enabled: Column, turn_judges: Column) -> Column:
+    """Whether a judged record is due: a conversation's verdict, judging switched on, or some turn's verdict; verdicts that
+    only note that judging is disabled don't count. Verdicts are structs with notes, null where there is none."""
+    real = lambda j: j.isNotNull() & (F.coalesce(j["notes"], F.lit("")) != "disabled")
+    return real(conversation_judge) | F.coalesce(judge_enabled, F.lit(False)) | F.coalesce(F.exists(turn_judges, real), F.lit(False))
+
+
 def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Logical column names as configured; unknown names are ignored, a blank one keeps the default."""
     wanted = {ALIASES.get(k, k): v.strip() for k, v in names.items() if v and v.strip()}

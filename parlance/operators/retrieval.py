@@ -94,7 +94,7 @@ def render(results: DataFrame) -> DataFrame:
 
 
 def sample(chunks: DataFrame, n: int, *, seed: int = 0, sources: DataFrame | None = None) -> DataFrame:
-    """``n`` chunks without replacement, of given sources or of all: those of least hash of seed and id."""
+    """``n`` chunks without replacement, of given sources or of all: those of least MD5 of seed and id."""
     if sources is not None:
         chunks = chunks.join(F.broadcast(sources.select("source").distinct()), "source", "left_semi")
-    return chunks.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    return chunks.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(n)

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import canonical, chunking, conversations, coverage, dedup, retrieval, sampling, stats
+from parlance.operators import canonical, chunking, conversations, coverage, dedup, retrieval, sampling, seeds, stats
+from parlance.plans import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,3 +494,104 @@ def orders_rollup(spark, d):
     joined = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = joined.join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.rollup("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+DIFFICULTY = """CASE WHEN length("user") > 400 THEN 'hard' WHEN length("user") > 150 THEN 'medium' WHEN length("user") > 40 THEN 'easy' ELSE '' END"""
+
+
+@query(
+    f"""SELECT conv_id, coalesce(string_agg(d, ',' ORDER BY turn_index) FILTER (d <> ''), '') AS difficulties,
+    CASE WHEN bool_or(d = 'hard') THEN 'hard' WHEN bool_or(d = 'medium') THEN 'medium' WHEN bool_or(d = 'easy') THEN 'easy' ELSE '' END AS difficulty_max
+    FROM (SELECT conv_id, turn_index, {DIFFICULTY} AS d FROM ({PAIRED})) GROUP BY conv_id"""
+)
+def sft_metadata(spark, d):
+    level = F.expr(DIFFICULTY.replace('"user"', "`user`"))
+    turn = F.struct("turn_index", level.alias("difficulty"), *[F.lit("").alias(n) for n in ("intent", "coverage_target", "question_mode", "seed_topic")])
+    nested = paired_turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    meta = nested.select("conv_id", conversations.sft_metadata(F.col("turns")).alias("m"))
+    return meta.select("conv_id", F.array_join("m.difficulty_sequence", ",").alias("difficulties"), F.col("m.difficulty_max").alias("difficulty_max"))
+
+
+@query(
+    f"""SELECT conv_id, turn_index, (count(*) OVER w)::INT AS n_prior, coalesce(sum(length("user")) OVER w, 0)::BIGINT AS prior_chars
+    FROM ({PAIRED}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def judge_history(spark, d):
+    rows = conversations.prior_turns(paired_turns(spark, d).select("conv_id", "turn_index", F.length("user").alias("n")), "n")
+    chars = F.aggregate("prior", F.lit(0).cast("long"), lambda a, t: a + t["n"])
+    return rows.select("conv_id", "turn_index", F.size("prior").alias("n_prior"), chars.alias("prior_chars"))
+
+
+@query(
+    """SELECT doc_id, quality = 1 OR toxic = 1 AS emitted FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)"""
+)
+def judged_records(spark, d):
+    rows = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    verdict = F.struct(F.when(F.col("quality") == 1, "fine").otherwise("disabled").alias("notes"))
+    turns = F.array(F.when(F.col("toxic") == 1, F.struct(F.lit("bad").alias("notes"))))
+    return rows.select("doc_id", conversations.emits_judged(verdict, F.lit(False), turns).alias("emitted"))
+
+
+@query(f"SELECT conv_id::INT AS conversation_index, format('run-{{:04d}}', conv_id) AS conversation_id, coalesce(n_turns, 1)::INT AS target_n_turns, 'active' AS status FROM ({TURNS})")
+def run_slots(spark, d):
+    targets = stats.turn_counts(read(spark, d, "conversations"))
+    targets = targets.select(F.col("conv_id").cast("int").alias("conversation_index"), F.col("n_turns").cast("string").alias("target_n_turns"))
+    return state.init_slots(spark, "run", targets).select("conversation_index", "conversation_id", "target_n_turns", "status")
+
+
+@query(f"SELECT conv_id::INT AS conversation_index FROM ({TURNS}) WHERE coalesce(n_turns, 1) > 2 AND conv_id % 7 <> 0")
+def active_slots(spark, d):
+    slots = run_slots(spark, d).withColumns({"n_turns": F.lit(2), "drop_reason": F.lit("")})
+    slots = slots.withColumn("status", F.when(F.col("conversation_index") % 7 == 0, "dropped").otherwise(F.col("status")))
+    return state.active_for(slots, 3).select("conversation_index")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label IN (1, 2, 3) ORDER BY md5('5:' || vec_id), vec_id LIMIT 8")
+def sample_by_source(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source"))
+    return retrieval.sample(rows, 8, seed=5, sources=spark.createDataFrame([("1",), ("2",), ("3",)], "source string")).select("id")
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source NOT IN ('src1', 'src2')")
+def avoid_sources(spark, d):
+    some = lambda *names: spark.createDataFrame([(n,) for n in names], "source string")
+    return retrieval.effective_preference(read(spark, d, "documents").select("source"), some("src1"), some("src1", "src2"))
+
+
+@query(
+    """SELECT lang AS variant, source AS topic, string_agg(q, '|' ORDER BY doc_id) AS questions FROM (
+    SELECT doc_id, lang, source, trim(split_part(text, ' ', 1)) AS q FROM documents) WHERE q <> '' GROUP BY lang, source"""
+)
+def seed_pivot(spark, d):
+    rows = read(spark, d, "documents").select(F.col("lang").alias("variant"), F.col("source").alias("topic"), F.col("doc_id").alias("pos"), F.trim(F.split_part("text", F.lit(" "), F.lit(1))).alias("question"))
+    wide = seeds.pivot(rows.filter("question <> ''"))
+    return wide.select("variant", F.explode("topics").alias("topic", "questions")).withColumn("questions", F.array_join("questions", "|"))
+
+
+@query("SELECT event_id, event_type AS question, event_type || '||3' AS thinking, 'k' || user_id AS known_limits, 'w' AS web_search, 0 AS n_evidence FROM events")
+def canonical_trace(spark, d):
+    raw = F.format_string(
+        '{"assistant_reasoning":[{"turn_index":1,"reasoning_trace":{"question":"%s","thinking":[{"note":"%s"},null,3],'
+        '"known_limits":[null,"","k%d"],"retrieval_queries":{"web_search":["w",null]}}}]}',
+        "event_type", "event_type", "user_id",
+    )
+    rows = canonical.sanitize(read(spark, d, "events").select("event_id", raw.alias("value")))
+    trace = rows.select("event_id", F.col("assistant_reasoning")[0]["reasoning_trace"].alias("t"))
+    return trace.select(
+        "event_id", "t.question", F.array_join(F.transform("t.thinking", lambda x: x["text"]), "|").alias("thinking"), F.array_join("t.known_limits", "|").alias("known_limits"),
+        F.array_join("t.retrieval_queries.web_search", "|").alias("web_search"), F.size("t.evidence").alias("n_evidence"),
+    )
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn_index, "user", assistant, (coalesce(sum(turn_index % 3) OVER (PARTITION BY conv_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS before FROM ({PAIRED}))
+    SELECT conv_id, turn_index, role, tool_call_id FROM (
+      SELECT conv_id, turn_index, 'user' AS role, NULL AS tool_call_id FROM t WHERE "user" <> ''
+      UNION ALL SELECT conv_id, turn_index, 'assistant', NULL FROM t WHERE turn_index % 3 > 0
+      UNION ALL SELECT conv_id, turn_index, 'tool', 'call_' || (before + k) FROM t, range(2) r(k) WHERE k < turn_index % 3
+      UNION ALL SELECT conv_id, turn_index, 'assistant', NULL FROM t WHERE assistant <> '')"""
+)
+def tool_messages(spark, d):
+    event = F.struct(F.lit("").alias("id"), F.lit("search").alias("name"), F.lit("{}").alias("arguments"), F.lit("found").alias("result"))
+    turns = paired_turns(spark, d).withColumn("tool_events", F.array_repeat(event, F.col("turn_index") % 3))
+    return conversations.messages_with_tools(turns).select("conv_id", "turn_index", "role", "tool_call_id")
