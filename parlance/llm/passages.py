@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small
@@ -20,6 +20,8 @@ PASSAGE, IDENTITY = 50, 0.8
 GAP = 0.1
 #: Words between the seeds of a chain's ends, at least, for it to be aligned.
 REACH = 24
+#: Words between two neighbouring shared seeds, at most, for them to make a pair.
+NEAR = 30
 #: A mismatch costs so much, a match gains one, and an end is drawn no further once it has lost DROP.
 MISMATCH, DROP = 2, 8
 
@@ -172,6 +174,38 @@ def align(a: list[int], b: list[int], pos: list[int], other: list[int]) -> tuple
     return i - left[0], end_i + right[0], j - left[1], end_j + right[1], matched + left[2] + right[2]
 
 
+def seams(h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and places of both seeds, of the pairs of neighbouring shared seeds that no one least text explains.
+
+    Such a pair lies where one shared stretch ends and the next begins. Whether a pair is given depends on its two seeds
+    alone, so all texts that have it near give it. ``pos`` must rise; a seed given twice makes pairs in either form.
+    """
+    first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+    last = np.r_[first[1:], len(pos)] - 1
+    out = []
+    for x in (first, last):
+        for y in (first, last):
+            a, b = x[:-1], y[1:]
+            step = of_pos[b] - of_pos[a]
+            ok = (pos[b] - pos[a] <= NEAR) & ((of[a] != of[b]) | (step <= 0) | (step > NEAR))
+            out.append((mix(h[a[ok]] ^ mix(h[b[ok]])).view(np.int64), pos[a[ok]], pos[b[ok]]))
+        if len(first) == len(pos):
+            break
+    return tuple(np.concatenate(x) for x in zip(*(out[:1] if len(first) == len(pos) else out)))
+
+
+def stretches(pos: np.ndarray, passage: int) -> list[tuple[int, int]]:
+    """Words, from and to, outside of which no exact passage can lie that another text has.
+
+    A passage's own minimizers are shared and at most WINDOW apart; they leave WINDOW - 1 words at most before the first
+    and behind the last seed.
+    """
+    cut = np.flatnonzero(np.diff(pos) > WINDOW) + 1
+    runs = zip(pos[np.r_[0, cut]].tolist(), pos[np.r_[cut, len(pos)] - 1].tolist())
+    spans = [(max(0, a - WINDOW + 1), b + SEED_WORDS + WINDOW - 1) for a, b in runs]
+    return [(a, b) for a, b in spans if b - a >= passage]
+
+
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, identity: float = IDENTITY) -> DataFrame:
     """Passages of at least ``passage`` words that different rows share, edits allowed.
 
@@ -214,47 +248,108 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     seed = places.filter("pos >= 0 and h <> 0")
     least = seed.groupBy("h").agg(F.min(F.struct("t", "pos")).alias("first"), F.max("t").alias("last")).filter("first.t < last")
     least = save(least.select("h", F.col("first.t").alias("of"), F.col("first.pos").alias("of_pos")), "shared")
-    matches = seed.join(least, "h").filter("t <> of").groupBy("t", "of").agg(F.collect_set(F.struct("pos", "of_pos")).alias("m"))
-    # A chain needs two matches that are far enough apart.
-    far = F.expr("array_max(transform(m, x -> x.pos)) - array_min(transform(m, x -> x.pos))") >= REACH - SEED_WORDS
-    matches = matches.filter((F.size("m") > 1) & far)
+    # By text: the least text itself takes part too, as its pairs and long runs may be others' partners.
+    matches = seed.join(least, "h").groupBy("t").agg(F.collect_set(F.struct("pos", "h", "of", "of_pos")).alias("m")).filter(F.size("m") > 1)
+    matches = matches.select("t", *[F.col(f"m.{c}").alias(c) for c in ("pos", "h", "of", "of_pos")])
 
-    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t, pos, h, of, of_pos in zip(batch["t"].tolist(), batch["pos"], batch["h"], batch["of"], batch["of_pos"]):
+                order = np.lexsort((h, pos))
+                pos, h, of, of_pos = pos[order].astype(np.int64), h[order], of[order], of_pos[order].astype(np.int64)
+                out += [("run", t, 0, [a, b], []) for a, b in stretches(pos, passage)]
+                out += [("pair", t, k, [x, y], []) for k, x, y in zip(*(v.tolist() for v in seams(h.view(np.uint64), of, pos, of_pos)))]
+                group = np.argsort(of, kind="stable")
+                for part in np.split(group, np.flatnonzero(np.diff(of[group]) != 0) + 1):
+                    # A chain needs two matches that are far enough apart.
+                    if of[part[0]] == t or len(part) < 2 or pos[part[-1]] - pos[part[0]] < REACH - SEED_WORDS:
+                        continue
+                    p, o = pos[part], of_pos[part]
+                    for chain in chains(p, o):
+                        if p[chain[-1]] + SEED_WORDS - p[chain[0]] >= REACH:
+                            out.append(("chain", t, int(of[part[0]]), p[chain].tolist(), o[chain].tolist()))
+            yield pd.DataFrame(out, columns=["what", "t", "of", "pos", "of_pos"])
+
+    links = save(matches.mapInPandas(linked, "what string, t long, of long, pos array<int>, of_pos array<int>"), "chains")
+    found = links.filter("what = 'chain'").select("t", "of", "pos", "of_pos")
+
+    def hubs(keyed: DataFrame) -> DataFrame:
+        """Places of a text (``pos``) and of the least text with the same key (``of``), by both texts."""
+        first = keyed.groupBy("key").agg(F.min(F.struct("t", "pos")).alias("first"), F.max("t").alias("last")).filter("first.t < last")
+        both = keyed.join(first.select("key", F.col("first.t").alias("of"), F.col("first.pos").alias("of_pos")), "key").filter("t <> of")
+        return both.groupBy("t", "of").agg(F.collect_set(F.struct("pos", "of_pos")).alias("m"))
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for t, of, m in zip(batch["t"], batch["of"], batch["m"]):
-                pos, other = np.array([x["pos"] for x in m]), np.array([x["of_pos"] for x in m])
-                for chain in chains(pos, other):
-                    p, o = pos[chain], other[chain]
-                    if p[-1] + SEED_WORDS - p[0] >= REACH:
-                        out.append((t, of, p.tolist(), o.tolist()))
+                both = sorted({(p, o) for x in m for p, o in zip(x["pos"], x["of_pos"])})
+                pos, other = np.array([p for p, _ in both]), np.array([o for _, o in both])
+                out += [(t, of, pos[c].tolist(), other[c].tolist()) for c in chains(pos, other)]
             yield pd.DataFrame(out, columns=["t", "of", "pos", "of_pos"])
 
-    found = save(matches.mapInPandas(chained, "t long, of long, pos array<int>, of_pos array<int>"), "chains")
-    wanted = save(found.select(F.explode(F.array("t", "of")).alias("t")).distinct(), "wanted")
+    chain_columns = "t long, of long, pos array<int>, of_pos array<int>"
+    pairs = save(hubs(links.filter("what = 'pair'").select(F.col("of").alias("key"), "t", "pos")).mapInPandas(paired, chain_columns), "pairs")
+    runs = links.filter("what = 'run'").select("t", F.struct(F.col("pos")[0].alias("a"), F.col("pos")[1].alias("b")).alias("run"))
+    wanted = found.unionByName(pairs).select(F.explode(F.array("t", "of")).alias("t"), F.lit(None).cast("struct<a:int,b:int>").alias("run")).unionByName(runs)
+    wanted = save(wanted.groupBy("t").agg(F.collect_set("run").alias("runs")), "wanted")
 
     def hashes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             out = []
-            for key, text in zip(batch["t"].tolist(), batch["text"]):
+            for key, text, runs in zip(batch["t"].tolist(), batch["text"], batch["runs"]):
                 if key not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    out.append((key, hashed(words_of(text), hashes).view(np.int64)))
-            yield pd.DataFrame(out, columns=["t", "words"])
+                    out.append((key, hashed(words_of(text), hashes).view(np.int64), [x for r in runs for x in (r["a"], r["b"])]))
+            yield pd.DataFrame(out, columns=["t", "words", "runs"])
+
+    words = rows.select("t", "text").join(small(wanted), "t").mapInPandas(hashes_of, "t long, words array<long>, runs array<int>")
+    words = save(words, "words")
 
-    words = rows.select("t", "text").join(small(wanted), "t", "left_semi").mapInPandas(hashes_of, "t long, words array<long>")
-    words = save(words, "words").dropDuplicates(["t"])
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h, t, pos = [], [], []
+            for key, values, runs in zip(batch["t"].tolist(), batch["words"], batch["runs"]):
+                for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
+                    keys = grams(values[a:b].view(np.uint64), passage)
+                    h.append(keys.view(np.int64))
+                    pos.append(np.arange(a, a + len(keys)))
+                    t.append(np.full(len(keys), key))
+            if h:
+                yield pd.DataFrame({"key": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Windows that follow one another in both texts make one chain of two seeds, at its ends."""
+        for batch in batches:
+            out = []
+            for t, of, pos, other in zip(batch["t"], batch["of"], batch["pos"], batch["of_pos"]):
+                order = np.lexsort((pos, pos - other))
+                pos, other = pos[order].astype(np.int64), other[order].astype(np.int64)
+                cut = np.flatnonzero((np.diff(pos) != 1) | (np.diff(other) != 1)) + 1
+                reach = max(0, passage - SEED_WORDS)
+                for a, b in zip(np.r_[0, cut].tolist(), (np.r_[cut, len(pos)] - 1).tolist()):
+                    out.append((t, of, [int(pos[a]), int(pos[b]) + reach], [int(other[a]), int(other[b]) + reach]))
+            yield pd.DataFrame(out, columns=["t", "of", "pos", "of_pos"])
+
+    # Every window of ``passage`` words that other texts may have: finds exact passages that no least text of a seed has.
+    same = save(words.mapInPandas(exact, "key long, t long, pos int"), "exact")
+    same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, chain_columns)
+    longer = pairs.unionByName(save(same, "same"))
+    words = words.select("t", "words").dropDuplicates(["t"])
     # Of either text only the stretch about the chain goes on.
     reach = passage * 4
     cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.element_at(p, 1) + SEED_WORDS + 2 * reach)
     start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
-    pairs = (
-        found.join(words, "t").select("t", "of", "pos", "of_pos", cut("words", "pos").alias("a"))
-        .join(words.withColumnRenamed("t", "of"), "of").select("t", "of", "pos", "of_pos", "a", cut("words", "of_pos").alias("b"), start("pos").alias("a0"), start("of_pos").alias("b0"))
-    )
+
+    def about(chained: DataFrame) -> DataFrame:
+        return (
+            chained.join(words, "t").select("t", "of", "pos", "of_pos", cut("words", "pos").alias("a"))
+            .join(words.withColumnRenamed("t", "of"), "of").select("t", "of", "pos", "of_pos", "a", cut("words", "of_pos").alias("b"), start("pos").alias("a0"), start("of_pos").alias("b0"))
+        )
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,7 +361,19 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((r.t, r.of, s + r.a0, e + r.a0, os + r.b0, oe + r.b0, matched))
             yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched"])
 
-    spans = save(pairs.mapInPandas(aligned, "t long, of long, start_word int, end_word int, of_start int, of_end int, matched int"), "spans")
+    span_columns = "t long, of long, start_word int, end_word int, of_start int, of_end int, matched int"
+    spans = save(about(found).mapInPandas(aligned, span_columns), "spans")
+    # What a longer key found is aligned unless passages found so far hold it in both texts.
+    sides = [spans.select("t", F.struct("start_word", "end_word").alias("s")), spans.select(F.col("of").alias("t"), F.struct(F.col("of_start").alias("start_word"), F.col("of_end").alias("end_word")).alias("s"))]
+    held = save(sides[0].unionByName(sides[1]).groupBy("t").agg(F.collect_set("s").alias("held")), "held")
+
+    def inside(p: str) -> Column:
+        return F.exists("held", lambda x: (x["start_word"] <= F.element_at(p, 1)) & (x["end_word"] >= F.element_at(p, -1) + SEED_WORDS))
+
+    for key, p in (("t", "pos"), ("of", "of_pos")):
+        longer = longer.join(small(held.withColumnRenamed("t", key), 20_000), key, "left").withColumn(f"{key}_held", F.coalesce(inside(p), F.lit(False))).drop("held")
+    open_ = save(longer.filter("not (t_held and of_held)").select("t", "of", "pos", "of_pos"), "longer")
+    spans = spans.unionByName(save(about(open_).mapInPandas(aligned, span_columns), "longer_spans"))
     members = save(rows.select("id", "t"), "members")
     texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
     lengths = places.filter("pos < 0").groupBy("t").agg((-F.min("pos")).alias("n_words"))
