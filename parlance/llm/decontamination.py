@@ -32,7 +32,10 @@ NUMBER, UNIT, NAME, UNKNOWN, CAPITAL, END = -2, -3, -4, -1, -5, -6
 
 
 class Codes(dict):
-    """Codes of raw tokens: words of the benchmark by number, the rest by kind. Kept for reuse, up to a bound."""
+    """Codes of raw tokens: words of the benchmark by number, the rest by kind. Kept for reuse, up to a bound.
+
+    Units have their codes as words here; ``canonical`` makes them slots where they follow a number.
+    """
 
     def __init__(self, words: dict[str, int], names: frozenset[str]):
         super().__init__()
@@ -48,8 +51,6 @@ class Codes(dict):
             code = NAME
         elif low in self.words:
             code = self.words[low]
-        elif token in UNITS:
-            code = UNIT
         else:
             code = CAPITAL if token[0].isupper() else UNKNOWN
         if len(self) > 300_000:
@@ -61,24 +62,20 @@ class Codes(dict):
 def canonical(text: str | None, codes: Codes) -> tuple[list[str], np.ndarray]:
     """The tokens of a text without sentence ends, and their codes.
 
-    A capitalised word that is no word of the benchmark is a name inside a sentence and unknown at its start. A unit
-    counts as one only after a number; elsewhere it is unknown unless the benchmark has it as a word.
+    A capitalised word that is no word of the benchmark is a name, at a sentence's start too. A unit is one after a
+    number, whether or not the benchmark has it as a word; elsewhere it is a word like others.
     """
     tokens = TOKEN.findall(text or "")
     raw = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    starts = np.empty(len(raw), dtype=bool)
-    starts[:1] = True
-    starts[1:] = raw[:-1] == END
-    raw[(raw == CAPITAL) & ~starts] = NAME
-    raw[raw == CAPITAL] = UNKNOWN
+    raw[raw == CAPITAL] = NAME
     keep = raw != END
     kept, raw = np.flatnonzero(keep), raw[keep]
-    if (raw == UNIT).any():
-        after = np.empty(len(raw), dtype=bool)
-        after[:1] = False
-        after[1:] = raw[:-1] == NUMBER
-        raw[(raw == UNIT) & ~after] = UNKNOWN
-    return [tokens[i] for i in kept] if len(kept) != len(tokens) else tokens, raw
+    if len(kept) != len(tokens):
+        tokens = [tokens[i] for i in kept]
+    for at in (np.flatnonzero(raw[:-1] == NUMBER) + 1).tolist():
+        if tokens[at].lower() in UNITS:
+            raw[at] = UNIT
+    return tokens, raw
 
 
 def windows(tokens: list[str], raw: np.ndarray, width: int, wanted: np.ndarray | None) -> Iterator[tuple[int, int, list[str]]]:
@@ -120,8 +117,8 @@ def agree(pairs: list[tuple[list[str], list[str]]]) -> list[bool]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item whose template it holds.
 
-    Names are the capitalised words of the benchmark that stand inside sentences and never appear there in lower case
-    or at a sentence's start; its other words are literal in any case. Windows of a document's template are joined by
+    Names are the benchmark's words that it never has in lower case; its other words are literal in any case. Units are
+    slots after a number. Windows of a document's template are joined by
     hash with those of the items; windows with inconsistent fillers go, and the rest must cover half the item.
 
     Returns id, item_id, n_windows, coverage, reparameterised (some filler differs) and text_key (xxhash64 of the
@@ -135,15 +132,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         for batch in batches:
             rows = {}
             for text in batch["text"]:
-                start = True
                 for token in TOKEN.findall(text):
-                    if token in ENDS:
-                        start = True
-                        continue
-                    if not token[0].isdigit():
+                    if token not in ENDS and not token[0].isdigit():
                         low = token.lower()
-                        rows[low] = rows.get(low, False) or start or not token[0].isupper()
-                    start = False
+                        rows[low] = rows.get(low, False) or not token[0].isupper()
             yield pd.DataFrame(list(rows.items()), columns=["word", "literal"])
 
     words = items.mapInPandas(seen, "word string, literal boolean").groupBy("word").agg(F.bool_or("literal").alias("literal"))

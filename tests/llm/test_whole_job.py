@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import passages
+from parlance.llm import decontamination, passages
 
 
 def invented(n, seed):
@@ -34,3 +34,20 @@ def test_passage_of_frequent_lines_is_found(spark, edited):
     for name in "BC":
         assert any(r.doc_id == name and r.start_word <= starts[name] and r.end_word >= starts[name] + 60 for r in found), found
     assert {r.kind for r in found} == {"repeat", "source"}
+
+
+def test_units_and_names_at_sentence_starts_are_slots(spark):
+    item = "Anna sold 12 kg of apples and Anna kept 3 apples for the winter"
+    # Elsewhere the benchmark has a name at a sentence's start only, and a unit as a word.
+    more = "We were here all day. Carla saw every kg of the apples that lay about the old barn"
+    docs = [
+        (1, item.replace("kg", "pounds")),
+        (2, "It rained. " + item.replace("Anna", "Berta")),
+        (3, more.replace("Carla", "Dora")),
+        (4, item.replace("kg", "crates")),
+        (5, item.replace("kg", "KG").replace("12", "7")),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, more)], "item_id long, text string")
+    found = {r.doc_id: (r.item_id, r.reparameterised, r.coverage) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found[1] == (1, True, 1.0) and found[2] == (1, True, 1.0) and found[3] == (2, True, 1.0) and found[5] == (1, True, 1.0)
+    assert found.get(4, (1, True, 0.0))[2] < 1
