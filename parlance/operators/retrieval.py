@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,19 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, *, digits: int | None = None) -> DataFrame:
     """The k chunks of largest inner product with each query: query_id, rank, id, score and the chunks' other columns.
 
-    ``queries`` has query_id and q, a stated set of at most MOST_QUERIES, which is broadcast; ``chunks`` has id and v.
-    Every task keeps its own best k of each query before the shuffle (a window with a limit), so k rows a task and
-    query move.
+    ``queries`` has query_id and q and is dealt by query_id into blocks of about MOST_QUERIES, each broadcast by itself;
+    ``chunks`` has id and v and is read once for each block. Every task keeps its own best k of each query before the
+    shuffle (a window with a limit), so k rows a task and query move.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries; put them in blocks")
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    asked = queries.select("query_id", "q").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = [_nearest(asked.filter(F.col("block") == b).drop("block"), chunks, k, digits) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None) -> DataFrame:
     scores = dot(F.col("q"), F.col("v"))
-    scored = chunks.join(F.broadcast(queries.select("query_id", "q"))).withColumn("score", F.round(scores, digits) if digits is not None else scores)
+    scored = chunks.join(F.broadcast(queries)).withColumn("score", F.round(scores, digits) if digits is not None else scores)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.drop("q", "v").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
