@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, passages
+from parlance.llm import decontamination, html_text, passages
 from parlance.operators import retrieval
 
 
@@ -63,3 +63,29 @@ def test_many_queries_are_dealt_into_blocks(spark, monkeypatch):
     want = {(q, n + 1, i) for q, a in vectors[:25] for n, (i, _) in enumerate(sorted(vectors, key=lambda v: (-score(a, v[1]), v[0]))[:3])}
     rows = [(r.query_id, r["rank"], r.id) for r in found.collect()]
     assert len(rows) == 75 and set(rows) == want
+
+
+def test_hot_host_and_copies_keep_their_text(spark):
+    """Without articles: phrases on a few of many pages and copies of a page stay, the menu and the notice go."""
+    rng = random.Random(8)
+    phrases = [" ".join(invented(4, 100 + k)) for k in range(30)]
+    long = " ".join(invented(20, 99))
+    notice = " ".join(invented(15, 98))
+    rows, want = [], {}
+    for k in range(60):
+        text = f"{rng.choice(phrases)} {' '.join(invented(6, 300 + k))} {rng.choice(phrases)}"
+        text = f"{text} {long}" if k < 3 else text
+        rows.append((k, f"http://hot/{k}", f"<p>Home</p><p>{text}</p><p>{notice} {k}</p>"))
+        want[k] = f"{text} {k}"
+    # Two ids with one text, on a host of their own.
+    copy = " ".join(invented(40, 7))
+    rows += [(k, "http://copies/1", f"<p>{copy}</p>") for k in (100, 101)]
+    want |= {100: copy, 101: copy}
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_owners_of_windows_are_counted():
+    blocks = [["a", "b", "c"], ["a", "b", "c"], ["x", "a", "b", "c"], ["a", "b"]]
+    found = html_text.windows_of(blocks, [0, 0, 1, 2], 3)
+    assert found == {html_text.window_key(["a", "b", "c"]): 2, html_text.window_key(["x", "a", "b"]): 1, html_text.window_key(["a", "b"]): 1}
