@@ -28,6 +28,11 @@ def runs_needed(threshold: float, recall: float = RECALL, depth: int = DEPTH) ->
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
+def sift_loss(threshold: float) -> float:
+    """Chance that a pair at the threshold agrees in too few minhashes to pass the sift."""
+    return sum(math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(math.ceil(SIFT * SKETCH)))
+
+
 #: Odd multipliers, one for each hash function: multiplication by an odd number permutes the 64-bit numbers.
 FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -124,10 +129,13 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
 
     Returns id, class_id (the least id of the class), n_links (the other rows that the row's text is similar to,
     copies included), is_first (whether id and text are the class's first) and text_key (xxhash64 of the text). Texts without words, null ones too, are alone in their class with no links. Rows alike count
-    each. Null ids are least of no class unless all its ids are null. An empty table gives no rows.
+    each. Null ids are least of no class unless all its ids are null. An empty table gives no rows. A threshold at
+    which the sketches don't reach the recall is an error.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    runs = min(runs_needed(threshold, recall), SKETCH // DEPTH)
+    runs = runs_needed(threshold, recall)
+    if runs > SKETCH // DEPTH or sift_loss(threshold) > 1 - recall:
+        raise ValueError(f"sketches of {SKETCH} minhashes don't reach a recall of {recall} at a threshold of {threshold}")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

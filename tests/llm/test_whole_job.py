@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, html_text, passages
+from parlance.llm import decontamination, html_text, jaccard_join, passages
 from parlance.operators import retrieval
 
 
@@ -89,3 +89,14 @@ def test_owners_of_windows_are_counted():
     blocks = [["a", "b", "c"], ["a", "b", "c"], ["x", "a", "b", "c"], ["a", "b"]]
     found = html_text.windows_of(blocks, [0, 0, 1, 2], 3)
     assert found == {html_text.window_key(["a", "b", "c"]): 2, html_text.window_key(["x", "a", "b"]): 1, html_text.window_key(["a", "b"]): 1}
+
+
+@pytest.mark.parametrize("threshold, recall", [(0.5, 0.999), (0.6, 0.999), (0.5, 0.9)])
+def test_recall_out_of_reach_is_an_error(spark, threshold, recall):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        jaccard_join.join(docs, threshold=threshold, recall=recall)
+
+
+def test_usual_threshold_is_in_reach():
+    assert jaccard_join.runs_needed(0.8) == 10 and jaccard_join.sift_loss(0.8) < 1e-6
