@@ -34,12 +34,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffle join.
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (BROADCAST_ROWS unless given), else as it is, for a shuffle join.
 
     ``df`` must be cheap to count, such as a saved table, and its rows of a bounded width.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    most = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

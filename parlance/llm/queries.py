@@ -109,7 +109,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, 'allow') AS verdi
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('6:' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('6:' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(md5(text), '~')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -131,16 +131,26 @@ WITH sized AS (
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure,
     CASE WHEN source_size > 0 THEN greatest(0, target - floor(target / source_size) * source_size) ELSE 0 END AS part
   FROM targets
+), classes AS (
+  SELECT d.source, part, ceil(sqrt(size::DOUBLE))::BIGINT AS x, sum(size)::BIGINT AS words
+  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND part > 0 GROUP BY ALL
+), tried AS (
+  SELECT source, x, part - coalesce(sum(words) OVER (PARTITION BY source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    (sum(x * words) OVER (PARTITION BY source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weight
+  FROM classes
+), levels AS (
+  SELECT source, arg_max(rest / weight, x) AS level, arg_max(rest, x) AS rest FROM tried WHERE rest / weight * x < 1 GROUP BY source
 ), odds AS (
-  SELECT doc_id, d.source, size, source_size, target, sure, part, u,
-    CASE WHEN source_size > 0 AND part > 0 THEN (u / (1 - u)) / ((part / source_size) / (1 - part / source_size)) END AS rank
-  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT doc_id, d.source, size, source_size, target, sure, l.rest, u, level * ceil(sqrt(size::DOUBLE)) AS chance
+  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN levels l ON d.source IS NOT DISTINCT FROM l.source
+), ranked AS (
+  SELECT *, CASE WHEN chance > 0 AND chance < 1 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM odds
 ), run AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM odds
+  SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM ranked
 )
 SELECT doc_id, size, source_size, target,
-  ((sure + CASE WHEN rank IS NOT NULL AND 2 * ahead + size <= 2 * part THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+  ((sure + CASE WHEN chance >= 1 OR (rank IS NOT NULL AND 2 * ahead + size <= 2 * rest) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM run
 """
 
