@@ -7,27 +7,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import save, small
 from .shingles import WordHashes, grams, hashed, mix, words_of
 
-#: Words of a seed, and seeds of a window of which the one of least hash is kept.
-SEED_WORDS, WINDOW = 6, 10
+#: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
+#: of each window of WINDOW seeds without such a one the least is kept.
+SEED_WORDS, SAMPLED, WINDOW = 5, 4, 16
 #: Words that a passage has at least, and share of them that match.
 PASSAGE, IDENTITY = 50, 0.8
 #: Cost of each word between two seeds of a chain, in either text; a seed is worth SEED_WORDS.
 GAP = 0.1
 #: Words between the seeds of a chain's ends, at least, for it to be aligned.
-REACH = 24
-#: Words between two neighbouring shared seeds, at most, for them to make a pair.
-NEAR = 30
+REACH = 8
+#: Words between two neighbouring shared seeds, at most, for them to make a pair; words that a passage steps over at most.
+NEAR, APART = 30, 50
+#: Words on either side of a chain that are looked at first, in passages; where a passage goes on beyond them, more are.
+MARGIN = 4
 #: A mismatch costs so much, a match gains one, and an end is drawn no further once it has lost DROP.
-MISMATCH, DROP = 2, 8
+MISMATCH, DROP = 1, 8
 
 
 def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds that are least in some window of WINDOW seeds; of all there are if fewer.
+    """Hashes and places of the seeds that are kept: the sampled ones, and the least in windows that have none; one at least.
 
     A seed that comes again in the text is given again with its number of occurrence in the hash, so that stretches
     which repeat a word or a line chain with others of their kind.
@@ -35,11 +39,17 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seeds = grams(values, SEED_WORDS)
     if not len(seeds):
         return seeds, np.zeros(0, dtype=np.int64)
-    if len(seeds) <= WINDOW:
+    at = np.flatnonzero(seeds % np.uint64(SAMPLED) == 0)
+    bounds = np.r_[-1, at, len(seeds)]
+    more = []
+    for gap in np.flatnonzero(np.diff(bounds) > WINDOW).tolist():
+        some = seeds[bounds[gap] + 1 : bounds[gap + 1]]
+        views = np.lib.stride_tricks.sliding_window_view(some, WINDOW)
+        more.append(bounds[gap] + 1 + views.argmin(axis=1) + np.arange(len(views)))
+    if more:
+        at = np.unique(np.concatenate([at, *more]))
+    elif not len(at):
         at = np.array([int(np.argmin(seeds))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(seeds, WINDOW)
-        at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
     found = seeds[at]
     order = np.argsort(found, kind="stable")
     first = np.r_[True, found[order][1:] != found[order][:-1]]
@@ -80,8 +90,9 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
 
     A chain's score is SEED_WORDS for each match less GAP for each word stepped over in either text. With matches in
     order of ``pos``, the best one to follow is a prefix maximum over ``other``, since the cost splits into a part of
-    either match. Chains are read off from the best end on; a match is in one chain.
+    either match. Chains are read off from the best end on; a match is in one chain, and chains are cut at wide gaps.
     """
+    where = pos, other
     order = np.lexsort((other, pos))
     pos, other = pos[order], other[order]
     rank = np.unique(other, return_inverse=True)[1]
@@ -109,8 +120,10 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
             used[at] = True
             chain.append(at)
             at = int(before[at])
-        if len(chain) > 1:
-            out.append(order[np.array(chain[::-1])])
+        found = order[np.array(chain[::-1], dtype=np.int64)]
+        # Passages don't go on over more than APART other words, so a gap never costs more than APART squared to align.
+        wide = np.flatnonzero(np.maximum(np.diff(where[0][found]), np.diff(where[1][found])) > APART + SEED_WORDS) + 1
+        out += [part for part in np.split(found, wide) if len(part) > 1]
     return out
 
 
@@ -216,7 +229,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Returns id, start_word, end_word (words are runs of letters, digits and underscores, from 0), n_words, matched,
     kind and other_id (the least id of the text it was found in, or matched by). Kinds: ``copy``, a whole text that
     other rows have too; ``repeat``, a passage found in another text; ``source``, the places in a text where others'
-    were found, those which begin in the same 64 words as one. Null texts, empty ones and those under ``passage`` words
+    were found, those which overlap as one. Null texts, empty ones and those under ``passage`` words
     have none; rows alike in text are copies of each other, whatever their ids; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -341,28 +354,39 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     longer = pairs.unionByName(save(same, "same"))
     words = words.select("t", "words").dropDuplicates(["t"])
     # Of either text only the stretch about the chain goes on.
-    reach = passage * 4
-    cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.element_at(p, 1) + SEED_WORDS + 2 * reach)
-    start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
-
-    def about(chained: DataFrame) -> DataFrame:
-        return (
-            chained.join(words, "t").select("t", "of", "pos", "of_pos", cut("words", "pos").alias("a"))
-            .join(words.withColumnRenamed("t", "of"), "of").select("t", "of", "pos", "of_pos", "a", cut("words", "of_pos").alias("b"), start("pos").alias("a0"), start("of_pos").alias("b0"))
-        )
+    def about(chained: DataFrame, reach: int) -> DataFrame:
+        cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.greatest(F.lit(0), F.element_at(p, 1) - reach) + SEED_WORDS + reach)
+        start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
+        near = chained.join(words, "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
+        near = near.join(words.withColumnRenamed("t", "of"), "of")
+        return near.select("t", "of", "pos", "of_pos", "a", "a0", "a_all", cut(F.col("words"), "of_pos").alias("b"), start("of_pos").alias("b0"), F.size("words").alias("b_all"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                s, e, os, oe, matched = align(list(r.a), list(r.b), [p - r.a0 for p in r.pos], [p - r.b0 for p in r.of_pos])
+                s, e, os, oe, matched = align(r.a.tolist(), r.b.tolist(), [p - r.a0 for p in r.pos], [p - r.b0 for p in r.of_pos])
                 n = max(e - s, oe - os)
-                if min(e - s, oe - os) >= passage and matched >= identity * n:
-                    out.append((r.t, r.of, s + r.a0, e + r.a0, os + r.b0, oe + r.b0, matched))
-            yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched"])
+                # Where the passage reaches the end of what was looked at, it may go on in both texts.
+                more = (s == 0 and r.a0 > 0) or (os == 0 and r.b0 > 0) or (e == len(r.a) and r.a0 + e < r.a_all) or (oe == len(r.b) and r.b0 + oe < r.b_all)
+                if more or min(e - s, oe - os) >= passage and matched >= identity * n:
+                    out.append((r.t, r.of, s + r.a0, e + r.a0, os + r.b0, oe + r.b0, matched, more, r.pos, r.of_pos))
+            yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched", "more", "pos", "of_pos"])
+
+    def passages_of(chained: DataFrame, name: str) -> DataFrame:
+        """The passages about the chains; the few that outgrow what was looked at are aligned again over more."""
+        reach, found = MARGIN * passage, None
+        while True:
+            done = save(about(chained, reach).mapInPandas(aligned, f"{span_columns}, more boolean, pos array<int>, of_pos array<int>"), f"{name}_{reach}")
+            some = done.filter("not more").drop("more", "pos", "of_pos")
+            found = some if found is None else found.unionByName(some)
+            chained = done.filter("more").select("t", "of", "pos", "of_pos")
+            if not chained.limit(1).count():
+                return found
+            reach *= 16
 
     span_columns = "t long, of long, start_word int, end_word int, of_start int, of_end int, matched int"
-    spans = save(about(found).mapInPandas(aligned, span_columns), "spans")
+    spans = passages_of(found, "spans")
     # What a longer key found is aligned unless passages found so far hold it in both texts.
     sides = [spans.select("t", F.struct("start_word", "end_word").alias("s")), spans.select(F.col("of").alias("t"), F.struct(F.col("of_start").alias("start_word"), F.col("of_end").alias("end_word")).alias("s"))]
     held = save(sides[0].unionByName(sides[1]).groupBy("t").agg(F.collect_set("s").alias("held")), "held")
@@ -373,7 +397,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     for key, p in (("t", "pos"), ("of", "of_pos")):
         longer = longer.join(small(held.withColumnRenamed("t", key), 20_000), key, "left").withColumn(f"{key}_held", F.coalesce(inside(p), F.lit(False))).drop("held")
     open_ = save(longer.filter("not (t_held and of_held)").select("t", "of", "pos", "of_pos"), "longer")
-    spans = spans.unionByName(save(about(open_).mapInPandas(aligned, span_columns), "longer_spans"))
+    spans = spans.unionByName(passages_of(open_, "longer_spans"))
     members = save(rows.select("id", "t"), "members")
     texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
     lengths = places.filter("pos < 0").groupBy("t").agg((-F.min("pos")).alias("n_words"))
@@ -383,9 +407,13 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     named = spans.join(texts.select(F.col("t").alias("of"), F.col("least_id").alias("other_id")), "of")
     repeats = named.groupBy("t", "start_word", "end_word").agg(F.max("matched").alias("matched"), F.min("other_id").alias("other_id"))
     repeats = repeats.select("t", "start_word", "end_word", "matched", F.lit("repeat").alias("kind"), "other_id")
-    back = spans.join(texts.select("t", F.col("least_id").alias("other_id")), "t").groupBy("of", F.floor(F.col("of_start") / 64)).agg(
-        F.min("of_start").alias("start_word"), F.max("of_end").alias("end_word"), F.max("matched").alias("matched"), F.min("other_id").alias("other_id")
-    )
-    back = back.select(F.col("of").alias("t"), "start_word", "end_word", "matched", F.lit("source").alias("kind"), "other_id")
+    # In the texts where passages were found: the stretches that they cover, where they overlap or touch as one.
+    ends = spans.join(texts.select("t", F.col("least_id").alias("other_id")), "t").groupBy(F.col("of").alias("t"), F.col("of_start").alias("start_word"))
+    ends = ends.agg(F.max("of_end").alias("end_word"), F.max("matched").alias("matched"), F.min("other_id").alias("other_id"))
+    by_start = W.partitionBy("t").orderBy("start_word")
+    apart = F.col("start_word") > F.max("end_word").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("stretch", F.sum("apart").over(by_start))
+    back = ends.groupBy("t", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.max("matched").alias("matched"), F.min("other_id").alias("other_id"))
+    back = back.select("t", "start_word", "end_word", "matched", F.lit("source").alias("kind"), "other_id")
     out = members.join(copies.unionByName(repeats).unionByName(back), "t")
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "matched", "kind", F.col("other_id").cast(kind).alias("other_id"))
