@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bits of a sift, at most: 16 MB.
+MOST_BITS = 1 << 27
 
 _local_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all tasks run on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return "file://" + _local_scratch[0]
@@ -34,13 +38,56 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (BROADCAST_ROWS unless given). It must be cheap to count, such as a saved table."""
+    most = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows (BROADCAST_ROWS unless given), else as it is, for a shuffle join.
+    """``df`` marked for broadcast if it is small, its rows being of a bounded width, else as it is, for a shuffle join."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
-    ``df`` must be cheap to count, such as a saved table, and its rows of a bounded width.
+
+def sift(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test of long columns that is true for all keys and for few others, whatever the number of keys.
+
+    The keys' hashes set bits of a bitmap, 16 for each key and MOST_BITS at most, which is put together from its parts
+    and sent to the tasks: rows that can't match stay where they are, an exact join decides on the rest.
     """
-    most = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    bits = 1 << 15
+    n = keys.count()
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    place = lambda x: F.pmod(F.xxhash64(x, F.lit(41)), F.lit(bits))
+    at = keys.select(place(F.col(key)).alias("at"))
+    parts = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits")).collect()
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for r in parts:
+        held[4096 * r.part : 4096 * (r.part + 1)] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def hit(places: pd.Series) -> pd.Series:
+        x = places.to_numpy()
+        return pd.Series(shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)
+
+    return lambda x: hit(place(x))
+
+
+def matching(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, condition: Column, most: int | None = None) -> DataFrame:
+    """Inner join of ``rows``, which may be wide, with ``wanted``: by broadcast if that is small, else only rows that pass a sift are shuffled."""
+    if is_small(wanted, most):
+        return rows.join(F.broadcast(wanted), condition)
+    return rows.filter(sift(wanted, wanted_key)(F.col(key))).join(wanted, condition)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, gone_key: str, condition: Column) -> DataFrame:
+    """``rows`` that match none of ``gone``; only rows that pass a sift are ever shuffled."""
+    if is_small(gone):
+        return rows.join(F.broadcast(gone), condition, "left_anti")
+    may = F.coalesce(sift(gone, gone_key)(key), F.lit(True))
+    return rows.filter(~may).unionByName(rows.filter(may).join(gone, condition, "left_anti"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small, whole_groups
+from .common import is_small, matching, save, sift, small, whole_groups, without
 from .components import components
 from .shingles import WordHashes, hashed, mix, shingle_set, words_of
 
@@ -216,8 +216,8 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
     held = save(sorted_buckets(dealt).mapInPandas(sifted, dealt.schema), "held")
     # Texts of the sets that are left: looked up by id and hash, one row for each.
     wanted = save(held.select("name").distinct().join(sets.select("name", F.col("id").alias("want_id"), F.col("text_key").alias("want_key")), "name"), "wanted")
-    side = small(wanted, 100_000)
-    texts = rows.join(side, (F.col("text_key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id"))).select("name", "text").dropDuplicates(["name"])
+    same = (F.col("text_key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id"))
+    texts = matching(rows, "text_key", wanted, "want_key", same, 100_000).select("name", "text").dropDuplicates(["name"])
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -257,13 +257,25 @@ def join(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its columns, one row of each class of similar texts: that of least id, then of least text hash.
 
-    Of rows alike in id and text one stays. Texts without words stay all.
+    Of rows alike in id and text one stays. Texts without words stay all. Rows that stay are not shuffled. Columns of
+    any name may be there.
     """
-    classes = save(join(docs, id_col=id_col, text_col=text_col, **options), "classes").withColumnRenamed(id_col, "_class_id").withColumnRenamed("text_key", "_class_key")
-    key = F.col(id_col).eqNullSafe(F.col("_class_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_class_key"))
-    gone = save(classes.filter(~F.col("is_first")).select("_class_id", "_class_key").distinct(), "gone")
-    again = save(classes.filter("is_first and n_links > 0").groupBy("_class_id", "_class_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
-    kept = docs.join(small(gone), key, "left_anti")
+    classes = join(docs, id_col=id_col, text_col=text_col, **options)
+    # Names that no column of the documents has.
+    own_id, own_key = (_free(name, docs.columns) for name in ("class_of_id", "class_of_key"))
+    classes = save(classes.select(F.col(id_col).alias(own_id), F.col("text_key").alias(own_key), "is_first", "n_links"), "classes")
+    text_key = F.xxhash64(text_col)
+    key = F.col(id_col).eqNullSafe(F.col(own_id)) & text_key.eqNullSafe(F.col(own_key))
+    gone = save(classes.filter(~F.col("is_first")).select(own_id, own_key).distinct(), "gone")
+    again = save(classes.filter("is_first and n_links > 0").groupBy(own_id, own_key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    kept = without(docs, text_key, gone, own_key, key)
     if not again.limit(1).count():
         return kept
-    return kept.join(small(again), key, "left_anti").unionByName(kept.join(small(again), key, "left_semi").dropDuplicates([id_col, text_col]))
+    repeats = docs.join(F.broadcast(again), key, "left_semi") if is_small(again) else docs.filter(sift(again, own_key)(text_key)).join(again, key, "left_semi")
+    return without(kept, text_key, again, own_key, key).unionByName(repeats.dropDuplicates([id_col, text_col]))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name

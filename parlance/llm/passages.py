@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import matching, save
 from .shingles import WordHashes, grams, hashed, mix, words_of
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
@@ -320,7 +320,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((key, hashed(words_of(text), hashes).view(np.int64), [x for r in runs for x in (r["a"], r["b"])]))
             yield pd.DataFrame(out, columns=["t", "words", "runs"])
 
-    words = rows.select("t", "text").join(small(wanted), "t").mapInPandas(hashes_of, "t long, words array<long>, runs array<int>")
+    asked = wanted.withColumnRenamed("t", "want")
+    words = matching(rows.select("t", "text"), "t", asked, "want", F.col("t") == F.col("want"), 50_000).drop("want").mapInPandas(hashes_of, "t long, words array<long>, runs array<int>")
     words = save(words, "words")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,7 +396,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return F.exists("held", lambda x: (x["start_word"] <= F.element_at(p, 1)) & (x["end_word"] >= F.element_at(p, -1) + SEED_WORDS))
 
     for key, p in (("t", "pos"), ("of", "of_pos")):
-        longer = longer.join(small(held.withColumnRenamed("t", key), 20_000), key, "left").withColumn(f"{key}_held", F.coalesce(inside(p), F.lit(False))).drop("held")
+        longer = longer.join(held.withColumnRenamed("t", key), key, "left").withColumn(f"{key}_held", F.coalesce(inside(p), F.lit(False))).drop("held")
     open_ = save(longer.filter("not (t_held and of_held)").select("t", "of", "pos", "of_pos"), "longer")
     spans = spans.unionByName(passages_of(open_, "longer_spans"))
     members = save(rows.select("id", "t"), "members")
