@@ -49,30 +49,43 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def sift(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test of long columns that is true for all keys and for few others, whatever the number of keys.
+def bitmap(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of arrays of hashes, for use in tasks, that is true for all keys and for few others.
 
-    The keys' hashes set bits of a bitmap, 16 for each key and MOST_BITS at most, which is put together from its parts
-    and sent to the tasks: rows that can't match stay where they are, an exact join decides on the rest.
+    The keys' last bits set bits of a bitmap, 16 for each key and MOST_BITS at most, which is put together from its parts
+    and sent to the tasks.
     """
     bits = 1 << 15
     n = keys.count()
     while bits < 16 * n and bits < MOST_BITS:
         bits *= 2
-    place = lambda x: F.pmod(F.xxhash64(x, F.lit(41)), F.lit(bits))
-    at = keys.select(place(F.col(key)).alias("at"))
+    at = keys.select(F.pmod(F.col(key), F.lit(bits)).alias("at"))
     parts = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits")).collect()
     held = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts:
         held[4096 * r.part : 4096 * (r.part + 1)] = np.frombuffer(r.bits, dtype=np.uint8)
     shared = keys.sparkSession.sparkContext.broadcast(held)
 
+    def hit(hashes: np.ndarray) -> np.ndarray:
+        place = hashes & (bits - 1)
+        return shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+
+    return hit
+
+
+def sift(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test of long columns that is true for all keys and for few others, whatever the number of keys.
+
+    Rows that can't match stay where they are, an exact join decides on the rest.
+    """
+    hashed = lambda x: F.xxhash64(x, F.lit(41))
+    held = bitmap(keys.select(hashed(F.col(key)).alias("hash")), "hash")
+
     @F.pandas_udf("boolean")
-    def hit(places: pd.Series) -> pd.Series:
-        x = places.to_numpy()
-        return pd.Series(shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)
+    def hit(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held(hashes.to_numpy()))
 
-    return lambda x: hit(place(x))
+    return lambda x: hit(hashed(x))
 
 
 def matching(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, condition: Column, most: int | None = None) -> DataFrame:

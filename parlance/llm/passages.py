@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import matching, save
+from .common import bitmap, matching, save
 from .shingles import WordHashes, grams, hashed, mix, words_of
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
@@ -62,6 +62,24 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at
 
 
+#: Odd numbers, inverse to each other modulo 2^64: bases of the hashes of long runs.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def long_grams(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` values, in order, at a cost that doesn't grow with the width."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    powers = np.full(len(values), BASE, dtype=np.uint64)
+    powers[0] = 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(values) * np.cumprod(powers))])
+    back = np.full(n, INVERSE, dtype=np.uint64)
+    back[0] = 1
+    return mix((sums[width:] - sums[:n]) * np.cumprod(back))
+
+
 class Fenwick:
     """Prefix maxima of scores with the item that has them."""
 
@@ -190,9 +208,10 @@ def align(a: list[int], b: list[int], pos: list[int], other: list[int]) -> tuple
 def seams(h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, and places of both seeds, of the pairs of neighbouring shared seeds that no one least text explains.
 
-    Such a pair lies where one shared stretch ends and the next begins. Whether a pair is given depends on its two seeds
-    alone, so all texts that have it near give it. ``pos`` must rise; a seed given twice makes pairs in either form.
+    Such a pair lies where one shared stretch ends and the next begins. A pair that matches with one text lead over is
+    not given: the passage is found in that text. ``pos`` must rise; a seed given twice makes pairs in either form.
     """
+    open_ = bridged(of, pos, of_pos)
     first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
     last = np.r_[first[1:], len(pos)] - 1
     out = []
@@ -200,13 +219,27 @@ def seams(h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) ->
         for y in (first, last):
             a, b = x[:-1], y[1:]
             step = of_pos[b] - of_pos[a]
-            ok = (pos[b] - pos[a] <= NEAR) & ((of[a] != of[b]) | (step <= 0) | (step > NEAR))
+            ok = (pos[b] - pos[a] <= NEAR) & ((of[a] != of[b]) | (step <= 0) | (step > NEAR)) & (open_[pos[b]] > open_[pos[a]])
             out.append((mix(h[a[ok]] ^ mix(h[b[ok]])).view(np.int64), pos[a[ok]], pos[b[ok]]))
         if len(first) == len(pos):
             break
     return tuple(np.concatenate(x) for x in zip(*(out[:1] if len(first) == len(pos) else out)))
 
 
+def bridged(of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> np.ndarray:
+    """Of the words from the first to the last match, how many up to each lie between no two matches with one text.
+
+    Such matches follow each other at nearly one distance, near enough for their chain to lead over what is between.
+    """
+    order = np.lexsort((pos, of))
+    of, at, apart = of[order], pos[order], (pos - of_pos)[order]
+    near = (of[1:] == of[:-1]) & (np.diff(at) <= 2 * NEAR) & (np.abs(np.diff(apart)) <= SEED_WORDS)
+    depth = np.zeros(int(pos.max()) + 2, dtype=np.int64)
+    np.add.at(depth, at[:-1][near], 1)
+    np.add.at(depth, at[1:][near], -1)
+    return np.concatenate([[0], np.cumsum(np.cumsum(depth) == 0)])
+
+
 def stretches(pos: np.ndarray, passage: int) -> list[tuple[int, int]]:
     """Words, from and to, outside of which no exact passage can lie that another text has.
 
@@ -324,18 +357,6 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = matching(rows.select("t", "text"), "t", asked, "want", F.col("t") == F.col("want"), 50_000).drop("want").mapInPandas(hashes_of, "t long, words array<long>, runs array<int>")
     words = save(words, "words")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, t, pos = [], [], []
-            for key, values, runs in zip(batch["t"].tolist(), batch["words"], batch["runs"]):
-                for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                    keys = grams(values[a:b].view(np.uint64), passage)
-                    h.append(keys.view(np.int64))
-                    pos.append(np.arange(a, a + len(keys)))
-                    t.append(np.full(len(keys), key))
-            if h:
-                yield pd.DataFrame({"key": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
-
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows that follow one another in both texts make one chain of two seeds, at its ends."""
         for batch in batches:
@@ -349,17 +370,13 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((t, of, [int(pos[a]), int(pos[b]) + reach], [int(other[a]), int(other[b]) + reach]))
             yield pd.DataFrame(out, columns=["t", "of", "pos", "of_pos"])
 
-    # Every window of ``passage`` words that other texts may have: finds exact passages that no least text of a seed has.
-    same = save(words.mapInPandas(exact, "key long, t long, pos int"), "exact")
-    same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, chain_columns)
-    longer = pairs.unionByName(save(same, "same"))
-    words = words.select("t", "words").dropDuplicates(["t"])
+    words = save(words.dropDuplicates(["t"]), "words_once")
     # Of either text only the stretch about the chain goes on.
     def about(chained: DataFrame, reach: int) -> DataFrame:
         cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.greatest(F.lit(0), F.element_at(p, 1) - reach) + SEED_WORDS + reach)
         start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
-        near = chained.join(words, "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
-        near = near.join(words.withColumnRenamed("t", "of"), "of")
+        near = chained.join(words.select("t", "words"), "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
+        near = near.join(words.select(F.col("t").alias("of"), "words"), "of")
         return near.select("t", "of", "pos", "of_pos", "a", "a0", "a_all", cut(F.col("words"), "of_pos").alias("b"), start("of_pos").alias("b0"), F.size("words").alias("b_all"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,18 +404,46 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             reach *= 16
 
     span_columns = "t long, of long, start_word int, end_word int, of_start int, of_end int, matched int"
-    spans = passages_of(found, "spans")
-    # What a longer key found is aligned unless passages found so far hold it in both texts.
-    sides = [spans.select("t", F.struct("start_word", "end_word").alias("s")), spans.select(F.col("of").alias("t"), F.struct(F.col("of_start").alias("start_word"), F.col("of_end").alias("end_word")).alias("s"))]
-    held = save(sides[0].unionByName(sides[1]).groupBy("t").agg(F.collect_set("s").alias("held")), "held")
-
-    def inside(p: str) -> Column:
-        return F.exists("held", lambda x: (x["start_word"] <= F.element_at(p, 1)) & (x["end_word"] >= F.element_at(p, -1) + SEED_WORDS))
-
-    for key, p in (("t", "pos"), ("of", "of_pos")):
-        longer = longer.join(held.withColumnRenamed("t", key), key, "left").withColumn(f"{key}_held", F.coalesce(inside(p), F.lit(False))).drop("held")
-    open_ = save(longer.filter("not (t_held and of_held)").select("t", "of", "pos", "of_pos"), "longer")
-    spans = spans.unionByName(passages_of(open_, "longer_spans"))
+    spans = passages_of(found.unionByName(pairs), "spans")
+
+    def sides(spans: DataFrame) -> DataFrame:
+        """Where either text of a passage has it."""
+        own = spans.select("t", F.struct("start_word", "end_word").alias("s"))
+        return own.unionByName(spans.select(F.col("of").alias("t"), F.struct(F.col("of_start").alias("start_word"), F.col("of_end").alias("end_word")).alias("s")))
+
+    # Of those that begin at a word the longest: no more rows than words.
+    held = sides(spans).groupBy("t", "s.start_word").agg(F.max("s.end_word").alias("end_word"))
+    held = save(held.groupBy("t").agg(F.collect_list(F.struct("start_word", "end_word")).alias("held")), "held")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Windows of a text's stretches that no passage found so far holds whole (open), and the others that ``listed`` may have."""
+        for batch in batches:
+            h, t, pos = [], [], []
+            for key, values, runs, held in zip(batch["t"].tolist(), batch["words"], batch["runs"], batch["held"]):
+                closed = np.zeros(len(values) + 1, dtype=np.int64)
+                for x in held if held is not None else ():
+                    if x["end_word"] - x["start_word"] >= passage:
+                        closed[x["start_word"]] += 1
+                        closed[x["end_word"] - passage + 1] -= 1
+                inside = np.cumsum(closed) > 0
+                for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
+                    keys = long_grams(values[a:b].view(np.uint64), passage).view(np.int64)
+                    at = np.arange(a, a + len(keys))
+                    ok = ~inside[at] if listed is None else inside[at] & listed(keys)
+                    h.append(keys[ok])
+                    pos.append(at[ok])
+                    t.append(np.full(int(ok.sum()), key))
+            if h:
+                yield pd.DataFrame({"key": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
+
+    # Windows of ``passage`` words that lie in no passage yet may still be shared: with each other, or with one that does.
+    stretched = save(words.filter(F.size("runs") > 0).join(held, "t", "left"), "stretched")
+    listed = None
+    open_ = save(stretched.mapInPandas(exact, "key long, t long, pos int"), "open")
+    listed = bitmap(open_, "key")
+    same = open_.unionByName(save(stretched.mapInPandas(exact, "key long, t long, pos int"), "closed"))
+    same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, chain_columns)
+    spans = spans.unionByName(passages_of(save(same, "same"), "longer_spans"))
     members = save(rows.select("id", "t"), "members")
     texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
     lengths = places.filter("pos < 0").groupBy("t").agg((-F.min("pos")).alias("n_words"))
