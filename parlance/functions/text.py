@@ -126,6 +126,11 @@ def source_descriptor(path: Column, chunk: Column) -> Column:
     return F.concat(F.element_at(F.split(path, "/"), -1), F.lit("#chunk"), chunk.cast("string"))
 
 
+def utc_text(ts: Column) -> Column:
+    """A UTC time as ISO 8601 text with microseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def capitalized(x: Column) -> Column:
     return F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 30)))
 

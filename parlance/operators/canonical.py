@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from parlance.functions.text import is_object, strict_variant, strip
 
 
+#: The entries of a reasoning trace, and of a turn that is read.
+TRACE_KEYS = ("question", "retrieval_queries", "evidence", "premises", "thinking", "confidence", "known_limits")
+TURN_KEYS = ("turn_index", "assistant_message", "did_web_search", "reasoning_trace")
+
+
 def kind_of(v: Column) -> Column:
     """OBJECT, ARRAY, or the name of a scalar's type; null for null."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
@@ -91,10 +96,17 @@ def trace(v: Column) -> Column:
             thinking(get(v, "$.thinking")).alias("thinking"),
             text_of(get(v, "$.confidence")).alias("confidence"),
             list_of(get(v, "$.known_limits")).alias("known_limits"),
+            others(v, TRACE_KEYS).alias("extras"),
         ),
     )
 
 
+def others(v: Column, known: tuple[str, ...]) -> Column:
+    """The entries of an object but the known ones, as JSON texts by name."""
+    rest = F.map_filter(F.when(is_object(v), v.cast("map<string,variant>")), lambda k, _: ~k.isin(*known))
+    return F.transform_values(rest, lambda _, x: F.to_json(x))
+
+
 def sanitize(lines: DataFrame, *, value: str = "value") -> DataFrame:
     """Adds to raw JSON lines their canonical assistant_reasoning; ``parsed`` tells lines that are objects, the others stay as they are."""
     row = strict_variant(F.col(value))
@@ -105,11 +117,32 @@ def sanitize(lines: DataFrame, *, value: str = "value") -> DataFrame:
             text_of(get(t, "$.assistant_message")).alias("assistant_message"),
             get(t, "$.did_web_search", "boolean").alias("did_web_search"),
             trace(get(t, "$.reasoning_trace")).alias("reasoning_trace"),
+            others(t, TURN_KEYS).alias("extras"),
         ),
     )
     return lines.withColumn("parsed", is_object(row)).withColumn("assistant_reasoning", F.when(F.col("parsed"), turns))
 
 
+def sanitized_lines(lines: DataFrame, *, value: str = "value") -> DataFrame:
+    """JSON lines with the traces in their assistant_reasoning made canonical, other entries and other lines as they are."""
+    row = strict_variant(F.col(value))
+    turns = get(row, "$.assistant_reasoning")
+    merged = lambda v, name, made: F.to_json(F.map_concat(F.map_filter(v.cast("map<string,variant>"), lambda k, _: k != name), F.create_map(F.lit(name), F.parse_json(made))))
+
+    def whole(t: Column) -> Column:
+        held = get(t, "$.reasoning_trace")
+        made = trace(held)
+        rest = F.map_filter(held.cast("map<string,variant>"), lambda k, _: ~k.isin(*TRACE_KEYS))
+        fixed = F.from_json(F.to_json(made.dropFields("extras")), "map<string,string>")
+        parts = F.transform_values(fixed, lambda k, x: F.when(k.isin("question", "confidence"), F.parse_json(F.to_json(F.array(x)))).otherwise(F.parse_json(x)))
+        parts = F.transform_values(parts, lambda k, x: F.when(k.isin("question", "confidence"), get(x, "$[0]")).otherwise(x))
+        return F.when(is_object(held), merged(t, "reasoning_trace", F.to_json(F.map_concat(parts, rest)))).otherwise(F.to_json(t))
+
+    listed = F.concat(F.lit("["), F.array_join(F.transform(items_of(turns), whole), ","), F.lit("]"))
+    touched = is_object(row) & (kind_of(turns) == "ARRAY")
+    return lines.withColumn(value, F.when(touched, merged(row, "assistant_reasoning", listed)).otherwise(F.col(value)))
+
+
 def lenient_float(v: Column) -> Column:
     """Numbers and numeric texts as doubles; booleans and the rest as null."""
     return F.when(kind_of(v) == "BOOLEAN", None).when(kind_of(v).isin("OBJECT", "ARRAY"), None).otherwise(v.cast("string").try_cast("double"))

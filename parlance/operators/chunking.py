@@ -41,15 +41,16 @@ def chunk(docs: DataFrame, *, path: str = "source", text: str = "text", size: in
 
 
 def fingerprint(manifest: DataFrame, options: dict[str, object]) -> str:
-    """SHA-256 over the ordered manifest of a corpus (path, size, mtime) and the options that shape its chunks.
+    """SHA-256 over the manifest of a corpus (path, size, mtime) and the options that shape its chunks.
 
-    Each file's line is hashed where it is; lines are reduced to one hash of their sums by file-name order, so only a
-    number comes to the driver.
+    Each file's line is hashed where it is; hashes are put in order and hashed again by their first three digits, then
+    the 4096 results in order, so one hash comes to the driver whatever the number of files.
     """
     line = F.sha2(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime").cast("string")), 256)
-    parts = [F.sum(F.conv(F.substring(line, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") * (1 + F.pmod(F.xxhash64("path"), F.lit(1 << 20)))).alias(f"s{k}") for k in range(8)]
-    found = manifest.agg(F.count("*").alias("n"), *parts).select(F.sha2(F.concat_ws("|", *["n", *[f"s{k}" for k in range(8)]], F.lit(repr(sorted(options.items())))), 256)).first()
-    return found[0]
+    ordered = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "|"), 256)
+    parts = manifest.select(line.alias("line")).groupBy(F.substring("line", 1, 3).alias("head")).agg(ordered("line").alias("part"))
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "part"))), lambda p: p["part"]), "|").alias("parts"))
+    return whole.select(F.sha2(F.concat_ws("|", "parts", F.lit(repr(sorted(options.items())))), 256)).first()[0]
 
 
 def refresh(manifest: DataFrame, chunks_of: DataFrame, cache: str, options: dict[str, object]) -> DataFrame:

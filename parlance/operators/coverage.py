@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions.text import question_hash
+from parlance.functions.tables import numbered
+from parlance.functions.text import question_hash, utc_text
 
 RECENT, LEDGER_LINES, SNIPPETS, SNIPPET_RECENT = 8, 2000, 6, 5
 
@@ -34,8 +35,10 @@ def coverage_ratio(chunk_count: DataFrame, used: DataFrame) -> DataFrame:
 def least_covered(ratios: DataFrame, fraction: float) -> DataFrame:
     """The given share of sources with the least ratio, one at least, by name where they tie; the share is held in [0.05, 1]."""
     fraction = min(1.0, max(0.05, fraction))
-    every = W.partitionBy()
-    ranked = ratios.withColumn("place", F.row_number().over(every.orderBy("ratio", "source"))).withColumn("n", F.count("*").over(every))
+    n = ratios.agg(F.count("*").alias("n"))
+    # Sources are numbered within stretches of the ratio, a thousandth each, so no task ranks them all.
+    stretch = F.floor(F.least(F.col("ratio"), F.lit(1e6)) * 1000)
+    ranked = numbered(ratios, stretch, "ratio", "source").withColumn("place", (F.col("place") + 1).cast("int")).join(F.broadcast(n))
     return ranked.filter(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).drop("n")
 
 
@@ -94,5 +97,5 @@ def ledger_rows(accepted: DataFrame) -> DataFrame:
     """Rows to append to the ledger: those with a question, hashed."""
     asked = accepted.filter(F.trim(F.coalesce("question", F.lit(""))) != "")
     return asked.withColumn("question_hash", question_hash(F.col("question"))).withColumn(
-        "timestamp", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        "timestamp", utc_text(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
     )

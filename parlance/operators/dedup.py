@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions.tables import written
 from parlance.functions.text import normalize_question, question_hash
 
 
@@ -51,22 +52,31 @@ def in_source_duplicates(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def commit_with_retries(
-    slots: DataFrame, ask: Callable[[DataFrame, int], DataFrame], seen: DataFrame, *, retries: int = 3, lenient: bool = False
+    slots: DataFrame,
+    ask: Callable[[DataFrame, int], DataFrame],
+    seen: DataFrame,
+    *,
+    save: Callable[[DataFrame, str], DataFrame] = written,
+    retries: int = 3,
+    lenient: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Ask for a question for every slot, again for those rejected, up to ``retries`` more times.
 
-    ``ask`` takes slots (conversation_index) and the attempt's number and adds a question. Returns the accepted rows and
-    the slots that are dropped as exhausted; with ``lenient`` the last attempt of those is accepted although it repeats.
+    ``ask`` takes slots (conversation_index) and the attempt's number and adds a question; it may call a model, so each
+    attempt's answers are written by ``save`` (a table and a name) before anything is decided on them, and are asked for
+    once. Returns the accepted rows and the slots that are dropped as exhausted; with ``lenient`` the last attempt of
+    those is accepted although it repeats.
     """
     taken: DataFrame | None = None
     waiting = slots
     for attempt in range(retries + 1):
-        judged = first_wins(ask(waiting, attempt), seen).withColumn("attempt", F.lit(attempt))
-        good = judged.filter("outcome = 'accepted'")
-        if lenient and attempt == retries:
-            good = judged.filter("outcome <> 'blank'")
-        good = good.drop("outcome", "question_key")
+        asked = save(ask(waiting, attempt), f"asked_{attempt}")
+        judged = first_wins(asked, seen).withColumn("attempt", F.lit(attempt))
+        good = judged.filter("outcome <> 'blank'" if lenient and attempt == retries else "outcome = 'accepted'")
+        good = save(good.drop("outcome", "question_key"), f"accepted_{attempt}")
         taken = good if taken is None else taken.unionByName(good)
         seen = seen.select("question").unionByName(good.select("question"))
-        waiting = waiting.join(good.select("conversation_index"), "conversation_index", "left_anti")
+        waiting = save(waiting.join(good.select("conversation_index"), "conversation_index", "left_anti"), f"waiting_{attempt}")
+        if attempt < retries and not waiting.limit(1).count():
+            break
     return taken, waiting.withColumn("drop_reason", F.lit("dedup_exhausted"))

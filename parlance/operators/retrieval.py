@@ -91,6 +91,29 @@ def rerank(results: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series
     return ranked.filter(F.col("new_rank") <= k).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
+def search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
+    *,
+    k: int | None = None,
+    default_k: int = TOP_K,
+    score: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
+) -> DataFrame:
+    """The passages of texts that are asked: ``queries`` has query_id and query, ``chunks`` id, v, text and source.
+
+    ``embed`` adds ``v`` to a table with query. Queries are stripped, blank ones find nothing; k that is no positive
+    number is the default; with a scorer more candidates are found and reranked.
+    """
+    wanted = k if isinstance(k, int) and k > 0 else default_k
+    asked = queries.withColumn("query", strip(F.col("query"))).filter("query <> ''")
+    asked_v = embed(asked)
+    found = nearest(asked_v.select("query_id", F.col("v").alias("q")), chunks, max(wanted, CANDIDATES) if score else wanted)
+    if score:
+        found = rerank(found.join(asked.select("query_id", "query"), "query_id"), score, wanted)
+    return found.withColumn("text", strip(F.col("text")))
+
+
 def render(results: DataFrame) -> DataFrame:
     """Each query's passages as lines of source and content in order of rank, or a sentence that there are none."""
     line = F.concat(F.lit("["), "source", F.lit("] "), strip(F.col("text")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions.tables import numbered
 from parlance.functions.text import question_hash, uniform
 
 #: Chances of followup, adjacent, fresh and off_topic questions, up to the second turn and after it.
@@ -75,14 +76,15 @@ def seed_question(seeds: DataFrame, ledger: DataFrame, slots: DataFrame, *, seed
     left = hashed.join(ledger.select("seed_question_hash").distinct(), "seed_question_hash", "left_anti")
     used = ledger.filter("seed_topic <> ''").groupBy(F.col("seed_topic").alias("topic")).agg(F.count("*").alias("used"))
     eligible = left.join(used, "topic", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    eligible = eligible.withColumn("least", F.min("used").over(W.partitionBy())).filter("used = least").drop("used", "least")
+    least = eligible.agg(F.min("used").alias("least"))
+    eligible = eligible.join(F.broadcast(least)).filter("used = least").drop("used", "least")
     # Eligible questions are numbered in an order fixed by the seed; each slot's draw picks a number.
-    every = W.partitionBy()
-    numbered = eligible.withColumn("place", F.row_number().over(every.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "seed_question_hash")), "topic", "question")) - 1)
+    eligible = eligible.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "seed_question_hash")))
+    listed = numbered(eligible, F.substring("order_key", 1, 3), "order_key", "topic", "question").drop("order_key")
     n = eligible.agg(F.count("*").alias("n"))
     asks = slots.filter(uniform(F.col("slot"), seed=f"{seed}-p") <= probability).join(F.broadcast(n))
     asks = asks.withColumn("place", F.floor(uniform(F.col("slot"), seed=f"{seed}-q") * F.col("n")).cast("int"))
-    return asks.join(numbered, "place").drop("place", "n")
+    return asks.join(listed, "place").drop("place", "n")
 
 
 def snippets(tries: list[DataFrame], n: int = 6) -> DataFrame:

@@ -595,3 +595,6 @@ def tool_messages(spark, d):
     event = F.struct(F.lit("").alias("id"), F.lit("search").alias("name"), F.lit("{}").alias("arguments"), F.lit("found").alias("result"))
     turns = paired_turns(spark, d).withColumn("tool_events", F.array_repeat(event, F.col("turn_index") % 3))
     return conversations.messages_with_tools(turns).select("conv_id", "turn_index", "role", "tool_call_id")
+
+
+from parlance.plans import catalog_records, catalog_runs  # noqa: E402, F401  (they add their queries to these)

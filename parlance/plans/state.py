@@ -115,7 +115,8 @@ def run_batch(
     """
     spark, turns = slots.sparkSession, None
     for turn in range(1, last_turn + 1):
-        good, gone = commit_with_retries(active_for(slots, turn).select("conversation_index"), lambda s, n, t=turn: ask(s, t, n), seen, retries=retries)
+        keep = lambda df, name, t=turn: checkpoint(df, folder, run_id, t, name)
+        good, gone = commit_with_retries(active_for(slots, turn).select("conversation_index"), lambda s, n, t=turn: ask(s, t, n), seen, save=keep, retries=retries)
         asked = checkpoint(good.select("conversation_index", "question", "attempt"), folder, run_id, turn, "asked")
         gone = checkpoint(gone.select("conversation_index", "drop_reason"), folder, run_id, turn, "dropped")
         told = checkpoint(answer(asked).withColumn("turn_index", F.lit(turn)), folder, run_id, turn, "turns")

@@ -70,7 +70,7 @@ def complete(rows: DataFrame, call: Callable[[dict], str], parse: Callable[[str]
     ``call`` gets the row as a mapping with ``repair`` set to the broken answer on a retry. An answer that never
     parses gives a null reply.
     """
-    schema = StructType([*rows.schema.fields]).add("reply", "string").add("attempts", "int")
+    schema = StructType([*rows.schema.fields]).add("reply", "string").add("attempts", "integer")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.text import better_text, is_object, strict_variant, strip
+from parlance.functions.text import is_object, strict_variant, strip
 
 SUFFIXES = (".txt", ".md", ".pdf")
 
@@ -20,36 +20,40 @@ def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
 
     UTF-8, else Latin-1; stripped; what can't be read is blank. PDF pages go through an adapter if its library is there.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # The scan itself leaves other files' contents unread.
+    any_case = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in SUFFIXES) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case).load(folder)
     suffix = F.concat(F.lit("."), F.lower(F.element_at(F.split("path", r"\."), -1)))
-    rows = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(*SUFFIXES))
-    plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    texts = rows.filter("suffix <> '.pdf'").select("path", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), strip(plain).alias("text"))
-    pdfs = rows.filter("suffix = '.pdf'").select("path", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    return texts.unionByName(pdf_text(pdfs))
+    rows = files.select("path", suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    text = F.col("content").cast("string")
+    plain = strip(F.when(F.is_valid_utf8(text), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1")))
+    return rows.withColumn("text", F.when(F.col("suffix") == ".pdf", pdf_reader()(F.col("content"))).otherwise(plain)).drop("content")
 
 
-def pdf_text(files: DataFrame) -> DataFrame:
-    """Text of PDF files: of each page the better of the layout's and the plain reading; blank without the library."""
+def pdf_reader():
+    """Text of PDF contents: of each page the reading with more letters, of the layout's and the plain one; a file that can't be read is blank.
+
+    The reader's library is needed where there are PDF files, and its absence an error there.
+    """
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: "" if c is None or not bytes(c[:5]).startswith(b"%PDF") else "\n".join(map(better_reading, _pdf_pages(c))).strip())
+
+    return read
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(path, n, layout, plain) for path, content in zip(batch["path"], batch["content"]) for n, (layout, plain) in enumerate(_pdf_pages(content))]
-            yield pd.DataFrame(out, columns=["path", "page", "layout", "plain"])
 
-    pages = files.select("path", "content").mapInPandas(read, "path string, page int, layout string, plain string")
-    parts = F.array_sort(F.collect_list(F.struct("page", better_text(F.col("layout"), F.col("plain")).alias("text"))))
-    texts = pages.groupBy("path").agg(strip(F.array_join(F.transform(parts, lambda p: p["text"]), "\n")).alias("text"))
-    return files.drop("content").join(texts, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+def better_reading(pair: tuple[str, str]) -> str:
+    """Of two readings of a page the one with the larger share of letters; the longer one, then the first, if they tie."""
+    share = lambda x: sum(c.isalpha() for c in x) / max(1, len(x))
+    return max(pair, key=lambda x: (share(x), len(x)))
 
 
 def _pdf_pages(content: bytes) -> list[tuple[str, str]]:
-    try:
-        import io
+    import io
+
+    from pypdf import PdfReader
 
-        from pypdf import PdfReader
-    except ImportError:
-        return []
     try:
         return [(page.extract_text(extraction_mode="layout") or "", page.extract_text() or "") for page in PdfReader(io.BytesIO(content)).pages]
     except Exception:
