@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, matching, save
+from .common import bitmap, matching, save, spread
 from .shingles import WordHashes, grams, hashed, mix, words_of
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
@@ -25,7 +25,7 @@ REACH = 8
 #: Words between two neighbouring shared seeds, at most, for them to make a pair; words that a passage steps over at most.
 NEAR, APART = 30, 50
 #: Words on either side of a chain that are looked at first, in passages; where a passage goes on beyond them, more are.
-MARGIN = 4
+MARGIN = 1
 #: A mismatch costs so much, a match gains one, and an end is drawn no further once it has lost DROP.
 MISMATCH, DROP = 1, 8
 
@@ -51,10 +51,7 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     elif not len(at):
         at = np.array([int(np.argmin(seeds))])
     found = seeds[at]
-    order = np.argsort(found, kind="stable")
-    first = np.r_[True, found[order][1:] != found[order][:-1]]
-    turn = np.empty(len(at), dtype=np.int64)
-    turn[order] = np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    turn = turns(found)
     again = turn > 0
     if again.any():
         found = np.concatenate([found, mix(found[again] ^ mix(turn[again].astype(np.uint64)))])
@@ -62,6 +59,15 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at
 
 
+def turns(values: np.ndarray) -> np.ndarray:
+    """How often each value has come before in the array."""
+    order = np.argsort(values, kind="stable")
+    first = np.r_[True, values[order][1:] != values[order][:-1]]
+    out = np.empty(len(values), dtype=np.int64)
+    out[order] = np.arange(len(values)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return out
+
+
 #: Odd numbers, inverse to each other modulo 2^64: bases of the hashes of long runs.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -113,6 +119,10 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
     where = pos, other
     order = np.lexsort((other, pos))
     pos, other = pos[order], other[order]
+    step, leap = np.diff(pos), np.diff(other)
+    if (step > 0).all() and (leap > 0).all() and (GAP * (step + leap) < SEED_WORDS).all():
+        # All follow one another at less cost than they are worth: the best chain has them all.
+        return [order] if len(order) > 1 else []
     rank = np.unique(other, return_inverse=True)[1]
     tree, n = Fenwick(int(rank.max()) + 1), len(pos)
     score, before = np.zeros(n), np.full(n, -1)
@@ -205,13 +215,13 @@ def align(a: list[int], b: list[int], pos: list[int], other: list[int]) -> tuple
     return i - left[0], end_i + right[0], j - left[1], end_j + right[1], matched + left[2] + right[2]
 
 
-def seams(h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seams(own: int, h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, and places of both seeds, of the pairs of neighbouring shared seeds that no one least text explains.
 
     Such a pair lies where one shared stretch ends and the next begins. A pair that matches with one text lead over is
     not given: the passage is found in that text. ``pos`` must rise; a seed given twice makes pairs in either form.
     """
-    open_ = bridged(of, pos, of_pos)
+    open_ = bridged(own, of, pos, of_pos)
     first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
     last = np.r_[first[1:], len(pos)] - 1
     out = []
@@ -226,14 +236,14 @@ def seams(h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) ->
     return tuple(np.concatenate(x) for x in zip(*(out[:1] if len(first) == len(pos) else out)))
 
 
-def bridged(of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> np.ndarray:
-    """Of the words from the first to the last match, how many up to each lie between no two matches with one text.
+def bridged(own: int, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> np.ndarray:
+    """Of the words from the first to the last match, how many up to each lie between no two matches with one other text than ``own``.
 
     Such matches follow each other at nearly one distance, near enough for their chain to lead over what is between.
     """
     order = np.lexsort((pos, of))
     of, at, apart = of[order], pos[order], (pos - of_pos)[order]
-    near = (of[1:] == of[:-1]) & (np.diff(at) <= 2 * NEAR) & (np.abs(np.diff(apart)) <= SEED_WORDS)
+    near = (of[1:] == of[:-1]) & (of[1:] != own) & (np.diff(at) <= 2 * NEAR) & (np.abs(np.diff(apart)) <= SEED_WORDS)
     depth = np.zeros(int(pos.max()) + 2, dtype=np.int64)
     np.add.at(depth, at[:-1][near], 1)
     np.add.at(depth, at[1:][near], -1)
@@ -280,7 +290,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 seen.add(key)
                 values = hashed(words_of(text), hashes)
                 found, at = minimizers(values)
-                h.append(np.append(found.view(np.int64), 0))
+                h.append(np.append(found.view(np.int64), key))
                 pos.append(np.append(at, -len(values)))
                 t.append(np.full(len(at) + 1, key))
                 if sum(map(len, h)) > 500_000:
@@ -289,13 +299,41 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             if h:
                 yield pd.DataFrame({"h": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
 
-    # A text's row with place -n says that it has n words.
-    places = save(rows.select("t", "text").mapInPandas(seeds, "h long, t long, pos int"), "seeds")
-    seed = places.filter("pos >= 0 and h <> 0")
-    least = seed.groupBy("h").agg(F.min(F.struct("t", "pos")).alias("first"), F.max("t").alias("last")).filter("first.t < last")
-    least = save(least.select("h", F.col("first.t").alias("of"), F.col("first.pos").alias("of_pos")), "shared")
-    # By text: the least text itself takes part too, as its pairs and long runs may be others' partners.
-    matches = seed.join(least, "h").groupBy("t").agg(F.collect_set(F.struct("pos", "h", "of", "of_pos")).alias("m")).filter(F.size("m") > 1)
+    # A text's row with place -n, under a hash of its own, says that it has n words.
+    places = rows.select("t", "text").mapInPandas(seeds, "h long, t long, pos int")
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of rows in order of seed, text and place: those of seeds that several texts have, with the seed's first, and the numbers of words.
+
+        Of a seed that a batch ends in, its rows wait for the next batch while they are of one text; once several have it,
+        its first is all that is kept, however many rows there are.
+        """
+        waiting, known = pd.DataFrame({"h": [], "t": [], "pos": []}, dtype=np.int64), None
+        for batch in batches:
+            if batch.empty:
+                continue
+            h, t, pos = (np.concatenate([waiting[c].to_numpy(), batch[c].to_numpy()]).astype(np.int64) for c in ("h", "t", "pos"))
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            first_t, first_pos = t[start], pos[start]
+            if known and known[0] == h[0]:
+                first_t[0], first_pos[0] = known[1:]
+            size = np.diff(np.r_[start, len(h)])
+            of, of_pos = np.repeat(first_t, size), np.repeat(first_pos, size)
+            several = np.logical_or.reduceat(t != of, start)
+            if known and known[0] == h[0]:
+                several[0] = True
+            known = (int(h[-1]), int(first_t[-1]), int(first_pos[-1])) if several[-1] else None
+            tail = start[-1] if known is None else len(h)
+            waiting = pd.DataFrame({"h": h[tail:], "t": t[tail:], "pos": pos[tail:]})
+            out = np.flatnonzero(np.repeat(several, size)[:tail] | (pos[:tail] < 0))
+            yield pd.DataFrame({"t": t[out], "pos": pos[out], "h": h[out], "of": of[out], "of_pos": of_pos[out]})
+        rest = waiting[waiting["pos"] < 0]
+        yield pd.DataFrame({"t": rest["t"], "pos": rest["pos"], "h": rest["h"], "of": rest["t"], "of_pos": rest["pos"]})
+
+    held_by = save(spread(places, "h").sortWithinPartitions("h", "t", "pos").mapInPandas(shared, "t long, pos int, h long, of long, of_pos int"), "shared")
+    lengths = held_by.filter("pos < 0").groupBy("t").agg((-F.min("pos")).alias("n_words"))
+    # By text: the first text of a seed itself takes part too, as its pairs and long runs may be others' partners.
+    matches = held_by.filter("pos >= 0").groupBy("t").agg(F.collect_set(F.struct("pos", "h", "of", "of_pos")).alias("m")).filter(F.size("m") > 1)
     matches = matches.select("t", *[F.col(f"m.{c}").alias(c) for c in ("pos", "h", "of", "of_pos")])
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,11 +343,15 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 order = np.lexsort((h, pos))
                 pos, h, of, of_pos = pos[order].astype(np.int64), h[order], of[order], of_pos[order].astype(np.int64)
                 out += [("run", t, 0, [a, b], []) for a, b in stretches(pos, passage)]
-                out += [("pair", t, k, [x, y], []) for k, x, y in zip(*(v.tolist() for v in seams(h.view(np.uint64), of, pos, of_pos)))]
+                out += [("pair", t, k, [x, y], []) for k, x, y in zip(*(v.tolist() for v in seams(t, h.view(np.uint64), of, pos, of_pos)))]
                 group = np.argsort(of, kind="stable")
-                for part in np.split(group, np.flatnonzero(np.diff(of[group]) != 0) + 1):
-                    # A chain needs two matches that are far enough apart.
-                    if of[part[0]] == t or len(part) < 2 or pos[part[-1]] - pos[part[0]] < REACH - SEED_WORDS:
+                start = np.flatnonzero(np.r_[True, np.diff(of[group]) != 0])
+                end = np.r_[start[1:], len(group)]
+                # A chain needs two matches that are far enough apart.
+                far = pos[group[end - 1]] - pos[group[start]] >= max(1, REACH - SEED_WORDS)
+                for x, y in zip(start[far].tolist(), end[far].tolist()):
+                    part = group[x:y]
+                    if of[part[0]] == t:
                         continue
                     p, o = pos[part], of_pos[part]
                     for chain in chains(p, o):
@@ -337,6 +379,9 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     chain_columns = "t long, of long, pos array<int>, of_pos array<int>"
     pairs = save(hubs(links.filter("what = 'pair'").select(F.col("of").alias("key"), "t", "pos")).mapInPandas(paired, chain_columns), "pairs")
+    spanned = found.groupBy("t", "of").agg(F.collect_list(F.struct(F.element_at("pos", 1).alias("a"), F.element_at("pos", -1).alias("b"))).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["a"] <= F.element_at("pos", 1)) & (x["b"] >= F.element_at("pos", -1)))
+    pairs = pairs.join(spanned, ["t", "of"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
     runs = links.filter("what = 'run'").select("t", F.struct(F.col("pos")[0].alias("a"), F.col("pos")[1].alias("b")).alias("run"))
     wanted = found.unionByName(pairs).select(F.explode(F.array("t", "of")).alias("t"), F.lit(None).cast("struct<a:int,b:int>").alias("run")).unionByName(runs)
     wanted = save(wanted.groupBy("t").agg(F.collect_set("run").alias("runs")), "wanted")
@@ -358,17 +403,16 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = save(words, "words")
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Windows that follow one another in both texts make one chain of two seeds, at its ends."""
+        """Windows that follow one another in both texts are one passage, alike word for word."""
         for batch in batches:
             out = []
             for t, of, pos, other in zip(batch["t"], batch["of"], batch["pos"], batch["of_pos"]):
                 order = np.lexsort((pos, pos - other))
                 pos, other = pos[order].astype(np.int64), other[order].astype(np.int64)
                 cut = np.flatnonzero((np.diff(pos) != 1) | (np.diff(other) != 1)) + 1
-                reach = max(0, passage - SEED_WORDS)
                 for a, b in zip(np.r_[0, cut].tolist(), (np.r_[cut, len(pos)] - 1).tolist()):
-                    out.append((t, of, [int(pos[a]), int(pos[b]) + reach], [int(other[a]), int(other[b]) + reach]))
-            yield pd.DataFrame(out, columns=["t", "of", "pos", "of_pos"])
+                    out.append((t, of, int(pos[a]), int(pos[b]) + passage, int(other[a]), int(other[b]) + passage, int(pos[b]) - int(pos[a]) + passage))
+            yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched"])
 
     words = save(words.dropDuplicates(["t"]), "words_once")
     # Of either text only the stretch about the chain goes on.
@@ -427,7 +471,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         closed[x["end_word"] - passage + 1] -= 1
                 inside = np.cumsum(closed) > 0
                 for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                    keys = long_grams(values[a:b].view(np.uint64), passage).view(np.int64)
+                    keys = long_grams(values[a:b].view(np.uint64), passage)
+                    # A window that comes again in a stretch is told by its number, so that its places don't multiply.
+                    turn = turns(keys)
+                    keys = np.where(turn > 0, mix(keys ^ mix(turn.astype(np.uint64))), keys).view(np.int64)
                     at = np.arange(a, a + len(keys))
                     ok = ~inside[at] if listed is None else inside[at] & listed(keys)
                     h.append(keys[ok])
@@ -442,11 +489,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     open_ = save(stretched.mapInPandas(exact, "key long, t long, pos int"), "open")
     listed = bitmap(open_, "key")
     same = open_.unionByName(save(stretched.mapInPandas(exact, "key long, t long, pos int"), "closed"))
-    same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, chain_columns)
-    spans = spans.unionByName(passages_of(save(same, "same"), "longer_spans"))
+    same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, span_columns)
+    spans = spans.unionByName(save(same, "same"))
     members = save(rows.select("id", "t"), "members")
     texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
-    lengths = places.filter("pos < 0").groupBy("t").agg((-F.min("pos")).alias("n_words"))
     copies = texts.filter("copies > 1").join(lengths, "t").filter(F.col("n_words") >= passage).select(
         "t", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.col("n_words").alias("matched"), F.lit("copy").alias("kind"), F.col("least_id").alias("other_id")
     )
