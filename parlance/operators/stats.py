@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.tables import written
 from parlance.functions.text import token_estimate, word_count
 
 BINS = 12
 
 
-def message_sizes(messages: DataFrame) -> DataFrame:
-    """Words and estimated tokens of each message: conv_id, turn, words, tokens."""
-    return messages.select("conv_id", "turn", word_count(F.col("text")).alias("words"), token_estimate(F.col("text")).alias("tokens"))
+def message_sizes(messages: DataFrame, *more: str) -> DataFrame:
+    """Words and estimated tokens of each message: conv_id, turn, words, tokens, and other columns if asked for."""
+    return messages.select("conv_id", "turn", *more, word_count(F.col("text")).alias("words"), token_estimate(F.col("text")).alias("tokens"))
 
 
 def conversation_sizes(messages: DataFrame) -> DataFrame:
@@ -22,7 +23,11 @@ def conversation_sizes(messages: DataFrame) -> DataFrame:
 
 def text_totals(messages: DataFrame) -> DataFrame:
     """One row of averages. Conversations without words don't count; messages without do."""
-    per = conversation_sizes(messages)
+    return totals_of(conversation_sizes(messages))
+
+
+def totals_of(per: DataFrame) -> DataFrame:
+    """The averages from the conversations' sums."""
 
     def mean(x: Column, n: Column) -> Column:
         return F.bround(F.when(n > 0, x / n), 4)
@@ -40,6 +45,11 @@ def turn_counts(messages: DataFrame, records: DataFrame | None = None) -> DataFr
     asked = messages.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"))
     if records is None:
         return asked.select("conv_id", F.nullif("asked", F.lit(0)).alias("n_turns"))
+    return turns_of(records, asked)
+
+
+def turns_of(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """The turns of each record, with the user messages counted as ``asked``."""
     both = records.join(asked, "conv_id", "left")
     said = F.col("n_turns").try_cast("double").cast("long")
     return both.select("conv_id", F.coalesce(said, F.nullif(F.col("judged_turns").cast("long"), F.lit(0)), F.nullif("asked", F.lit(0))).alias("n_turns"))
@@ -100,17 +110,19 @@ def judged(records: DataFrame) -> DataFrame:
 def report(messages: DataFrame, records: DataFrame, *, bins: int = BINS) -> DataFrame:
     """The whole report as rows (metric, bucket, value).
 
-    ``records`` has conv_id, language, n_turns, judged_turns, avg_score, conversation_score, per_turn. Grains are
-    aggregated apart and put together: each is one pass with partial sums, and only a few rows come out.
+    ``records`` has conv_id, language, n_turns, judged_turns, avg_score, conversation_score, per_turn. Messages are read
+    once: their sums by conversation are written, and all that concerns texts and turns comes from that small table.
     """
+    sums = message_sizes(messages.withColumn("asked", (F.col("role") == "user").cast("int")), "asked").groupBy("conv_id")
+    sizes = written(sums.agg(F.count("*").alias("n_messages"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("asked").alias("asked")), "sizes")
 
     def long(df: DataFrame, metric: str, bucket: str | None, value: str) -> DataFrame:
         key = F.col(bucket).cast("string") if bucket else F.lit("")
         return df.select(F.lit(metric).alias("metric"), key.alias("bucket"), F.col(value).cast("double").alias("value"))
 
-    turns, scored, sizes = turn_counts(messages, records), judged(records), conversation_sizes(messages)
+    turns, scored = turns_of(records, sizes.select("conv_id", "asked")), judged(records)
     turn_scores = scored.select(F.explode("per_turn").alias("s")).filter("s is not null")
-    limits, totals = spread(turns, "n_turns"), text_totals(messages)
+    limits, totals = spread(turns, "n_turns"), totals_of(sizes)
     coverage = scored.agg(F.count_if("has_score").alias("n"), F.bround(F.avg("score"), 4).alias("mean"))
     turn_mean = turn_scores.agg(F.count("*").alias("n"), F.bround(F.avg("s"), 4).alias("mean"))
     parts = [

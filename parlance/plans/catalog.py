@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.functions.tables import numbered
 from parlance.operators import canonical, chunking, conversations, coverage, dedup, retrieval, sampling, seeds, stats
 from parlance.plans import state
 
@@ -181,13 +181,13 @@ def normalized_dedup_first_wins(spark, d):
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, {norm_sql('text')} AS q FROM documents), m AS (SELECT median(doc_id) AS m FROM documents)
+    f"""WITH n AS (SELECT doc_id, {norm_sql('text')} AS q FROM documents), m AS (SELECT (min(doc_id) + max(doc_id)) / 2 AS m FROM documents)
     SELECT doc_id FROM (SELECT doc_id, q, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM n, m WHERE doc_id >= m)
     WHERE n = 1 AND q <> '' AND q NOT IN (SELECT q FROM n, m WHERE doc_id < m AND q IS NOT NULL)"""
 )
 def seen_anti_join(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("question"))
-    middle = F.broadcast(docs.agg(F.median("doc_id").alias("middle")))
+    middle = F.broadcast(docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("middle")))
     both = docs.join(middle)
     return dedup.accepted(both.filter("doc_id >= middle"), both.filter("doc_id < middle"), order="doc_id").select("doc_id")
 
@@ -227,20 +227,20 @@ def chunk_counts_by_source(spark, d):
     return coverage.chunk_counts(chunking.chunk(read(spark, d, "documents")))
 
 
-USAGE = "SELECT source, count(*) AS usage FROM labels JOIN documents USING (doc_id) WHERE source <> '' AND quality = 1 AND doc_id % 3 = 0 GROUP BY source"
+USAGE = "SELECT source, count(*) AS usage FROM labels JOIN documents USING (doc_id) WHERE source <> '' AND quality = 1 GROUP BY source"
 RATIOS = f"SELECT source, chunks, coalesce(usage, 0) AS usage, coalesce(usage, 0) / greatest(chunks, 1) AS ratio FROM ({CHUNK_COUNTS}) LEFT JOIN ({USAGE}) USING (source)"
 
 
 def _ratios(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", F.lit("").alias("source_path"))
-    used = read(spark, d, "labels").filter("quality = 1 and doc_id % 3 = 0").join(docs, "doc_id")
+    used = read(spark, d, "labels").filter("quality = 1").join(docs, "doc_id")
     return coverage.coverage_ratio(chunk_counts_by_source(spark, d), coverage.usage(used))
 
 
 @query(USAGE)
 def usage_by_source(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", F.lit("").alias("source_path"))
-    return coverage.usage(read(spark, d, "labels").filter("quality = 1 and doc_id % 3 = 0").join(docs, "doc_id"))
+    return coverage.usage(read(spark, d, "labels").filter("quality = 1").join(docs, "doc_id"))
 
 
 @query(f"SELECT source, chunks, usage, round(ratio, 9) AS ratio FROM ({RATIOS})")
@@ -287,12 +287,12 @@ def ledger_tail(spark, d):
 
 KNN = """SELECT q.vec_id AS query_id, c.vec_id AS id, c.label,
   round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score
-  FROM (SELECT * FROM embeddings WHERE vec_id < 10) q, embeddings c"""
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings c"""
 
 
 def _knn(spark, d, k):
     vectors = read(spark, d, "embeddings")
-    asked = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.nearest(asked, vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), k, digits=6)
 
 
@@ -370,13 +370,10 @@ def json_props_extract(spark, d):
 @query(
     f"""SELECT conv_id, turn, coalesce(array_to_string(list_filter(q, lambda x: x <> '' AND (contains(x, ' ') OR (length(x) > 2 AND lower(x) NOT IN (
     {', '.join(f"'{p}'" for p in canonical.PLACEHOLDERS)})))), '|'), '') AS queries FROM (
-    SELECT conv_id, turn, list_transform([w[1], w[2], ' ' || w[3] || ' ' || w[4], '', w[5]], lambda x: {strip_sql('x')}) AS q FROM (
-      SELECT conv_id, turn, string_split(text || ' a b c d e', ' ') AS w FROM conversations))"""
+    SELECT conv_id, turn, list_transform(list_concat(string_split(text, ' '), ['', ' ' || text || ' ']), lambda x: {strip_sql('x')}) AS q FROM conversations)"""
 )
 def clean_query_list(spark, d):
-    w = F.split(F.concat("text", F.lit(" a b c d e")), " ")
-    word = lambda k: F.element_at(w, k)
-    raw = F.array(word(1), word(2), F.concat(F.lit(" "), word(3), F.lit(" "), word(4)), F.lit(""), word(5))
+    raw = F.concat(F.split("text", " "), F.array(F.lit(""), F.concat(F.lit(" "), "text", F.lit(" "))))
     return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(canonical.clean_queries(raw), "|").alias("queries"))
 
 
@@ -417,7 +414,7 @@ def turn_targets(spark, d):
 )
 def persona_cycle(spark, d):
     ids = read(spark, d, "conversations").select("conv_id").distinct()
-    slots = ids.withColumn("slot", (F.row_number().over(W.partitionBy().orderBy("conv_id")) - 1).cast("long"))
+    slots = numbered(ids, F.expr("conv_id div 10000"), "conv_id", name="slot").withColumn("slot", F.col("slot").cast("long"))
     personas = spark.createDataFrame([(f"p{k}",) for k in range(7)], "id string")
     return sampling.assign_personas(slots, personas).select("conv_id", "persona_id")
 
@@ -559,12 +556,12 @@ def avoid_sources(spark, d):
 
 
 @query(
-    """SELECT lang AS variant, source AS topic, string_agg(q, '|' ORDER BY doc_id) AS questions FROM (
-    SELECT doc_id, lang, source, trim(split_part(text, ' ', 1)) AS q FROM documents) WHERE q <> '' GROUP BY lang, source"""
+    """SELECT r_name AS variant, n_name AS topic, concat('about ', n_name, '|', 'more on ', n_name) AS questions FROM nation JOIN region ON n_regionkey = r_regionkey"""
 )
 def seed_pivot(spark, d):
-    rows = read(spark, d, "documents").select(F.col("lang").alias("variant"), F.col("source").alias("topic"), F.col("doc_id").alias("pos"), F.trim(F.split_part("text", F.lit(" "), F.lit(1))).alias("question"))
-    wide = seeds.pivot(rows.filter("question <> ''"))
+    named = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = F.posexplode(F.array(F.concat(F.lit("about "), "n_name"), F.concat(F.lit("more on "), "n_name"))).alias("pos", "question")
+    wide = seeds.pivot(named.select(F.col("r_name").alias("variant"), F.col("n_name").alias("topic"), both))
     return wide.select("variant", F.explode("topics").alias("topic", "questions")).withColumn("questions", F.array_join("questions", "|"))
 
 

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -134,7 +135,7 @@ def public_message_list(spark, d):
 )
 def topic_snippet_rows(spark, d):
     docs = read(spark, d, "documents")
-    order = F.row_number().over(retrieval.W.partitionBy("slot").orderBy("doc_id"))
+    order = F.row_number().over(W.partitionBy("slot").orderBy("doc_id"))
     found = docs.select((F.col("doc_id") % 40).alias("slot"), "source", "doc_id").withColumn("rank", order)
     ledger = docs.select(F.col("source").alias("source_path"), "source", F.col("doc_id").cast("string").alias("question"), F.col("doc_id").alias("seq"))
     rows = coverage.topic_snippets(found, coverage.recent_per_source(ledger))
@@ -294,12 +295,12 @@ def retried_questions(spark, d):
     SELECT query_id, doc_id, new_rank AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank)::INT AS new_rank FROM c WHERE rank <= 12) WHERE new_rank <= 4"""
 )
 def reranked(spark, d):
-    order = F.row_number().over(retrieval.W.partitionBy("query_id").orderBy("doc_id"))
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("doc_id"))
     found = read(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", F.lit("q").alias("query"), "text").withColumn("rank", order).filter("rank <= 12")
     return retrieval.rerank(found, lambda q, t: t.str.len() % 97).select("query_id", "doc_id", "rank")
 
 
-SEARCH = """SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings c"""
+SEARCH = """SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings c"""
 
 
 @query(
@@ -308,7 +309,7 @@ SEARCH = """SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform
 )
 def passage_search(spark, d):
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.concat(F.lit(" t"), "vec_id", F.lit(" ")).alias("text"), F.lit("s").alias("source"))
-    asked = read(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit(" q"), "vec_id").alias("query"))
+    asked = read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit(" q"), "vec_id").alias("query"))
     embed = lambda df: df.join(vectors.select(F.col("id").alias("query_id"), "v"), "query_id")
     found = retrieval.search(asked, vectors, embed, k=0, default_k=3, score=lambda q, t: t.str.strip().str[1:].astype(int) % 7)
     return found.select("query_id", "id", "rank", "text")
@@ -422,7 +423,7 @@ def hashed_embeddings(spark, d):
     SELECT slot, id FROM t WHERE slot % 3 = 0 AND rank <= 6 UNION ALL SELECT slot, id FROM (SELECT slot, id, row_number() OVER (PARTITION BY slot ORDER BY rank DESC) AS n FROM t WHERE slot % 3 <> 0) WHERE n <= 6"""
 )
 def snippet_priority(spark, d):
-    rows = read(spark, d, "documents").select((F.col("doc_id") % 30).alias("slot"), F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(retrieval.W.partitionBy("slot").orderBy("id")))
+    rows = read(spark, d, "documents").select((F.col("doc_id") % 30).alias("slot"), F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(W.partitionBy("slot").orderBy("id")))
     return sampling.snippets([rows.filter("slot % 3 = 0"), rows.withColumn("rank", -F.col("rank"))]).select("slot", "id")
 
 
