@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, matching, save, spread
+from .common import bitmap, matching, save, small, spread
 from .shingles import WordHashes, grams, hashed, mix, words_of
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
@@ -25,7 +25,7 @@ REACH = 8
 #: Words between two neighbouring shared seeds, at most, for them to make a pair; words that a passage steps over at most.
 NEAR, APART = 30, 50
 #: Words on either side of a chain that are looked at first, in passages; where a passage goes on beyond them, more are.
-MARGIN = 1
+MARGIN = 2
 #: A mismatch costs so much, a match gains one, and an end is drawn no further once it has lost DROP.
 MISMATCH, DROP = 1, 8
 
@@ -383,24 +383,23 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     inside = F.exists("spans", lambda x: (x["a"] <= F.element_at("pos", 1)) & (x["b"] >= F.element_at("pos", -1)))
     pairs = pairs.join(spanned, ["t", "of"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
     runs = links.filter("what = 'run'").select("t", F.struct(F.col("pos")[0].alias("a"), F.col("pos")[1].alias("b")).alias("run"))
-    wanted = found.unionByName(pairs).select(F.explode(F.array("t", "of")).alias("t"), F.lit(None).cast("struct<a:int,b:int>").alias("run")).unionByName(runs)
-    wanted = save(wanted.groupBy("t").agg(F.collect_set("run").alias("runs")), "wanted")
+    runs = save(runs.groupBy("t").agg(F.flatten(F.collect_set(F.array("run.a", "run.b"))).alias("runs")), "runs")
+    members = save(rows.select("id", "t"), "members")
+    texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
+    wanted = found.unionByName(pairs).select(F.explode(F.array("t", "of")).alias("t")).unionByName(runs.select("t")).distinct()
+    # Of copies the row of least id is read.
+    wanted = save(wanted.join(texts, "t").select(F.col("t").alias("want"), F.col("least_id").alias("want_id")), "wanted")
 
     def hashes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen = WordHashes(), set()
+        hashes = WordHashes()
         for batch in batches:
-            out = []
-            for key, text, runs in zip(batch["t"].tolist(), batch["text"], batch["runs"]):
-                if key not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(key)
-                    out.append((key, hashed(words_of(text), hashes).view(np.int64), [x for r in runs for x in (r["a"], r["b"])]))
-            yield pd.DataFrame(out, columns=["t", "words", "runs"])
-
-    asked = wanted.withColumnRenamed("t", "want")
-    words = matching(rows.select("t", "text"), "t", asked, "want", F.col("t") == F.col("want"), 50_000).drop("want").mapInPandas(hashes_of, "t long, words array<long>, runs array<int>")
-    words = save(words, "words")
+            # Half a hash tells words apart well enough, beside a seed or fifty in a row.
+            yield pd.DataFrame({"t": batch["t"], "words": [(hashed(words_of(x), hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch["text"]]})
+
+    own = (F.col("t") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id"))
+    words = save(matching(rows, "t", wanted, "want", own).select("t", "text").mapInPandas(hashes_of, "t long, words array<int>"), "words")
+    if words.groupBy("t").count().filter("count > 1").limit(1).count():  # rows alike in id and text
+        words = save(words.dropDuplicates(["t"]), "words_once")
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows that follow one another in both texts are one passage, alike word for word."""
@@ -414,13 +413,14 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((t, of, int(pos[a]), int(pos[b]) + passage, int(other[a]), int(other[b]) + passage, int(pos[b]) - int(pos[a]) + passage))
             yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched"])
 
-    words = save(words.dropDuplicates(["t"]), "words_once")
     # Of either text only the stretch about the chain goes on.
     def about(chained: DataFrame, reach: int) -> DataFrame:
+        needed = small(save(chained.select(F.explode(F.array("t", "of")).alias("t")).distinct(), "needed"))
+        held = words.join(needed, "t", "left_semi")
         cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.greatest(F.lit(0), F.element_at(p, 1) - reach) + SEED_WORDS + reach)
         start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
-        near = chained.join(words.select("t", "words"), "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
-        near = near.join(words.select(F.col("t").alias("of"), "words"), "of")
+        near = chained.join(held, "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
+        near = near.join(held.withColumnRenamed("t", "of"), "of")
         return near.select("t", "of", "pos", "of_pos", "a", "a0", "a_all", cut(F.col("words"), "of_pos").alias("b"), start("of_pos").alias("b0"), F.size("words").alias("b_all"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -445,7 +445,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             chained = done.filter("more").select("t", "of", "pos", "of_pos")
             if not chained.limit(1).count():
                 return found
-            reach *= 16
+            reach *= 64
 
     span_columns = "t long, of long, start_word int, end_word int, of_start int, of_end int, matched int"
     spans = passages_of(found.unionByName(pairs), "spans")
@@ -471,7 +471,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         closed[x["end_word"] - passage + 1] -= 1
                 inside = np.cumsum(closed) > 0
                 for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                    keys = long_grams(values[a:b].view(np.uint64), passage)
+                    keys = long_grams(values[a:b].view(np.uint32).astype(np.uint64), passage)
                     # A window that comes again in a stretch is told by its number, so that its places don't multiply.
                     turn = turns(keys)
                     keys = np.where(turn > 0, mix(keys ^ mix(turn.astype(np.uint64))), keys).view(np.int64)
@@ -484,15 +484,13 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pd.DataFrame({"key": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
 
     # Windows of ``passage`` words that lie in no passage yet may still be shared: with each other, or with one that does.
-    stretched = save(words.filter(F.size("runs") > 0).join(held, "t", "left"), "stretched")
+    stretched = save(words.join(runs, "t").join(held, "t", "left"), "stretched")
     listed = None
     open_ = save(stretched.mapInPandas(exact, "key long, t long, pos int"), "open")
     listed = bitmap(open_, "key")
     same = open_.unionByName(save(stretched.mapInPandas(exact, "key long, t long, pos int"), "closed"))
     same = hubs(same).select("t", "of", *[F.col(f"m.{c}").alias(c) for c in ("pos", "of_pos")]).mapInPandas(joined, span_columns)
     spans = spans.unionByName(save(same, "same"))
-    members = save(rows.select("id", "t"), "members")
-    texts = save(members.groupBy("t").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "texts")
     copies = texts.filter("copies > 1").join(lengths, "t").filter(F.col("n_words") >= passage).select(
         "t", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.col("n_words").alias("matched"), F.lit("copy").alias("kind"), F.col("least_id").alias("other_id")
     )
