@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.snapshots import Snapshots
 from parlance.functions.text import strip
 
 SIZE, OVERLAP = 750, 150
@@ -23,16 +24,16 @@ def chunk(docs: DataFrame, *, path: str = "source", text: str = "text", size: in
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and less than the size")
-    n = n_windows(F.length(text), size, overlap)
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: k * (size - overlap))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(
-        starts,
-        lambda s: F.struct(
-            strip(F.substring(F.col(text), s + 1, F.lit(size))).alias("text"),
-            s.alias("char_start"),
-            F.least(s + size, F.length(text)).alias("char_end"),
-        ),
-    )
+    step = size - overlap
+    # The text is cut once, into pieces of a step each, as a place in it is found by counting from its start; windows
+    # are put together from pieces. What is bound by a lambda is worked out once for a text.
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    held = F.when(F.length(text) > 0, F.array(F.struct(pieces.alias("pieces"), F.length(text).alias("length"))))
+    window = lambda h, s: F.struct(
+        strip(F.left(F.array_join(F.slice(h["pieces"], (s / step).cast("int") + 1, -(-size // step)), ""), F.lit(size))).alias("text"), s.alias("char_start"), F.least(s + size, h["length"]).alias("char_end")
+    )
+    starts = lambda h: F.transform(F.sequence(F.lit(0), n_windows(h["length"], size, overlap) - 1), lambda k: k * step)
+    windows = F.flatten(F.transform(held, lambda h: F.transform(starts(h), lambda s: window(h, s))))
     kept = F.filter(windows, lambda w: w["text"] != "")
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(*rest, F.posexplode(kept).alias("chunk_index", "chunk"))
@@ -56,14 +57,10 @@ def fingerprint(manifest: DataFrame, options: dict[str, object]) -> str:
 def refresh(manifest: DataFrame, chunks_of: DataFrame, cache: str, options: dict[str, object]) -> DataFrame:
     """The cached chunks if nothing changed since they were written, else ``chunks_of``, written anew as a whole.
 
-    A snapshot for each fingerprint: no chunks of files that are gone stay behind.
+    A table for each fingerprint: no chunks of files that are gone stay behind, and what a crash left half written is no
+    cache, as it was never committed. ``plans.chunk_index`` keeps an index up to date file by file instead.
     """
-    spark = manifest.sparkSession
-    path = f"{cache.rstrip('/')}/{fingerprint(manifest, options)}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    chunks_of.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    held = Snapshots(manifest.sparkSession, f"{cache.rstrip('/')}/{fingerprint(manifest, options)}")
+    if held.latest() == 0:
+        held.publish(chunks_of)
+    return held.read()

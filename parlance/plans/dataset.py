@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.snapshots import Snapshots
 from parlance.operators import conversations as C
 from parlance.operators import records as R
 
@@ -67,7 +68,10 @@ def chat_records(rows: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as Parquet beside ``path``, then put it there by renaming: readers see the old rows or the new, never a part."""
+    """Write ``df`` as Parquet beside ``path``, then put it there by renaming: never a part, though for a moment nothing.
+
+    Readers that mustn't meet that moment read a table of versions, see ``functions.snapshots``.
+    """
     spark, part = df.sparkSession, uuid.uuid4().hex
     fresh, stale = f"{path.rstrip('/')}.{part}.tmp", f"{path.rstrip('/')}.{part}.old"
     df.write.parquet(fresh)
@@ -90,23 +94,18 @@ def write_seeds(seeds: DataFrame, path: str, *, overwrite: bool = False) -> None
 
 
 def save_run_state(slots: DataFrame, folder: str, run_id: str, status: str) -> None:
-    """The whole state of a run, in place of what was saved for it, and its id as the last one saved."""
+    """The whole state of a run as its new version, and its id as the last one saved; readers always find a whole state."""
     if status not in RUN_STATUSES:
         raise ValueError(f"no such status: {status}")
-    out = folder.rstrip("/")
-    replace_table(slots.withColumn("run_status", F.lit(status)), f"{out}/runs/{run_id}")
-    replace_table(slots.sparkSession.createDataFrame([(run_id,)], "run_id string"), f"{out}/last_run")
+    spark, out = slots.sparkSession, folder.rstrip("/")
+    Snapshots(spark, f"{out}/runs/{run_id}").publish(slots.withColumn("run_status", F.lit(status)))
+    Snapshots(spark, f"{out}/last_run").publish(spark.createDataFrame([(run_id,)], "run_id string"))
 
 
-def load_run_state(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame | None:
-    """The state saved for a run, by default for the last one; None if there is none."""
+def load_run_state(spark: SparkSession, folder: str, run_id: str | None = None, *, version: int | None = None) -> DataFrame | None:
+    """The state saved for a run, by default for the last one and as saved last; None if there is none."""
     out = folder.rstrip("/")
-    try:
-        if run_id is None:
-            last = spark.read.parquet(f"{out}/last_run").first()
-            run_id = last.run_id if last else ""
-        return spark.read.parquet(f"{out}/runs/{run_id}") if run_id else None
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    if run_id is None:
+        last = Snapshots(spark, f"{out}/last_run").read()
+        run_id = last.first().run_id if last else ""
+    return Snapshots(spark, f"{out}/runs/{run_id}").read(version) if run_id else None
