@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from parlance.functions.snapshots import Snapshots
 from parlance.functions.tables import shared_folder
+from parlance.operators import vector_index
 from parlance.plans import chunk_index
 from parlance.plans.catalog import CHUNKS, query, read
+from parlance.streaming import commits
 
 # A corpus in two states: one source comes later, another goes, and the texts of a language change.
 LATER, GONE, CHANGED = "src5", "src3", "fr"
@@ -74,3 +76,45 @@ def concurrent_commits(spark, d):
     with ThreadPoolExecutor(4) as pool:
         made = list(pool.map(held.publish, [docs.groupBy("source").agg(F.count("*").alias("n"))] * 4))
     return held.read().withColumn("versions", F.lit(len(set(made))))
+
+
+@query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1 THEN 'accepted' ELSE 'in_batch' END AS outcome FROM events")
+def stream_first_wins(spark, d):
+    """Events in files of mixed order, read file by file; the stream stops half way and goes on from its checkpoint."""
+    folder, rows = shared_folder(spark), read(spark, d, "events")
+    asked = rows.select("event_id", F.concat_ws(" ", "event_type", "user_id").alias("question"), F.col("ts").cast("timestamp").alias("ts"))
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    commits.use_store(spark)
+    # A row long after all others tells that no more of them come.
+    end = asked.agg(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("question"), (F.max("ts") + F.expr("INTERVAL 2000 DAYS")).alias("ts"))
+    for part in (asked.filter(half), asked.filter(~half), end):
+        part.repartition(2, "question").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        told = commits.first_wins_stream(stream, order="event_id", delay="800 days")
+        told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").filter("event_id >= 0").select("event_id", "outcome")
+
+
+EXACT = """SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings c)) WHERE rank <= 20"""
+
+
+def _vector_index(spark, d):
+    vectors, folder = read(spark, d, "embeddings"), f"{shared_folder(spark)}/vectors"
+    vector_index.build(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), folder)
+    return vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), folder
+
+
+@query(EXACT)
+def vector_index_all_probes(spark, d):
+    """All buckets of a table are looked into: the exact neighbours."""
+    asked, folder = _vector_index(spark, d)
+    return vector_index.nearest(asked, folder, 20, probes=1 << vector_index.MOST_BITS, digits=6)
+
+
+@query()
+def vector_index_neighbours(spark, d):
+    """The neighbours found by the probes that the index was built for; the tests hold its recall against the exact ones."""
+    asked, folder = _vector_index(spark, d)
+    return vector_index.nearest(asked, folder, 20)

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.functions.tables import shared_folder
+from parlance.functions.tables import shared_folder, written
 from parlance.operators import conversations, records, seeds, stats
 from parlance.plans import config, dataset, export, state
 from parlance.plans.catalog import PAIRED, paired_turns, query, read
 from parlance.plans.catalog_records import WIDE, done
-from parlance.sources import adapters, files, stages
+from parlance.sources import adapters, calls, files, stages
 from parlance.streaming import questions
 
 
@@ -138,21 +138,39 @@ def user_stage(spark, d):
     return adapters.complete(read(spark, d, "benchmark").select("item_id"), call, lambda x: stages.parse_object(x) or None)
 
 
-CALLS = [
-    ("none", None), ("one", {"id": 5, "function": {"name": "f", "arguments": {"a": 1}}}), ("list", [{"function": {"name": "g"}}, {"id": "x", "function": {"arguments": None}}]), ("bare", [{"id": "y"}]),
-]
-CONTENTS = [("null", None), ("text", "t"), ("parts", [{"text": "a"}, "b", {"image": 1}, {"content": "c"}]), ("mapping", {"text": "m"}), ("other", {"z": 1}), ("number", 3)]
+def _shapes(item_id: int, text: str) -> tuple[object, object]:
+    """A message's content and its calls in one of the shapes that services use."""
+    contents = [
+        None, text, [{"text": text}, "b", {"image": 1}, {"content": "c"}, None], {"text": None, "content": text}, {"z": item_id}, [{"text": item_id}, {"content": 5}], item_id, {"text": item_id}, True,
+    ]
+    named = {"id": item_id, "function": {"name": "f", "arguments": {"q": text[:5]}}}
+    calls = [None, named, [named, {"function": {"name": "g"}}], [{"id": "x", "function": {"arguments": None}}, {"id": None}], {"function": {"name": None, "arguments": "[1]"}}]
+    return contents[item_id % len(contents)], calls[item_id % len(calls)]
 
 
 @query(
-    values_sql(
-        [("call none", ""), ("call one", '5:f:{"a": 1}'), ("call list", ":g:{}|x::{}"), ("call bare", "y::{}"), ("content null", ""), ("content text", "t"), ("content parts", "abc"), ("content mapping", "m"), ("content other", '{"z": 1}'), ("content number", "3")],
-        "shape", "text",
-    )
-)
+    """SELECT item_id, CASE item_id % 9 WHEN 1 THEN text WHEN 2 THEN concat(text, 'bc') WHEN 3 THEN text WHEN 4 THEN concat('{"z": ', item_id, '}') WHEN 5 THEN item_id::VARCHAR WHEN 6 THEN item_id::VARCHAR WHEN 7 THEN item_id::VARCHAR WHEN 8 THEN 'true' ELSE '' END AS content,
+    CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat(item_id, ':f:{"q": "', left(text, 5), '"}') WHEN 2 THEN concat(item_id, ':f:{"q": "', left(text, 5), '"}|:g:{}') WHEN 3 THEN 'x::{}|::{}' ELSE '::[1]' END AS calls FROM benchmark"""
+)
 def answer_shapes(spark, d):
-    rows = [(f"call {n}", "|".join(f"{c['id']}:{c['name']}:{c['arguments']}" for c in stages.tool_calls(x))) for n, x in CALLS]
-    return table_of(rows + [(f"content {n}", stages.content_text(x)) for n, x in CONTENTS], "shape string, text string")
+    def told(batches):
+        for batch in batches:
+            shapes = [_shapes(int(k), t) for k, t in zip(batch["item_id"], batch["text"])]
+            called = ["|".join(f"{c['id']}:{c['name']}:{c['arguments']}" for c in stages.tool_calls(x)) for _, x in shapes]
+            yield pd.DataFrame({"item_id": batch["item_id"], "content": [stages.content_text(x) for x, _ in shapes], "calls": called})
+
+    return read(spark, d, "benchmark").select("item_id", "text").mapInPandas(told, "item_id long, content string, calls string")
+
+
+@query("SELECT item_id, concat(length(text), ' ', item_id % 3) AS answer, 1 AS attempts, TRUE AS asked_once FROM benchmark")
+def answered_requests(spark, d):
+    """Answers are asked for, and asked for again with a service that would answer otherwise."""
+    folder = f"{shared_folder(spark)}/answers"
+    rows = read(spark, d, "benchmark").select("item_id", "text")
+    request = lambda r: {"text": r["text"], "kind": int(r["item_id"]) % 3}
+    ask = lambda said: calls.answered(rows, lambda: lambda q: f"{len(q['text']) if said else 'none'} {q['kind']}", request, folder)
+    first, again = written(ask(True), "first"), ask(False).select("item_id", F.col("reply").alias("kept"))
+    return first.join(again, "item_id").select("item_id", F.regexp_replace("reply", '"', "").alias("answer"), "attempts", (F.col("kept") == F.col("reply")).alias("asked_once"))
 
 
 @query(
@@ -281,120 +299,106 @@ def json_document_files(spark, d):
     return files.json_documents(spark, path).select(F.try_variant_get("row", "$.id", "long").alias("id"))
 
 
-# Rules that hold on the driver.
+# Seeds and settings in files, a file for each region or customer.
 
-SEED_LAYOUTS = {
-    "variants": {"variants": {"english": {"t": [" q1 ", "", 3]}, "msa": {"u": ["q2"], "v": []}}},
-    "topics first": {"t": {"english": ["q1"], "msa": ["q2"]}, "u": {"msa": ["q3", " "]}},
-    "topics": {"t": ["q1", "q2"], "u": ["q3"]},
-    "variants first": {"english": {"t": ["q1"]}, "gulf": {"u": ["q2"]}},
-}
+#: The layouts of seed files, by region: a topic for each nation, with its questions in one or two variants.
+SEED_JSON = """CASE r_regionkey % 5
+  WHEN 0 THEN concat('{"variants": {"English": {', one, '}, "msa": {', two, '}}}')
+  WHEN 1 THEN concat('{', nested, '}')
+  WHEN 2 THEN concat('{', one, '}')
+  WHEN 3 THEN concat('{"version": 1, "topics": {" ENGLISH ": {', one, '}}, "defaults": {"by_target_language": {"AR": "English"}}}')
+  ELSE concat('{"english": {', one, '}, "gulf": {', two, '}}') END"""
+SEED_ROWS = """SELECT r_regionkey, n_name AS topic, unnest(CASE r_regionkey % 5
+    WHEN 0 THEN [{'variant': 'english', 'mark': ''}, {'variant': 'msa', 'mark': ' msa'}] WHEN 1 THEN [{'variant': 'msa', 'mark': ' msa'}, {'variant': 'english', 'mark': ''}]
+    WHEN 4 THEN [{'variant': 'english', 'mark': ''}, {'variant': 'gulf', 'mark': ' msa'}] ELSE [{'variant': 'english', 'mark': ''}] END) AS v
+  FROM nation JOIN region ON n_regionkey = r_regionkey"""
+SEED_TABLE = f"SELECT r_regionkey::VARCHAR AS path, v.variant AS variant, topic, pos::INT AS pos, concat(CASE pos WHEN 0 THEN 'what of ' ELSE 'where is ' END, topic, v.mark) AS question FROM ({SEED_ROWS}), (VALUES (0), (2)) p(pos)"
 
 
-@query(
-    values_sql(
-        [("variants", "english", "t", 0, "q1"), ("variants", "msa", "u", 0, "q2"), ("topics first", "english", "t", 0, "q1"), ("topics first", "msa", "t", 0, "q2"), ("topics first", "msa", "u", 0, "q3"),
-         ("topics", "english", "t", 0, "q1"), ("topics", "english", "t", 1, "q2"), ("topics", "english", "u", 0, "q3"), ("variants first", "english", "t", 0, "q1"), ("variants first", "gulf", "u", 0, "q2")],
-        "layout", "variant", "topic", "pos", "question",
-    )
-)
+def _seed_files(spark, d):
+    questions = lambda mark: F.format_string(f'["  what of %s{mark} ", "", "where is %s{mark}", 3]', "n_name", "n_name")
+    entry = lambda value: F.concat(F.lit('"'), "n_name", F.lit('": '), value)
+    both = F.concat(F.lit('{"msa": '), questions(" msa"), F.lit(', "english": '), questions(""), F.lit("}"))
+    joined = lambda x: F.array_join(F.array_sort(F.collect_list(x)), ", ")
+    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files_ = rows.groupBy("r_regionkey").agg(joined(entry(questions(""))).alias("one"), joined(entry(questions(" msa"))).alias("two"), joined(entry(both)).alias("nested"))
+    return files_.select(F.col("r_regionkey").cast("string").alias("path"), F.expr(SEED_JSON).alias("text"))
+
+
+@query(SEED_TABLE)
 def seed_layouts(spark, d):
-    out = None
-    for name, payload in SEED_LAYOUTS.items():
-        rows = seeds.seed_table(spark, payload).withColumn("layout", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return seeds.seed_files(_seed_files(spark, d)).select("path", "variant", "topic", "pos", "question")
 
 
-@query(values_sql([("variants", 2, 2, 2), ("topics first", 2, 2, 3), ("topics", 1, 2, 3), ("variants first", 2, 2, 2)], "layout", "variants", "topics", "questions"))
+@query(f"SELECT path, count(DISTINCT variant) AS variants, count(DISTINCT topic) AS topics, count(*) AS questions FROM ({SEED_TABLE}) GROUP BY path")
 def seed_summaries(spark, d):
-    out = None
-    for name, payload in SEED_LAYOUTS.items():
-        rows = seeds.summary(seeds.seed_table(spark, payload)).withColumn("layout", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return seeds.summary(seeds.seed_files(_seed_files(spark, d)), "path")
 
 
-LLM = {"llm": {"agents": {"user": {"model": "m", "temperature": "0.5", "max_tokens": "x"}}}}
-ENV = {"LLM_QA_GENERATOR_API_KEY_ENV": "KEY", "KEY": "k", "LLM_USER_MODEL": "e", "N_TURNS": "4", "SEED_TOPICS_ENABLED": "no", "KB_CHUNK_SIZE": "900"}
-RULES = [
-    ("turns exact", "Turns(least=4, most=4, distribution='poisson', mean=None)", lambda: config.run_settings({"run": {"turns": {"exact": 4}}}).turns),
-    ("turns range", "Turns(least=2, most=5, distribution='exponential', mean=None)", lambda: config.run_settings({"run": {"turns": {"mode": "range", "min": 2, "max": 5, "distribution": "exp"}}}).turns),
-    ("turns both", "ValueError", lambda: config.run_settings({"run": {"turns": {"exact": 4, "min": 2}}})),
-    ("turns crossed", "ValueError", lambda: config.run_settings({"run": {"turns": {"min": 5, "max": 2}}})),
-    ("unknown key", "ValueError", lambda: config.run_settings({"runs": {}})),
-    ("unknown run key", "ValueError", lambda: config.run_settings({"run": {"turn": 1}})),
-    ("languages", "('en', 'fr')", lambda: config.run_settings({"run": {"languages": " en, fr,en,"}}).languages),
-    ("no languages", "('en',)", lambda: config.run_settings({"run": {"languages": []}}).languages),
-    ("retrieval", "ValueError", lambda: config.run_settings({"retrieval": {"chunk_size": 100, "overlap": 100}})),
-    ("judge offline", "False", lambda: config.run_settings({"judge": {"mode": "offline"}}).judged),
-    ("judge disabled", "False", lambda: config.run_settings({"judge": {"enabled": False}}).judged),
-    ("granularity", "conversation", lambda: config.run_settings({"judge": {"granularity": "Per_Conversation"}}).granularity),
-    ("granularity odd", "turn", lambda: config.granularity("odd")),
-    ("seeding", "Seeding(question='q', path='data/seeds/topics.yaml', variant='', probability=0.35, enabled=True)", lambda: config.seeding_settings({"run": {"seed_question": "q", "data": {"seeding": {"topics": {"probability": "x"}}}}})),
-    ("seeding twice", "ValueError", lambda: config.seeding_settings({"run": {"seed_question": "q", "question_seed": "r"}})),
-    ("web search", "WebSearch(enabled=True, num_results=5, timeout=9)", lambda: config.web_search_settings({"tools": {"web_search": {"enabled": "Yes", "num_results": "x", "timeout": "9"}}})),
-    ("llm model", "e", lambda: config.llm_settings(LLM, "user", ENV)["model"]),
-    ("llm temperature", "0.5", lambda: config.llm_settings(LLM, "user", ENV)["temperature"]),
-    ("llm tokens", "None", lambda: config.llm_settings(LLM, "user", ENV)["max_tokens"]),
-    ("llm key", "k", lambda: config.llm_settings(LLM, "user", ENV)["api_key"]),
-    ("llm no key", "RuntimeError", lambda: config.llm_settings(LLM, "judge", ENV)),
-    ("llm global", "ValueError", lambda: config.llm_settings({"llm": {"model": "m"}}, "user", ENV)),
-    ("llm credential", "ValueError", lambda: config.llm_settings({"llm": {"agents": {"judge": {"api_key": "k"}}}}, "user", ENV)),
-    ("env turns", "4", lambda: config.env_overrides({"run": {"turns": {"exact": 2}}}, ENV)["run"]["turns"]["exact"]),
-    ("env flag", "False", lambda: config.env_overrides({}, ENV)["run"]["data"]["seeding"]["topics"]["enabled"]),
-    ("env chunk", "900", lambda: config.env_overrides({"retrieval": {"overlap": 1}}, ENV)["retrieval"]["chunk_size"]),
-    ("env odd", "ValueError", lambda: config.env_overrides({}, {"BATCH_SIZE": "many"})),
-    ("personas", "True", lambda: config.personas_enabled({})),
-    ("personas off", "False", lambda: config.personas_enabled({"personas": {"enabled": False}})),
-    ("merge", "{'a': {'b': 1, 'c': 3}, 'd': 4}", lambda: config.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}, "d": 4})),
-    ("secrets", "{'A_TOKEN': 't', 'KEY': 'k'}", lambda: config.load_secrets("export A_TOKEN='t'\nPLAIN=x\n# B_KEY=1\nKEY=k\nHAD_SECRET=new", {"HAD_SECRET": "old"})),
-    ("template", "a {{ b }} ", lambda: config.render_template("{{ x }} {{ y }}", {"x": "a {{ b }}"})),
-    ("system prompt", "Role:\nr\n\nBackstory:\nb", lambda: config.system_prompt(" r ", " ", "b")),
-    ("task prompt", "do 1\n\nExpected output format:\nj", lambda: config.task_prompt("do {{n}}", "j", {"n": 1})),
-    ("variant explicit", "gulf", lambda: seeds.resolve_variant({"gulf", "english"}, explicit="gulf")),
-    ("variant alias", "msa", lambda: seeds.resolve_variant({"msa"}, explicit="ar", aliases={"ar": "msa"})),
-    ("variant default", "france", lambda: seeds.resolve_variant({"france", "english"}, language="fr")),
-    ("variant none", "", lambda: seeds.resolve_variant({"x"})),
-    ("topic first", "True", lambda: seeds.is_topic_first({"t": {"english": ["q"]}})),
-    ("topic second", "False", lambda: seeds.is_topic_first({"english": {"t": ["q"]}})),
-    ("waves", "[('en', 0, 2), ('en', 1, 1), ('fr', 0, 1)]", lambda: _waves()),
-    ("waves empty", "ValueError", lambda: _waves(0)),
-    ("resume", "('r1', True)", lambda: state.run_id_of("r1", "x", {"r1"})),
-    ("resume unknown", "('x', False)", lambda: state.run_id_of("r2", "x", {"r1"})),
-    ("resume size", "ValueError", lambda: state.check_resume(3, 4)),
-    ("resume none", "ValueError", lambda: state.check_resume(None, 4)),
-    ("judged file", "judged", lambda: export.effective_source("plain", "judged", 2, "plain")),
-    ("gutter", "(140, 164, 360)", lambda: (export.gutter([]), export.gutter(["x" * 20]), export.gutter(["x" * 99]))),
-    ("chart", "True", lambda: "&lt;a&gt;" in export.bar_chart("t", [("<a>", 1.0)])),
-    ("card", "True", lambda: "path: train" in export.card("me/set", "train", [("records", "", 1.0)]) and "# set" in export.card("me/set", "train", [])),
-    ("json fallback", "[True, False]", lambda: [stages.refuses_json(ValueError(x)) for x in ("response_format.type must be json_schema or text", "json_object timed out")]),
-    ("mapping", "{}", lambda: files.load_mapping("/nowhere.yaml")),
-]
-
-
-def _waves(batch: int = 2):
-    from parlance.operators.sampling import plan_waves
-
-    return plan_waves(3, batch, ["en", "fr"], {"fr": 2})
-
-
-@query(values_sql([(name, want) for name, want, _ in RULES], "rule", "outcome"))
+@query(
+    f"""SELECT path, topic, pos, question FROM (SELECT *, min(CASE variant WHEN 'msa' THEN 0 WHEN 'english' THEN 1 ELSE 2 END) OVER (PARTITION BY path, topic) AS best FROM ({SEED_TABLE}))
+    WHERE best = CASE variant WHEN 'msa' THEN 0 WHEN 'english' THEN 1 ELSE 2 END"""
+)
+def seed_fallbacks(spark, d):
+    rows = seeds.for_variant(seeds.seed_files(_seed_files(spark, d)), " MSA ", keys=("path",))
+    return rows.select("path", "topic", "pos", "question")
+
+
+@query("SELECT r_regionkey::VARCHAR AS path, CASE r_regionkey % 5 WHEN 0 THEN 'msa' WHEN 4 THEN 'english' WHEN 1 THEN 'msa' ELSE 'english' END AS ar, CASE WHEN r_regionkey % 5 = 4 THEN 'gulf' WHEN r_regionkey % 5 IN (0, 1) THEN 'english' ELSE 'english' END AS gulf FROM region")
+def seed_variants(spark, d):
+    """The variant of each file for a language, and for a wish that not all have."""
+
+    def found(batches):
+        for batch in batches:
+            held = [json.loads(t) for t in batch["text"]]
+            yield pd.DataFrame({"path": batch["path"], "ar": [seeds.chosen_variant(x, language=" AR ") for x in held], "gulf": [seeds.chosen_variant(x, explicit="GULF") for x in held]})
+
+    return _seed_files(spark, d).mapInPandas(found, "path string, ar string, gulf string")
+
+
+def _settings(key: int, segment: str) -> dict:
+    """A customer's settings: some exact, some a range, some wrong."""
+    n = key % 7
+    turns = [{"exact": key % 5 + 1}, {"mode": "range", "min": n, "max": n + 3}, {"exact": 2, "min": 1}, {"min": 5, "max": 2}][key % 4]
+    return {"run": {"turns": turns, "languages": f" {segment}, en,{segment},"}, "judge": {"mode": "offline" if key % 3 == 0 else "online"}}
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 IN (2, 3) OR (c_custkey % 4 = 1 AND c_custkey % 7 = 0) THEN 'ValueError' ELSE 'ok' END AS outcome,
+    CASE c_custkey % 4 WHEN 0 THEN c_custkey % 5 + 1 WHEN 1 THEN nullif(c_custkey % 7, 0) END::INT AS least, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 5 + 1 WHEN c_custkey % 4 = 1 AND c_custkey % 7 > 0 THEN c_custkey % 7 + 3 END::INT AS most,
+    CASE WHEN c_custkey % 4 = 0 OR (c_custkey % 4 = 1 AND c_custkey % 7 > 0) THEN concat(c_mktsegment, ',en') END AS languages, CASE WHEN c_custkey % 4 = 0 OR (c_custkey % 4 = 1 AND c_custkey % 7 > 0) THEN c_custkey % 3 <> 0 END AS judged FROM customer"""
+)
 def driver_rules(spark, d):
-    return table_of([(name, outcome(call)) for name, _, call in RULES], "rule string, outcome string")
+    """Settings of each customer, checked and brought into form where the row is."""
+
+    def checked(batches):
+        for batch in batches:
+            rows = []
+            for key, segment in zip(batch["c_custkey"], batch["c_mktsegment"]):
+                try:
+                    held = config.run_settings(_settings(int(key), segment))
+                    rows.append((key, "ok", held.turns.least, held.turns.most, ",".join(held.languages), held.judged))
+                except ValueError:
+                    rows.append((key, "ValueError", None, None, None, None))
+            yield pd.DataFrame(rows, columns=["c_custkey", "outcome", "least", "most", "languages", "judged"]).astype({"least": "Int32", "most": "Int32", "judged": "boolean"})
+
+    return read(spark, d, "customer").select("c_custkey", "c_mktsegment").mapInPandas(checked, "c_custkey long, outcome string, least int, most int, languages string, judged boolean")
 
 
-@query(values_sql([("u1", "n", "x,y", "calm"), ("user-1", "", "", ""), ("f", "fallback", "", "")], "id", "name", "traits", "style"))
+@query("SELECT concat('p', n_nationkey) AS id, n_name AS name, concat('from ', n_regionkey, ',', lower(n_name)) AS traits, CASE WHEN n_nationkey % 2 = 0 THEN 'calm' ELSE '' END AS style FROM nation UNION ALL SELECT 'f', 'fallback', '', ''")
 def persona_sources(spark, d):
-    given = files.persona_table(spark, {"personas": {"user": [{"id": "u1", "name": "n", "traits": ["x", "y"], "style": "calm"}, {}]}}, "user", [])
+    """Personas of settings that name one for each nation, and the fallback of settings without any."""
+    rows = read(spark, d, "nation").collect()
+    named = [{"id": f"p{r.n_nationkey}", "name": r.n_name, "traits": [f"from {r.n_regionkey}", r.n_name.lower()], "style": "" if r.n_nationkey % 2 else "calm"} for r in rows]
+    given = files.persona_table(spark, {"personas": {"user": named}}, "user", [])
     both = given.unionByName(files.persona_table(spark, {}, "user", [{"id": "f", "name": "fallback"}]))
     return both.withColumn("traits", F.array_join("traits", ","))
 
 
-@query("SELECT c_custkey::INT AS conversation_index, CASE WHEN c_custkey % 10 < 5 THEN 'completed' ELSE 'dropped' END AS status, CASE WHEN c_custkey % 10 < 5 THEN 2 ELSE 0 END AS n_turns FROM customer WHERE c_custkey <= 40")
+@query("SELECT c_custkey::INT AS conversation_index, CASE WHEN c_custkey % 10 < 5 THEN 'completed' ELSE 'dropped' END AS status, CASE WHEN c_custkey % 10 < 5 THEN 2 ELSE 0 END AS n_turns FROM customer")
 def batch_run(spark, d):
     """Two turns of a batch: a slot's question repeats another's unless its last digit is under five."""
-    targets = read(spark, d, "customer").filter("c_custkey <= 40").select(F.col("c_custkey").cast("int").alias("conversation_index"), F.lit("2").alias("target_n_turns"))
+    targets = read(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("conversation_index"), F.lit("2").alias("target_n_turns"))
     slots = state.init_slots(spark, "run", targets)
     own = F.col("conversation_index") % 10 < 5
     ask = lambda s, t, n: s.withColumn("question", F.when(own, F.concat(F.lit(f"t{t} "), "conversation_index")).otherwise("again"))

@@ -134,7 +134,7 @@ def seeding_settings(raw: dict) -> Seeding:
         chance = float(topics.get("probability", Seeding.probability))
     except (TypeError, ValueError):
         chance = Seeding.probability
-    return Seeding(question, str(topics.get("path") or Seeding.path), str(topics.get("variant") or ""), chance, bool(topics.get("enabled", True)))
+    return Seeding(question, str(topics.get("path") or Seeding.path), str(topics.get("variant") or ""), chance, truthy(topics.get("enabled", True)))
 
 
 @dataclass(frozen=True)
