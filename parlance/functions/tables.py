@@ -31,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows a side may have to be broadcast; beyond it a join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, whose rows must be narrow and cheap to count, marked for broadcast if it has BROADCAST_ROWS at most, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def numbered(df: DataFrame, bucket: Column, *order: str, name: str = "place") -> DataFrame:
     """Rows with their number from 0 in the order of ``bucket`` and then of ``order``.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import is_object, strip
 from parlance.operators.canonical import get, items_of, kind_of, text_of
+from parlance.operators.conversations import NO_HISTORY, evidence
 
 VERDICT = "struct<score:double,reasons:array<string>,notes:string,question_ok:boolean,answer_ok:boolean>"
 #: The entries of a reasoning trace that are normalised when it is written.
@@ -125,3 +126,18 @@ def question_inputs(slots: DataFrame, snippets: DataFrame, seeds: DataFrame, led
         F.when(use, F.col("seed_topic")).otherwise("").alias("seed_topic"),
         F.when(use, F.col("seed_question")).otherwise("").alias("seed_question"),
     )
+
+
+def conversation_judge_inputs(conversations: DataFrame) -> DataFrame:
+    """What a judge of whole conversations is given: conversation_id, public_history as lines, turns and evidence as JSON, turn_count.
+
+    ``conversations`` has conversation_id and turns; all is made within the row.
+    """
+    said = lambda t, role, name: F.when(F.coalesce(t[name], F.lit("")) != "", F.concat(F.lit("Turn "), t["turn_index"].cast("string"), F.lit(f" - {role}: "), t[name]))
+    lines = F.flatten(F.transform("turns", lambda t: F.array(said(t, "User", "user"), said(t, "Assistant", "assistant"))))
+    history = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+    told = F.transform("turns", lambda t: F.struct(t["turn_index"].alias("turn_index"), t["user"].alias("user_message"), t["assistant"].alias("assistant_message")))
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    return conversations.select(
+        "conversation_id", F.when(history == "", NO_HISTORY).otherwise(history).alias("public_history"), as_json(told).alias("turns_json"), as_json(evidence(F.col("turns"))).alias("evidence_json"), F.size("turns").alias("turn_count"),
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from parlance.functions.tables import small
 from parlance.functions.text import strip
 
 TOP_K, CANDIDATES, MOST_QUERIES = 4, 12, 10_000
@@ -53,7 +54,7 @@ def prefer_sources(results: DataFrame, preferred: DataFrame, *, allow_fallback:
     An empty preference is no filter.
     """
     marks = preferred.select(source).distinct().withColumn("is_preferred", F.lit(True))
-    marked = results.join(F.broadcast(marks), source, "left")
+    marked = results.join(small(marks), source, "left")
     any_hit = F.max(F.coalesce("is_preferred", F.lit(False))).over(W.partitionBy("query_id"))
     marked = marked.withColumn("any_hit", any_hit)
     if not marks.limit(1).count():
@@ -125,5 +126,5 @@ def render(results: DataFrame) -> DataFrame:
 def sample(chunks: DataFrame, n: int, *, seed: int = 0, sources: DataFrame | None = None) -> DataFrame:
     """``n`` chunks without replacement, of given sources or of all: those of least MD5 of seed and id."""
     if sources is not None:
-        chunks = chunks.join(F.broadcast(sources.select("source").distinct()), "source", "left_semi")
+        chunks = chunks.join(small(sources.select("source").distinct()), "source", "left_semi")
     return chunks.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(n)

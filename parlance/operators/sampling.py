@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions.tables import numbered
+from parlance.functions.tables import numbered, small
 from parlance.functions.text import question_hash, uniform
 
 #: Chances of followup, adjacent, fresh and off_topic questions, up to the second turn and after it.
@@ -62,7 +62,8 @@ def assign_personas(slots: DataFrame, personas: DataFrame, *, seed: int = 0) ->
         return slots.withColumn("persona_id", F.lit(None).cast("string"))
     cycles = slots.select(F.expr(f"slot div {n}").cast("long").alias("cycle")).distinct()
     order = W.partitionBy("cycle").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cycle").cast("string"), "persona_id")), "persona_id")
-    pool = cycles.join(F.broadcast(personas.select(F.col("id").alias("persona_id")))).withColumn("place", F.row_number().over(order) - 1)
+    # Each cycle has all personas: as many rows as there are slots, and a cycle more.
+    pool = cycles.join(small(personas.select(F.col("id").alias("persona_id")))).withColumn("place", F.row_number().over(order) - 1)
     keyed = slots.withColumns({"cycle": F.expr(f"slot div {n}").cast("long"), "place": F.expr(f"cast(slot % {n} as int)")})
     return keyed.join(pool, ["cycle", "place"], "left").drop("cycle", "place")
 
@@ -87,6 +88,56 @@ def seed_question(seeds: DataFrame, ledger: DataFrame, slots: DataFrame, *, seed
     return asks.join(listed, "place").drop("place", "n")
 
 
+#: Modes whose snippets are searched for, and which text is asked.
+SEARCHED = ("seeded", "followup", "adjacent")
+
+
+def snippet_queries(slots: DataFrame) -> DataFrame:
+    """What is searched for each slot (slot, mode, seed_query, last_assistant): slot and query; none for other modes and blank texts."""
+    last = F.coalesce(F.nullif("last_assistant", F.lit("")), F.col("seed_query"))
+    query = F.when(F.col("mode") == "seeded", F.col("seed_query")).when(F.col("mode").isin("followup", "adjacent"), last)
+    return slots.select("slot", query.alias("query")).filter("query <> ''")
+
+
+def draws(slots: DataFrame, chunks: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
+    """For each slot ``n`` different chunks (id and other columns) with their rank, all chunks alike in chance.
+
+    Chunks lie in a row by the hash of seed and id; a slot takes those from a place on that its own hash names, round
+    the end. So slots meet their chunks by place, in one join.
+    """
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    laid = numbered(chunks.withColumn("_hash", hashed), F.substring("_hash", 1, 2), "_hash", "id").drop("_hash")
+    count = laid.agg(F.count("*").alias("_n"))
+    first = slots.select("slot").join(F.broadcast(count)).filter("_n > 0").withColumn("_at", F.floor(uniform(F.col("slot"), seed=f"{seed}-draw") * F.col("_n")).cast("long"))
+    asked = first.withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("_n").cast("int"))))).withColumn("place", (F.col("_at") + F.col("rank") - 1) % F.col("_n"))
+    return asked.join(laid, "place").drop("place", "_n", "_at")
+
+
+def snippet_cascade(
+    slots: DataFrame, found: DataFrame, chunks: DataFrame, used: DataFrame, preferred: DataFrame, *, n: int = 6, drawn: int = 8, seed: int = 0
+) -> DataFrame:
+    """Snippets of each slot: what its search found, less used chunks, of preferred sources if any is among them; else
+    chunks drawn from preferred sources; else chunks drawn from all. Adds ``way`` (0, 1 or 2); the first ``n`` of each.
+
+    ``slots`` has slot and mode, ``found`` slot, rank and the columns of ``chunks`` (id, source), ``used`` id, and
+    ``preferred`` source, see ``retrieval.effective_preference``. Slots of other modes than SEARCHED have no search.
+    """
+    searched = slots.filter(F.col("mode").isin(*SEARCHED)).select("slot")
+    hits = found.join(searched, "slot", "left_semi").join(used.select("id").distinct(), "id", "left_anti")
+    marks = small(preferred.select("source").distinct().withColumn("_wanted", F.lit(True)))
+    hits = hits.join(marks, "source", "left")
+    some = F.max(F.coalesce("_wanted", F.lit(False))).over(W.partitionBy("slot"))
+    hits = hits.withColumn("_some", some).filter("_wanted OR NOT _some").drop("_wanted", "_some")
+    free = chunks.join(used.select("id").distinct(), "id", "left_anti")
+    names = ["slot", "rank", *chunks.columns]
+    left = slots.select("slot").join(hits.select("slot").distinct(), "slot", "left_anti")
+    near = draws(left, free.join(marks, "source", "left_semi"), drawn, seed=seed)
+    rest = draws(left.join(near.select("slot").distinct(), "slot", "left_anti"), free, drawn, seed=seed)
+    tries = [df.select(*names).withColumn("way", F.lit(k)) for k, df in enumerate((hits, near, rest))]
+    out = tries[0].unionByName(tries[1]).unionByName(tries[2])
+    return out.withColumn("_n", F.row_number().over(W.partitionBy("slot").orderBy("rank", "id"))).filter(F.col("_n") <= n).drop("_n")
+
+
 def snippets(tries: list[DataFrame], n: int = 6) -> DataFrame:
     """For each slot the results of the first way that found any, the first ``n``: each table has slot, rank and the result."""
     out = None

@@ -97,6 +97,11 @@ def mean_score(scores: Column) -> Column:
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(kept))
 
 
+def mean_by(rows: DataFrame, score: Column, *keys: str) -> DataFrame:
+    """Mean score for each key, nulls left out, added up where the rows are; null if none is left."""
+    return rows.groupBy(*keys).agg(F.avg(score.cast("double")).alias("mean"))
+
+
 def judged(records: DataFrame) -> DataFrame:
     """Per record the average score, falling back to the conversation's, and whether any score exists.
 

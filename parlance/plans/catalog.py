@@ -594,4 +594,4 @@ def tool_messages(spark, d):
     return conversations.messages_with_tools(turns).select("conv_id", "turn_index", "role", "tool_call_id")
 
 
-from parlance.plans import catalog_indexes, catalog_records, catalog_runs  # noqa: E402, F401  (they add their queries to these)
+from parlance.plans import catalog_records, catalog_runs, catalog_indexes  # noqa: E402, F401  (they add their queries to these)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions.snapshots import Snapshots
-from parlance.functions.tables import shared_folder
-from parlance.operators import vector_index
-from parlance.plans import chunk_index
-from parlance.plans.catalog import CHUNKS, query, read
-from parlance.streaming import commits
+from parlance.functions.tables import shared_folder, written
+from parlance.functions.text import normalize_question
+from parlance.operators import records, sampling, sketches, stats, vector_index
+from parlance.plans import chunk_index, dataset
+from parlance.plans.catalog import CHUNKS, PAIRED, PER_CONV, norm_sql, query, read, u_sql
+from parlance.plans.catalog_records import done
+from parlance.sources import files, search_source, stages
+from parlance.streaming import commits, fan_out
 
 # A corpus in two states: one source comes later, another goes, and the texts of a language change.
 LATER, GONE, CHANGED = "src5", "src3", "fr"
@@ -118,3 +123,187 @@ def vector_index_neighbours(spark, d):
     """The neighbours found by the probes that the index was built for; the tests hold its recall against the exact ones."""
     asked, folder = _vector_index(spark, d)
     return vector_index.nearest(asked, folder, 20)
+
+
+# Tables of finished conversations, with their contents.
+
+MESSAGES = f"""SELECT concat('c', conv_id) AS conversation_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn_index, role DESC) - 1)::INT AS pos, role, content FROM (
+  SELECT conv_id, turn_index, 'user' AS role, "user" AS content FROM ({PAIRED}) UNION ALL SELECT conv_id, turn_index, 'assistant', assistant FROM ({PAIRED})) WHERE content <> ''"""
+
+
+def _messages(rows):
+    return rows.select("conversation_id", F.posexplode("messages").alias("pos", "m")).select("conversation_id", "pos", "m.role", "m.content")
+
+
+@query(MESSAGES)
+def written_messages(spark, d):
+    folder = shared_folder(spark)
+    dataset.write_conversations(done(spark, d), folder)
+    return _messages(spark.read.json(f"{folder}/conversations"))
+
+
+def _fanned_out(spark, d):
+    """Two streams over halves of the conversations, a file at a time; the last batch of each comes twice."""
+    folder, rows = shared_folder(spark), written(done(spark, d), "done")
+    for run, rest in (("first", 0), ("second", 1)):
+        part = rows.filter(F.pmod(F.xxhash64("conversation_id"), F.lit(2)) == rest)
+        part.repartition(2).write.parquet(f"{folder}/in/{run}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/{run}")
+        fan_out.fan_out(stream, f"{folder}/out", run, f"{folder}/at/{run}").trigger(availableNow=True).start().awaitTermination()
+        fan_out.sink(f"{folder}/out", run)(part, 0)
+    return f"{folder}/out"
+
+
+@query(MESSAGES)
+def stream_fan_out(spark, d):
+    return _messages(fan_out.table(spark, _fanned_out(spark, d), "conversations"))
+
+
+@query(
+    f"""SELECT concat('c', conv_id) AS conversation_id, turn_index::INT AS turn_index, "user" AS user_message, assistant AS assistant_message FROM ({PAIRED})"""
+)
+def stream_fan_out_turns(spark, d):
+    return fan_out.table(spark, _fanned_out(spark, d), "turns").select("conversation_id", F.col("turn_index").cast("int").alias("turn_index"), "user_message", "assistant_message")
+
+
+# Statistics of parts, merged.
+
+
+def _kept_parts(spark, d):
+    """Summaries of five parts, the first of which is stored twice."""
+    folder, rows = f"{shared_folder(spark)}/parts", read(spark, d, "conversations")
+    for k in (0, 1, 2, 3, 4, 0):
+        sketches.keep(spark, folder, f"part{k}", rows.filter(F.pmod(F.xxhash64("conv_id"), F.lit(5)) == k))
+    return sketches.merged(sketches.kept(spark, folder))
+
+
+@query(
+    f"""SELECT count(*) AS conversations, sum(n_messages)::BIGINT AS messages, sum(words)::BIGINT AS words_sum, count(*) FILTER (words > 0) AS words_n, min(words) FILTER (words > 0) AS words_min, max(words) FILTER (words > 0) AS words_max,
+    sum(tokens)::BIGINT AS tokens_sum, min(tokens) FILTER (tokens > 0) AS tokens_min, max(tokens) FILTER (tokens > 0) AS tokens_max FROM ({PER_CONV})"""
+)
+def merged_statistics(spark, d):
+    names = ("conversations", "messages", "words_sum", "words_n", "words_min", "words_max", "tokens_sum", "tokens_min", "tokens_max")
+    return _kept_parts(spark, d).select(*names)
+
+
+@query(
+    f"""WITH s AS (SELECT words FROM ({PER_CONV}) WHERE words > 0), q AS (SELECT count(DISTINCT {norm_sql("text")}) AS n FROM conversations WHERE role = 'user' AND {norm_sql("text")} <> '')
+    SELECT 'words ' || q AS metric, TRUE AS within FROM (VALUES ('0.25'), ('0.5'), ('0.75')) v(q) UNION ALL SELECT 'questions', n >= 0 FROM q UNION ALL SELECT 'histogram', TRUE"""
+)
+def merged_sketches(spark, d):
+    """Whether quartiles, distinct questions and the histogram from merged sketches lie within the stated bounds of exact ones."""
+    rows, summary = read(spark, d, "conversations"), _kept_parts(spark, d)
+    told = {(r.metric, r.bucket): r.value for r in sketches.report(summary).collect()}
+    sizes = stats.conversation_sizes(rows).filter("words > 0")
+    marks = [F.avg((F.col("words") <= told["words_quantile", q]).cast("int")).alias(f"le_{q}") for q in ("0.25", "0.5", "0.75")]
+    below = [F.avg((F.col("words") < told["words_quantile", q]).cast("int")).alias(f"lt_{q}") for q in ("0.25", "0.5", "0.75")]
+    exact = sizes.agg(F.count("*").alias("n"), *marks, *below).first()
+    slack = sketches.RANK_ERROR + 1 / exact.n
+    out = [(f"words {q}", exact[f"lt_{q}"] - slack <= float(q) <= exact[f"le_{q}"] + slack) for q in ("0.25", "0.5", "0.75")]
+    questions = rows.filter("role = 'user'").select(normalize_question(F.col("text")).alias("q")).filter("q <> ''").agg(F.countDistinct("q").alias("n")).first().n
+    out.append(("questions", abs(told["distinct_questions", ""] - questions) <= 4 * sketches.DISTINCT_ERROR * questions + 1))
+    want = {r.label: r["count"] for r in stats.histogram(sizes, "words").collect()}
+    bins = set(want) | {b for m, b in told if m == "words_histogram"}
+    out.append(("histogram", all(abs(told.get(("words_histogram", b), 0) - want.get(b, 0)) <= 2 * sketches.RANK_ERROR * exact.n + 1 for b in bins)))
+    return spark.createDataFrame(out, "metric string, within boolean")
+
+
+# Web search as a source.
+
+
+def echo(query_: str, n: int) -> list[dict]:
+    """Stands in for a service: as many results as the query has letters in its first word, none for queries of a length that four divides."""
+    if len(query_) % 4 == 0:
+        raise ValueError("no answer")
+    word = query_.split(" ")[0]
+    return [{"title": f"{word} {k}", "link": "" if k == 1 else f"l{k}"} for k in range(len(word))][:n]
+
+
+def _search(spark, d, way):
+    folder = shared_folder(spark)
+    read(spark, d, "benchmark").select(F.col("text").alias("query")).repartition(3).write.parquet(folder)
+    search_source.register(spark)
+    return way.format(search_source.NAME).option("path", folder).option("search", f"{__name__}:echo")
+
+
+ECHO = """SELECT text AS query, rank::INT AS rank, concat(w, ' ', rank - 1) AS title, CASE WHEN rank = 2 THEN 'No link' ELSE concat('l', rank - 1) END AS link, 'No snippet provided.' AS snippet
+  FROM (SELECT text, split_part(text, ' ', 1) AS w, unnest(range(1, least(5, length(split_part(text, ' ', 1))) + 1)) AS rank FROM benchmark WHERE length(text) % 4 <> 0)"""
+
+
+@query(ECHO)
+def search_source_rows(spark, d):
+    return _search(spark, d, spark.read).load()
+
+
+@query(f"SELECT query, rank, title FROM ({ECHO}) WHERE rank <= 2 AND query IN (SELECT min(text) FROM benchmark UNION SELECT max(text) FROM benchmark)")
+def search_source_filters(spark, d):
+    """A filter on query and rank, pushed down: other queries are not asked."""
+    ends = read(spark, d, "benchmark").agg(F.min("text").alias("a"), F.max("text").alias("b")).first()
+    return _search(spark, d, spark.read).load().filter(F.col("query").isin(ends.a, ends.b) & (F.col("rank") <= 2)).select("query", "rank", "title")
+
+
+@query(ECHO)
+def search_source_stream(spark, d):
+    folder, stream = shared_folder(spark), _search(spark, d, spark.readStream).load()
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+# Choices that need more than one table.
+
+CASCADE = f"""WITH slots AS (SELECT c_custkey AS slot, c_custkey % 5 IN (0, 1, 2) AS searched FROM customer),
+free AS (SELECT doc_id AS id, source FROM documents WHERE lang IS DISTINCT FROM 'de'),
+found AS (SELECT slot, rank, id, source, source < 'src15' AS wanted FROM (SELECT slot, searched, row_number() OVER (PARTITION BY slot ORDER BY doc_id) AS rank, doc_id AS id, source FROM slots JOIN documents ON doc_id % 100 = slot % 100)
+  JOIN free USING (id, source) WHERE searched),
+hits AS (SELECT slot, rank, id, source, 0 AS way FROM (SELECT *, bool_or(coalesce(wanted, FALSE)) OVER (PARTITION BY slot) AS met FROM found) WHERE wanted OR NOT met),
+laid AS (SELECT id, source, row_number() OVER (ORDER BY md5(concat('0:', id)), id) - 1 AS place, count(*) OVER () AS n FROM free WHERE source < 'src15'),
+asked AS (SELECT slot, rank, floor({u_sql("0-draw", "slot")})::BIGINT AS zero, {u_sql("0-draw", "slot")} AS u FROM slots, range(1, 9) r(rank) WHERE slot NOT IN (SELECT slot FROM hits)),
+near AS (SELECT slot, rank, id, source, 1 AS way FROM asked, (SELECT max(n) AS n FROM laid) c JOIN laid ON place = (floor(u * c.n)::BIGINT + rank - 1) % c.n WHERE rank <= c.n)
+SELECT slot, id, source, way FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY rank, id) AS k FROM (FROM hits UNION ALL FROM near)) WHERE k <= 6"""
+
+
+@query(CASCADE)
+def snippet_cascade(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    mode = F.element_at(F.array(*map(F.lit, ("seeded", "followup", "adjacent", "fresh", "off_topic"))), (F.col("slot") % 5 + 1).cast("int"))
+    slots = read(spark, d, "customer").select(F.col("c_custkey").alias("slot")).withColumn("mode", mode)
+    met = slots.join(docs.drop("lang"), F.col("id") % 100 == F.col("slot") % 100)
+    found = met.withColumn("rank", F.row_number().over(W.partitionBy("slot").orderBy("id"))).drop("mode")
+    used, wanted = docs.filter("lang = 'de'").select("id"), docs.filter("source < 'src15'").select("source").distinct()
+    return sampling.snippet_cascade(slots, found, docs.drop("lang"), used, wanted).select("slot", "id", "source", "way")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn_index, "user" AS u, assistant AS a FROM ({PAIRED})),
+    lines AS (SELECT conv_id, turn_index, 0 AS pos, concat('Turn ', turn_index, ' - User: ', u) AS line FROM t WHERE u <> '' UNION ALL SELECT conv_id, turn_index, 1, concat('Turn ', turn_index, ' - Assistant: ', a) FROM t WHERE a <> '')
+    SELECT concat('c', conv_id) AS conversation_id, md5(coalesce(h, 'No prior turns.')) AS history, n::INT AS turn_count, length(coalesce(h, 'No prior turns.'))::DOUBLE AS score, CASE WHEN n % 2 = 0 THEN 'conversation judge parse failure' END AS notes_if_broken
+    FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) c LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn_index, pos) AS h FROM lines GROUP BY conv_id) USING (conv_id)"""
+)
+def conversation_judges(spark, d):
+    """Verdicts by a model that scores a transcript's length, and those of one whose answers break for even numbers of turns."""
+    inputs = records.conversation_judge_inputs(done(spark, d))
+
+    def load(broken):
+        def call(request):
+            said = request["messages"][-1]["content"]
+            history = said.split("Conversation:\n", 1)[1].rsplit("\n\nTurns as JSON:", 1)[0]
+            n = int(said.split(" turns.", 1)[0].rsplit(" ", 1)[1])
+            return {"content": "no json" if broken and n % 2 == 0 else json.dumps({"score": len(history), "notes": None})}
+
+        return lambda: call
+
+    first = stages.judged_conversations(inputs, load(False)).select("conversation_id", F.md5("public_history").alias("history"), "turn_count", "judge.score")
+    second = stages.judged_conversations(inputs, load(True), system="s").select("conversation_id", F.col("judge.notes").alias("notes_if_broken"))
+    return first.join(second, "conversation_id")
+
+
+@query("SELECT item_id::VARCHAR AS name, concat('é ', length(text)) AS text FROM benchmark")
+def latin_files(spark, d):
+    """Knowledge files in UTF-8 and in Latin-1, a file for each item."""
+    folder, rows = shared_folder(spark), read(spark, d, "benchmark")
+    for k, charset in enumerate(("UTF-8", "ISO-8859-1")):
+        some = rows.filter(F.col("item_id") % 2 == k)
+        parts = some.select("item_id", F.format_string("é %d", F.length("text")).alias("value")).withColumn("name", F.col("item_id").cast("string"))
+        parts.select("name", "value").write.partitionBy("name").option("encoding", charset).option("quote", "").option("escapeQuotes", "false").option("extension", "txt").csv(f"{folder}/{k}")
+    found = files.knowledge_files(spark, folder)
+    return found.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "text")

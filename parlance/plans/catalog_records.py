@@ -267,8 +267,8 @@ def recent_questions(spark, d):
 
 @query("SELECT source, round(avg(10.0::DOUBLE * quality), 9) AS mean FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def mean_scores(spark, d):
-    both = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").groupBy("source").agg(F.collect_list(F.struct((10.0 * F.col("quality")).alias("s"))).alias("s"))
-    return both.select("source", F.round(stats.mean_score(F.transform("s", lambda x: x["s"])), 9).alias("mean"))
+    both = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    return stats.mean_by(both, 10.0 * F.col("quality"), "source").select("source", F.round("mean", 9).alias("mean"))
 
 
 @query(f"SELECT md5(q) AS question FROM (SELECT {norm_sql('text')} AS q FROM conversations WHERE role = 'user' UNION SELECT {norm_sql('text')} FROM benchmark) WHERE q <> ''")

@@ -31,6 +31,38 @@ OVERRIDES = {
     "SEED_TOPICS_ENABLED": ("run.data.seeding.topics.enabled", bool),
     "KB_CHUNK_SIZE": ("retrieval.chunk_size", int),
     "KB_CHUNK_OVERLAP": ("retrieval.overlap", int),
+    "KB_DEFAULT_K": ("retrieval.top_k", int),
+    "KB_PERSIST_DIR": ("store.index.persist_dir", str),
+    "KB_REBUILD_INDEX": ("store.index.rebuild", bool),
+    "KB_SKIP_IF_UNCHANGED": ("store.index.skip_if_unchanged", bool),
+    "KB_EMBEDDING_BACKEND": ("models.embeddings.backend", str),
+    "KB_EMBEDDING_DEVICE": ("models.embeddings.device", str),
+    "DOC_COVERAGE_MODE": ("coverage.doc_coverage_mode", str),
+    "DOC_COVERAGE_EPSILON": ("coverage.doc_coverage_epsilon", float),
+    "DOC_COVERAGE_FRACTION": ("coverage.doc_coverage_fraction", float),
+    "QUESTION_DEDUP_RETRIES": ("run.dedup_retries", int),
+    "ENABLE_WEB_TOOLS": ("tools.web_search.enabled", bool),
+    "SERPER_NUM_RESULTS": ("tools.web_search.num_results", int),
+    "SERPER_TIMEOUT": ("tools.web_search.timeout", int),
+    "JUDGE_MODE": ("judge.mode", str),
+    "JUDGE_GRANULARITY": ("judge.granularity", str),
+    "JUDGE_ENABLED": ("judge.enabled", bool),
+    "OUTPUT_DIR": ("saving.output_dir", str),
+    "HF_PUSH_ENABLED": ("saving.export.enabled", bool),
+    "HF_PUSH_REPO_ID": ("saving.export.repo_id", str),
+    "HF_PUSH_REPO_TYPE": ("saving.export.repo_type", str),
+    "HF_PUSH_EXPORT_DIR": ("saving.export.export_dir", str),
+    "HF_PUSH_INCLUDE_RUN_STATE": ("saving.export.include_run_state", bool),
+    "HF_PUSH_PRIVATE": ("saving.export.private", bool),
+    "HF_PUSH_COMMIT_MESSAGE": ("saving.export.commit_message", str),
+    "HF_PUSH_SOURCE_FILE": ("saving.export.source_file", str),
+    "HF_PUSH_GENERATE_STATS": ("saving.export.generate_stats", bool),
+    "HF_PUSH_STATS_FILE": ("saving.export.stats_file", str),
+    "HF_PUSH_GENERATE_PLOTS": ("saving.export.generate_plots", bool),
+    "HF_PUSH_PLOTS_DIR": ("saving.export.plots_dir", str),
+    "QUESTION_SEED": ("run.data.seeding.question", str),
+    "LLM_MODE": ("llm.mode", str),
+    "LLM_BACKEND": ("llm.mode", str),
 }
 KNOWN = ("run", "retrieval", "judge", "tools", "llm", "personas", "coverage", "saving", "store", "models")
 KNOWN_RUN = ("turns", "languages", "batch_size", "total_samples", "seed", "dedup_retries", "run_id", "resume_run_id", "data", "seed_question", "question_seed", "distributed")

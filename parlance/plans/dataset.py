@@ -31,30 +31,34 @@ def with_messages(done: DataFrame) -> DataFrame:
     return done.join(listed, "conversation_id", "left").withColumn("messages", C.chat_messages(F.col("turns"), none)).withColumn("artifact_turns", F.coalesce("n_turns", F.size("turns")))
 
 
+def tables_of(rows: DataFrame, *, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The rows that finished conversations give each table; ``rows`` comes from ``with_messages``, ``columns`` renames those of chat records."""
+    last, chat = F.element_at("turns", -1), chat_records(rows)
+    return {
+        "synthetic_qa": rows.select("conversation_id", "timestamp", "question", last["user"].alias("last_question"), last["assistant"].alias("final_answer"), last["judge"].alias("qa_judge"), "conversation_judge", "turns", "messages"),
+        "conversations": rows.select(
+            "conversation_id", "timestamp", F.col("question").alias("seed_question"), F.col("artifact_turns").alias("n_turns"), "language", "personas", "messages", "messages_with_tools",
+            C.user_reasoning(F.col("turns")).alias("user_reasoning"), C.assistant_reasoning(F.col("turns")).alias("assistant_reasoning"), "conversation_judge", "turns",
+        ),
+        "conversations_index": rows.select("conversation_id", "timestamp", F.col("artifact_turns").alias("n_turns"), F.col("question").alias("seed_question"), "language"),
+        "conversations_sft": C.rename_columns(chat.drop("judge", "emit"), columns or {}),
+        "conversations_sft_judged": C.rename_columns(chat.filter("emit").drop("emit"), columns or {}),
+        "turns": R.turn_rows(rows),
+    }
+
+
 def write_conversations(done: DataFrame, folder: str, *, columns: dict[str, str] | None = None) -> None:
     """Fan finished conversations out to the tables, each appended to; they are read once from a written copy.
 
     ``done`` has conversation_id, timestamp, question, language, n_turns (null for the number of turns), personas,
     judge_enabled, judge_granularity, conversation_judge (a verdict) and turns. ``columns`` renames those of chat records.
+    A crash leaves some tables written: ``streaming.fan_out`` commits a batch to all of them or none.
     """
     spark, copy = done.sparkSession, f"{folder.rstrip('/')}/_batches/{uuid.uuid4().hex}"
     made = with_messages(done)
     made.write.parquet(copy)
-    rows, out = spark.read.schema(made.schema).parquet(copy), folder.rstrip("/")
-    last = F.element_at("turns", -1)
-    append_rows(rows.select("conversation_id", "timestamp", "question", last["user"].alias("last_question"), last["assistant"].alias("final_answer"), last["judge"].alias("qa_judge"), "conversation_judge", "turns", "messages"), f"{out}/synthetic_qa")
-    append_rows(
-        rows.select(
-            "conversation_id", "timestamp", F.col("question").alias("seed_question"), F.col("artifact_turns").alias("n_turns"), "language", "personas", "messages", "messages_with_tools",
-            C.user_reasoning(F.col("turns")).alias("user_reasoning"), C.assistant_reasoning(F.col("turns")).alias("assistant_reasoning"), "conversation_judge", "turns",
-        ),
-        f"{out}/conversations",
-    )
-    append_rows(rows.select("conversation_id", "timestamp", F.col("artifact_turns").alias("n_turns"), F.col("question").alias("seed_question"), "language"), f"{out}/conversations_index")
-    chat = chat_records(rows)
-    append_rows(C.rename_columns(chat.drop("judge", "emit"), columns or {}), f"{out}/conversations_sft")
-    append_rows(C.rename_columns(chat.filter("emit").drop("emit"), columns or {}), f"{out}/conversations_sft_judged")
-    append_rows(R.turn_rows(rows), f"{out}/turns")
+    for name, rows in tables_of(spark.read.schema(made.schema).parquet(copy), columns=columns).items():
+        append_rows(rows, f"{folder.rstrip('/')}/{name}")
 
 
 def chat_records(rows: DataFrame) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from parlance.operators.canonical import sanitize
 
@@ -58,17 +57,22 @@ def write_bundle(lines: DataFrame, report: DataFrame, folder: str, *, repo_id: s
     """Write sanitised rows (as Parquet, distributed), the report as JSON, the charts and the card; returns their names."""
     sanitize(lines).write.mode("overwrite").parquet(f"{folder}/{data_file}")
     rows = sorted(((r.metric, r.bucket, r.value) for r in report.collect()), key=lambda r: (r[0], _order(r[1])))
-    out = Path(folder.removeprefix("file://"))
-    (out / "plots").mkdir(parents=True, exist_ok=True)
-    names = ["dataset_stats.json", "README.md"]
-    (out / names[0]).write_text(json.dumps([{"metric": m, "bucket": b, "value": v} for m, b, v in rows], indent=2), encoding="utf-8")
-    (out / names[1]).write_text(card(repo_id, data_file, rows), encoding="utf-8")
+    texts = {"dataset_stats.json": json.dumps([{"metric": m, "bucket": b, "value": v} for m, b, v in rows], indent=2), "README.md": card(repo_id, data_file, rows)}
     for metric, (name, title) in CHARTS.items():
         items = [(b, v) for m, b, v in rows if m == metric]
         if items:
-            (out / "plots" / name).write_text(bar_chart(title, items), encoding="utf-8")
-            names.append(f"plots/{name}")
-    return names
+            texts[f"plots/{name}"] = bar_chart(title, items)
+    for name, text in texts.items():
+        write_text(lines.sparkSession, f"{folder.rstrip('/')}/{name}", text)
+    return list(texts)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file in any store that Spark writes to, in place of one that is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def _order(bucket: str) -> tuple:
