@@ -29,7 +29,9 @@ def part_of(messages: DataFrame) -> DataFrame:
     sizes = message_sizes(messages.withColumn("question", question), "question")
     # Distinct questions are sketched by conversation and merged, so no text moves.
     per = sizes.groupBy("conv_id").agg(F.count("*").alias("n_messages"), *[F.sum(c).alias(c) for c in SIZES], F.hll_sketch_agg("question", LG_K).alias("questions"))
-    found: list[Column] = [F.count("*").alias("conversations"), F.sum("n_messages").alias("messages"), F.hll_union_agg("questions").alias("questions")]
+    # Of no rows a union would be a sketch of another size.
+    union = F.when(F.count("questions") > 0, F.hll_union_agg("questions")).alias("questions")
+    found: list[Column] = [F.count("*").alias("conversations"), F.sum("n_messages").alias("messages"), union]
     for c in SIZES:
         some = F.when(F.col(c) > 0, F.col(c))
         found += [F.sum(c).alias(f"{c}_sum"), F.count(some).alias(f"{c}_n"), F.min(some).alias(f"{c}_min"), F.max(some).alias(f"{c}_max"), F.kll_sketch_agg_bigint(some, K).alias(f"{c}_sketch")]
@@ -38,7 +40,8 @@ def part_of(messages: DataFrame) -> DataFrame:
 
 def merged(parts: DataFrame) -> DataFrame:
     """One summary of several: sums, bounds and sketches added up. No rows give counts of 0 or null."""
-    found: list[Column] = [F.sum(c).alias(c) for c in ("conversations", "messages")] + [F.hll_union_agg("questions").alias("questions")]
+    union = F.when(F.count("questions") > 0, F.hll_union_agg("questions")).alias("questions")
+    found: list[Column] = [*[F.sum(c).alias(c) for c in ("conversations", "messages")], union]
     for c in SIZES:
         found += [F.sum(f"{c}_sum").alias(f"{c}_sum"), F.sum(f"{c}_n").alias(f"{c}_n"), F.min(f"{c}_min").alias(f"{c}_min"), F.max(f"{c}_max").alias(f"{c}_max"), F.kll_merge_agg_bigint(F.col(f"{c}_sketch"), K).alias(f"{c}_sketch")]
     return parts.agg(*found)
@@ -57,7 +60,7 @@ def report(summary: DataFrame, *, bins: int = BINS) -> DataFrame:
 
     add("conversations", F.col("conversations"))
     add("messages", F.col("messages"))
-    add("distinct_questions", F.hll_sketch_estimate("questions"))
+    add("distinct_questions", F.coalesce(F.hll_sketch_estimate("questions"), F.lit(0)))
     for c in SIZES:
         add(f"avg_{c}_per_conversation", F.bround(F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_n")), 4))
         add(f"avg_{c}_per_message", F.bround(F.try_divide(F.col(f"{c}_sum"), F.col("messages")), 4))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions.snapshots import Snapshots
 from parlance.functions.tables import shared_folder, written
 from parlance.functions.text import normalize_question
-from parlance.operators import records, sampling, sketches, stats, vector_index
+from parlance.operators import records, sampling, shapes, sketches, stats, vector_index
 from parlance.plans import chunk_index, dataset
 from parlance.plans.catalog import CHUNKS, PAIRED, PER_CONV, norm_sql, query, read, u_sql
 from parlance.plans.catalog_records import done
@@ -307,3 +307,20 @@ def latin_files(spark, d):
         parts.select("name", "value").write.partitionBy("name").option("encoding", charset).option("quote", "").option("escapeQuotes", "false").option("extension", "txt").csv(f"{folder}/{k}")
     found = files.knowledge_files(spark, folder)
     return found.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "text")
+
+
+#: Rows of several shapes: a key of two types, one that is null, one that few have, and rows that are no objects.
+RAGGED = """CASE event_id % 4 WHEN 0 THEN concat('{"id":', event_id, ',"kind":"', event_type, '","user":{"id":', user_id, '}}')
+  WHEN 1 THEN concat('{"id":"', event_id, '","kind":"', event_type, '"}') WHEN 2 THEN concat('{"id":', event_id, ',"kind":null,"tags":[', user_id, ',"', event_type, '"]}') ELSE concat('[', event_id, ']') END"""
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN user_id END AS user_id, CASE WHEN event_id % 4 = 2 THEN 2 END::INT AS n_tags,
+    CASE event_id % 4 WHEN 2 THEN 'kind=null' WHEN 3 THEN concat('$=[', event_id, ']') ELSE '' END AS rest, {RAGGED} AS json FROM events"""
+)
+def ragged_shapes(spark, d):
+    """Typed columns by the schema that the rows agree on, what doesn't fit, and the whole put together again."""
+    rows = read(spark, d, "events").select("event_id", F.expr(f"parse_json({RAGGED})").alias("v"))
+    out = shapes.restored(shapes.shaped(rows, "v"))
+    rest = F.array_join(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select("event_id", "typed.kind", F.col("typed.user.id").alias("user_id"), F.nullif(F.coalesce(F.size("typed.tags"), F.lit(-1)), F.lit(-1)).alias("n_tags"), rest.alias("rest"), "json")

@@ -1,4 +1,6 @@
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from parlance.operators import chunking, conversations, coverage, dedup, retrieval, sampling, seeds, stats
@@ -178,3 +180,35 @@ def test_streams(spark, tmp_path):
     writer = questions.append_ledger(stream, str(tmp_path / "ledger"), str(tmp_path / "checkpoint"))
     writer.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 3
+
+
+def test_snippet_cascade_falls_back_step_by_step(spark):
+    chunks = spark.createDataFrame([(k, f"s{k % 4}") for k in range(40)], "id long, source string")
+    slots = spark.createDataFrame([(1, "seeded"), (2, "followup"), (3, "fresh"), (4, "adjacent")], "slot long, mode string")
+    found = spark.createDataFrame([(1, 1, 0, "s0"), (1, 2, 1, "s1"), (1, 3, 4, "s0"), (2, 1, 2, "s2"), (3, 1, 5, "s1"), (4, 1, 7, "s3")], "slot long, rank int, id long, source string")
+    used, pool = spark.createDataFrame([(4,), (7,)], "id long"), lambda *s: spark.createDataFrame([(x,) for x in s], "source string")
+
+    def told(preferred):
+        rows = sampling.snippet_cascade(slots, found, chunks, used, preferred).collect()
+        return {s: ({r.way for r in rows if r.slot == s}, sorted(r.id for r in rows if r.slot == s), {r.source for r in rows if r.slot == s}) for s in (1, 2, 3, 4)}
+
+    got = told(pool("s0"))
+    # Preferred hits only; no preferred hit, so all; never searched; all hits used.
+    assert got[1] == ({0}, [0], {"s0"}) and got[2] == ({0}, [2], {"s2"})
+    assert all(got[s][0] == {1} and got[s][2] == {"s0"} and len(set(got[s][1])) == 6 and not {4, 7} & set(got[s][1]) for s in (3, 4))
+    got = told(pool("none"))
+    assert got[1][1] == [0, 1] and got[3][0] == {2} and len(got[3][1]) == 6
+    asked = sampling.snippet_queries(spark.createDataFrame([(1, "seeded", "q", "a"), (2, "followup", "q", ""), (3, "adjacent", "q", "a"), (4, "fresh", "q", "a")], "slot long, mode string, seed_query string, last_assistant string"))
+    assert {r.slot: r.query for r in asked.collect()} == {1: "q", 2: "q", 3: "a"}
+    assert sampling.draws(slots, chunks.filter("false"), 3).count() == 0 and sampling.draws(slots, chunks.limit(2), 8).count() == 8
+
+
+def test_many_queries_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
+    rng = random.Random(4)
+    vectors = [(k, [rng.random() for _ in range(4)]) for k in range(60)]
+    found = retrieval.nearest(spark.createDataFrame(vectors[:25], "query_id long, q array<double>"), spark.createDataFrame(vectors, "id long, v array<double>"), 3)
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(q, n + 1, i) for q, a in vectors[:25] for n, (i, _) in enumerate(sorted(vectors, key=lambda v: (-score(a, v[1]), v[0]))[:3])}
+    rows = [(r.query_id, r["rank"], r.id) for r in found.collect()]
+    assert len(rows) == 75 and set(rows) == want

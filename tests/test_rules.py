@@ -47,6 +47,7 @@ RULES = [
     ("env turns", "4", lambda: config.env_overrides({"run": {"turns": {"exact": 2}}}, ENV)["run"]["turns"]["exact"]),
     ("env flag", "False", lambda: config.env_overrides({}, ENV)["run"]["data"]["seeding"]["topics"]["enabled"]),
     ("env chunk", "900", lambda: config.env_overrides({"retrieval": {"overlap": 1}}, ENV)["retrieval"]["chunk_size"]),
+    ("env judge", "{'tools': {'web_search': {'num_results': 7}}, 'judge': {'enabled': False}}", lambda: config.env_overrides({}, {"JUDGE_ENABLED": "off", "SERPER_NUM_RESULTS": "7"})),
     ("env odd", "ValueError", lambda: config.env_overrides({}, {"BATCH_SIZE": "many"})),
     ("personas", "True", lambda: config.personas_enabled({})),
     ("personas off", "False", lambda: config.personas_enabled({"personas": {"enabled": False}})),
