@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, html_text, jaccard_join, passages
-from parlance.operators import retrieval
 
 
 def invented(n, seed):
@@ -54,17 +53,6 @@ def test_units_and_names_at_sentence_starts_are_slots(spark):
     assert found.get(4, (1, True, 0.0))[2] < 1
 
 
-def test_many_queries_are_dealt_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
-    rng = random.Random(4)
-    vectors = [(k, [rng.random() for _ in range(4)]) for k in range(60)]
-    found = retrieval.nearest(spark.createDataFrame(vectors[:25], "query_id long, q array<double>"), spark.createDataFrame(vectors, "id long, v array<double>"), 3)
-    score = lambda a, b: sum(x * y for x, y in zip(a, b))
-    want = {(q, n + 1, i) for q, a in vectors[:25] for n, (i, _) in enumerate(sorted(vectors, key=lambda v: (-score(a, v[1]), v[0]))[:3])}
-    rows = [(r.query_id, r["rank"], r.id) for r in found.collect()]
-    assert len(rows) == 75 and set(rows) == want
-
-
 def test_hot_host_and_copies_keep_their_text(spark):
     """Without articles: phrases on a few of many pages and copies of a page stay, the menu and the notice go."""
     rng = random.Random(8)
