@@ -69,3 +69,17 @@ def test_recall_on_the_given_table(spark):
     got = catalog.QUERIES["vector_index_neighbours"](spark, d).collect()
     want = catalog.QUERIES["vector_index_all_probes"](spark, d).collect()
     assert recall(got, want) >= 0.9
+
+
+def test_search_of_texts_by_the_index(spark, tmp_path):
+    from parlance.sources import adapters
+
+    embed = lambda df: adapters.embed(df, adapters.hashing_embedder(64), text="query" if "query" in df.columns else "text")
+    texts = spark.createDataFrame([(k, f"passage about topic{k % 10} number{k}", f"s{k % 3}") for k in range(300)], "id long, text string, source string")
+    chunks, folder = embed(texts), f"file://{tmp_path}/index"
+    vector_index.build(chunks, folder, k=4)
+    queries = spark.createDataFrame([(1, "number7 about topic7"), (2, " ")], "query_id long, query string")
+    exact = retrieval.search(queries, chunks, embed).collect()
+    got = retrieval.search(queries, chunks, embed, index=folder).collect()
+    assert {r.query_id for r in got} == {1} and set(got[0].asDict()) == set(exact[0].asDict())
+    assert next(r for r in got if r["rank"] == 1).id == next(r for r in exact if r["rank"] == 1).id
