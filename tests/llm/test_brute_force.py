@@ -179,7 +179,7 @@ def test_pipeline_against_plain_rules(spark, texts):
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
