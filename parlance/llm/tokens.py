@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 #: Fixed value: the pattern that byte-level vocabularies split text by before they merge.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the characters of Unicode's property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks that a task remembers beside the whole tokens; when there are more it forgets them and works them out again.
 REMEMBERED = 400_000
 #: Stands for the tokens of a chunk that the pattern may split otherwise than the tokenizer: makes any sum negative.
