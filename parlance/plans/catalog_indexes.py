@@ -12,7 +12,7 @@ from parlance.functions.snapshots import Snapshots
 from parlance.functions.tables import shared_folder, written
 from parlance.functions.text import normalize_question
 from parlance.operators import records, sampling, shapes, sketches, stats, vector_index
-from parlance.plans import chunk_index, dataset
+from parlance.plans import chunk_index, dataset, export
 from parlance.plans.catalog import CHUNKS, PAIRED, PER_CONV, norm_sql, query, read, u_sql
 from parlance.plans.catalog_records import done
 from parlance.sources import files, search_source, stages
@@ -324,3 +324,25 @@ def ragged_shapes(spark, d):
     out = shapes.restored(shapes.shaped(rows, "v"))
     rest = F.array_join(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select("event_id", "typed.kind", F.col("typed.user.id").alias("user_id"), F.nullif(F.coalesce(F.size("typed.tags"), F.lit(-1)), F.lit(-1)).alias("n_tags"), rest.alias("rest"), "json")
+
+
+TURN_COUNTS = "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id"
+
+
+@query(
+    f"""SELECT 'languages' AS metric, lang AS bucket, count(*)::DOUBLE AS value FROM documents GROUP BY lang UNION ALL SELECT 'turn_count_distribution', n::VARCHAR, count(*) FROM ({TURN_COUNTS}) GROUP BY n
+    UNION ALL SELECT 'records', '', count(*) FROM documents UNION ALL SELECT 'bars', '', count(DISTINCT n) FROM ({TURN_COUNTS}) UNION ALL SELECT 'card lines', '', count(DISTINCT lang) + 1 FROM documents"""
+)
+def export_files(spark, d):
+    """The statistics, the chart and the card of a bundle as they were written, read again."""
+    folder, docs = shared_folder(spark), read(spark, d, "documents")
+    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    row = lambda metric, bucket, df: df.select(F.lit(metric).alias("metric"), bucket.cast("string").alias("bucket"), F.col("count").cast("double").alias("value"))
+    report = row("languages", F.col("lang"), stats.distribution(docs, "lang")).unionByName(row("turn_count_distribution", F.col("n"), stats.distribution(turns, "n")))
+    report = report.unionByName(row("records", F.lit(""), docs.agg(F.count("*").alias("count"))))
+    line = F.to_json(F.struct(F.col("doc_id").alias("item_id")))
+    export.write_bundle(docs.select(line.alias("value")), report, folder, repo_id="me/set")
+    told = spark.read.option("multiLine", True).schema("metric string, bucket string, value double").json(f"{folder}/dataset_stats.json")
+    bars = spark.read.text(f"{folder}/plots/turn_count_distribution.svg", wholetext=True).select(F.regexp_count("value", F.lit("<rect ")).alias("count"))
+    lines = spark.read.text(f"{folder}/README.md").filter("value LIKE '- _%: _%' AND value NOT LIKE '- config%' AND value NOT LIKE '%split%'").agg(F.count("*").alias("count"))
+    return told.unionByName(row("bars", F.lit(""), bars)).unionByName(row("card lines", F.lit(""), lines))
