@@ -103,9 +103,11 @@ def box_distance(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.nd
 class Leaves:
     """The leaves of a block: its rows in order of their leaves, and the leaves' bounding boxes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, points: np.ndarray, leaf: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, points: np.ndarray, leaf: np.ndarray, times: np.ndarray | None = None):
         order = np.argsort(leaf, kind="stable")
         self.ids, self.x, points, leaf = ids[order], x[order], points[order], leaf[order]
+        #: How many rows of the table each row stands for.
+        self.times = np.ones(len(ids), dtype=np.int64) if times is None else times[order]
         self.start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
         self.end = np.r_[self.start[1:], len(leaf)]
         self.low, self.high = np.minimum.reduceat(points, self.start), np.maximum.reduceat(points, self.start)
@@ -118,7 +120,7 @@ def search(tree: Leaves, query_ids: np.ndarray, q: np.ndarray, points: np.ndarra
     Leaves are verified outward from the query's projection, one, then two, four and so on at once. With t the k-th best
     so far, a row as good lies within a squared distance of |q|^2 + top^2 - 2t once norms are evened out to ``top``; its
     projection then lies within the chi-square quantile times that, with the wanted chance, and the search ends where
-    the next box lies farther out. The row whose id and vector are the query's own doesn't count.
+    the next box lies farther out. The row whose id and vector are the query's own is given only if it stands for others too.
     """
     most, out = chi_square_quantile(INSIDE, points.shape[1]), []
     for at in range(0, len(q), 512):
@@ -147,7 +149,7 @@ def search(tree: Leaves, query_ids: np.ndarray, q: np.ndarray, points: np.ndarra
                 a, b = some[a], first + b
                 other = tree.ids[b] != ids[a]
                 if not other.all():
-                    other |= (tree.x[b] != v[a]).any(axis=1)
+                    other |= (tree.times[b] > 1) | (tree.x[b] != v[a]).any(axis=1)
                     a, b = a[other], b[other]
                 new.append((a, b, (tree.x[b] * v[a]).sum(axis=1)))
             who, row, score = (np.concatenate(c) for c in zip(*new))
@@ -182,7 +184,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
 
     Returns query_id, rank from 1, id and score, ties in order of id. Rows with a null id and vectors that are null,
     zero, of another length than the longest or hold a null or non-finite component take no part. Rows alike in id and
-    vector count once; one that shares the query's id but not its vector is a candidate. A query with fewer than k
+    vector are one query, asked once, and as many candidates as there are rows (less the query's own); they move as one
+    row with a count. A row that shares the query's id but not its vector is a candidate. A query with fewer than k
     candidates gets all; an empty table gives no rows. Long vectors make blocks smaller, so a block's bytes are bounded.
     Other columns are not read, whatever their names.
     """
@@ -225,9 +228,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
                 x = np.stack(batch["v"].to_numpy())
                 points = project(x)
                 made = pd.DataFrame({"id": batch["id"].to_numpy(), "v": [r.tobytes() for r in x], "p": list(points), "is_query": batch["is_query"].to_numpy(), "block": splits.block_of(points)})
-                yield made.drop_duplicates(["id", "v"])
+                again = made.groupby(["id", "v"], sort=False)["block"].transform("size")
+                yield made.assign(times=again).drop_duplicates(["id", "v"])
 
-    columns = "id long, v binary, p array<double>, is_query boolean, block long"
+    columns = "id long, v binary, p array<double>, is_query boolean, block long, times long"
     dealt = save(rows.mapInPandas(placed, columns), "dealt")
     axes = [F.element_at("p", i + 1) for i in range(PROJECTED)]
     boxes = dealt.groupBy("block").agg(F.count("*").alias("n"), F.array(*map(F.min, axes)).alias("low"), F.array(*map(F.max, axes)).alias("high"))
@@ -238,19 +242,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
 
     def planted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "v"])
+        group = group.assign(times=group.groupby(["id", "v"], sort=False)["times"].transform("sum")).drop_duplicates(["id", "v"])
         return group.assign(leaf=leaves_of(np.stack(group["p"].to_numpy())))
 
     pool = dealt.drop("is_query").join(small(boxes.select("block", "parts")), "block").withColumn("part", part).drop("parts")
-    trees = save(spread(pool, "block", "part").groupBy("block", "part").applyInPandas(planted, "id long, v binary, p array<double>, block long, part int, leaf long"), "trees")
+    trees = save(spread(pool, "block", "part").groupBy("block", "part").applyInPandas(planted, "id long, v binary, p array<double>, block long, times long, part int, leaf long"), "trees")
 
     def answered(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if candidates.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        tree = Leaves(candidates["id"].to_numpy(), floats(candidates["v"], dims), np.stack(candidates["p"].to_numpy()), candidates["leaf"].to_numpy())
+        tree = Leaves(candidates["id"].to_numpy(), floats(candidates["v"], dims), np.stack(candidates["p"].to_numpy()), candidates["leaf"].to_numpy(), candidates["times"].to_numpy())
         q, ids = floats(asked["v"], dims), asked["id"].to_numpy()
         who, row, score = search(tree, ids, q, q @ matrix[:-1], asked["bar"].to_numpy(), top, k)
-        return pd.DataFrame({"query_id": ids[who], "id": tree.ids[row], "score": score})
+        own = (tree.ids[row] == ids[who]) & (tree.x[row] == q[who]).all(axis=1)
+        # More than k of a kind are never among the k best.
+        made = pd.DataFrame({"query_id": ids[who], "id": tree.ids[row], "score": score})
+        return made.loc[np.repeat(made.index, np.minimum(tree.times[row] - own, k))]
 
     def meet(visits: DataFrame, name: str) -> DataFrame:
         """What queries (block, id, v, bar) find in the blocks that they visit."""

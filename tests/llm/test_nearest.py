@@ -67,3 +67,15 @@ def test_odd_tables(spark):
     assert {(20, 1, 1), (20, 2, 0)} <= got
     none = nearest.nearest(df.filter("false"), F.col("vec_id") % 20 == 0)
     assert none.columns == ["query_id", "rank", "vec_id", "score"] == nearest.nearest(df, F.lit(True)).columns and none.count() == 0
+
+
+def test_rows_alike_are_as_many_candidates(spark):
+    """Every row but the query's own is a candidate, those alike in id and vector too; many of a kind move as one row."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (20, [0.4, 0.0]), (3, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = [(r.rank, r.vec_id, r.score) for r in nearest.nearest(df.filter("not (vec_id = 20 and embedding[0] < 1)"), F.col("vec_id") == 20, 9).orderBy("rank").collect()]
+    assert got == [(1, 20, 1.0), (2, 1, 0.5), (3, 1, 0.5), (4, 3, 0.1)]
+    assert nearest.nearest(df, F.col("vec_id") == 3, 9).count() == 5
+    many = df.unionByName(spark.range(5000).selectExpr("7L AS vec_id", "array(0.9D, 0D) AS embedding"))
+    got = [(r.rank, r.vec_id) for r in nearest.nearest(many, F.col("vec_id") == 7, 20).orderBy("rank").collect()]
+    assert got == [(1, 20), (2, 20), *[(k, 7) for k in range(3, 21)]]
