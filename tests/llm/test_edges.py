@@ -116,7 +116,7 @@ def test_nearest(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [None, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "block": F.lit(1), "v": F.lit(1)})
     got = nearest.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 0, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 3, 0.0)]
     assert nearest.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
