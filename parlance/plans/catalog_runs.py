@@ -13,7 +13,7 @@ from parlance.functions import text as T
 from parlance.functions.tables import shared_folder, written
 from parlance.operators import conversations, records, seeds, stats
 from parlance.plans import config, dataset, export, state
-from parlance.plans.catalog import PAIRED, paired_turns, query, read
+from parlance.plans.catalog import HISTORY, PAIRED, paired_turns, query, read
 from parlance.plans.catalog_records import WIDE, done
 from parlance.sources import adapters, calls, files, stages
 from parlance.streaming import questions
@@ -228,6 +228,64 @@ def conversation_index(spark, d):
     return spark.read.json(f"{folder}/conversations_index").select("conversation_id", "n_turns", "seed_question", "language")
 
 
+def _appended(spark, d, table):
+    """A table that finished conversations were written to, read again from its files."""
+    folder = shared_folder(spark)
+    dataset.write_conversations(done(spark, d), folder, columns={"messages": "chat"})
+    return spark.read.json(f"{folder}/{table}")
+
+
+def _said(messages):
+    """A digest of the roles and texts of messages in their order."""
+    return F.md5(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"))
+
+
+SAID = f"""SELECT conv_id, md5(string_agg(role || ':' || message, chr(10) ORDER BY turn_index, pos)) AS said, count(*) AS n_messages FROM ({HISTORY}) GROUP BY conv_id"""
+
+
+@query(
+    f"""SELECT concat('c', conv_id) AS conversation_id, said, n_messages::INT AS n_messages, said AS said_in_turns, questions FROM ({SAID})
+    JOIN (SELECT conv_id, string_agg("user", chr(10) ORDER BY turn_index) AS questions FROM ({PAIRED}) GROUP BY conv_id) USING (conv_id)"""
+)
+def written_artifacts(spark, d):
+    """Of each artifact its messages, and the same made again from its turns."""
+    rows = _appended(spark, d, "conversations")
+    again = F.filter(
+        F.flatten(F.transform("turns", lambda t: F.array(F.struct(F.lit("user").alias("role"), t["user"].alias("content")), F.struct(F.lit("assistant").alias("role"), t["assistant"].alias("content"))))),
+        lambda m: m["content"] != "",
+    )
+    asked = F.array_join(F.transform("user_reasoning", lambda t: t["user"]), "\n")
+    return rows.select("conversation_id", _said("messages").alias("said"), F.size("messages").alias("n_messages"), _said(again).alias("said_in_turns"), asked.alias("questions"))
+
+
+@query(
+    f"""SELECT concat('c', conv_id) AS conversation_id, concat('q', conv_id) AS question, last("user" ORDER BY turn_index) AS last_question, last(assistant ORDER BY turn_index) AS final_answer
+    FROM ({PAIRED}) GROUP BY conv_id"""
+)
+def written_answers(spark, d):
+    return _appended(spark, d, "synthetic_qa").select("conversation_id", "question", "last_question", "final_answer")
+
+
+@query(
+    f"""SELECT concat('c', conv_id) AS conversation_id, turn_index::BIGINT AS turn_index, said AS user_message, answer AS assistant_message, CASE WHEN turn_index % 4 <> 0 THEN score::DOUBLE END AS judge_score,
+    CASE WHEN turn_index % 4 <> 0 THEN notes END AS judge_notes FROM ({WIDE})"""
+)
+def written_turns(spark, d):
+    return _appended(spark, d, "turns").select("conversation_id", "turn_index", "user_message", "assistant_message", F.col("judge_score").cast("double").alias("judge_score"), "judge_notes")
+
+
+@query(
+    f"""SELECT said, judged, avg_score FROM ({SAID}) JOIN (
+      SELECT conv_id, count(*) FILTER (turn_index % 4 <> 0)::INT AS judged, round(avg(score) FILTER (turn_index % 4 <> 0), 6) AS avg_score,
+        coalesce(bool_or(turn_index % 4 <> 0 AND notes <> 'disabled'), FALSE) AS verdict FROM ({WIDE}) GROUP BY conv_id) USING (conv_id)
+    WHERE conv_id % 3 = 0 OR conv_id % 5 = 0 OR verdict"""
+)
+def written_judged_chats(spark, d):
+    """Chat records carry no id: their messages tell them apart."""
+    rows = _appended(spark, d, "conversations_sft_judged")
+    return rows.select(_said("chat").alias("said"), F.size("judge.per_turn").alias("judged"), F.round("judge.avg_score", 6).alias("avg_score"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
 def replaced_table(spark, d):
     path = f"{shared_folder(spark)}/rows"
