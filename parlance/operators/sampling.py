@@ -139,14 +139,17 @@ def snippet_cascade(
 
 
 def snippets(tries: list[DataFrame], n: int = 6) -> DataFrame:
-    """For each slot the results of the first way that found any, the first ``n``: each table has slot, rank and the result."""
+    """For each slot the results of the first way that found any, the first ``n``: each table has slot, rank and the result.
+
+    Every task keeps its own first ``n`` of a slot, earlier ways first, before the shuffle; what later ways have among
+    the ``n`` kept goes afterwards. So a slot with very many results moves few.
+    """
     out = None
     for way, df in enumerate(tries):
         df = df.withColumn("way", F.lit(way))
         out = df if out is None else out.unionByName(df)
-    first = F.min("way").over(W.partitionBy("slot"))
-    kept = out.withColumn("first", first).filter("way = first")
-    return kept.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy("rank", "id"))).filter(F.col("n") <= n).drop("first", "n", "way")
+    kept = out.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy("way", "rank", "id"))).filter(F.col("n") <= n)
+    return kept.withColumn("first", F.min("way").over(W.partitionBy("slot"))).filter("way = first").drop("first", "n", "way")
 
 
 def plan_waves(total: int, batch: int, languages: list[str], done: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
