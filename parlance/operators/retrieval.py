@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +12,11 @@ from pyspark.sql.types import StructType
 
 from parlance.functions.tables import small
 from parlance.functions.text import strip
-from parlance.operators import vector_index
+from parlance.operators import topk, vector_index
 
-TOP_K, CANDIDATES, MOST_QUERIES = 4, 12, 10_000
+TOP_K, CANDIDATES = 4, 12
+#: Queries and chunks of a block, at most, and chunks from which a block is worth a task of its own.
+MOST_QUERIES, PART, LEAST_PART = 20_000, 50_000, 2_000
 EMPTY = "No relevant passages found in the knowledge base."
 
 
@@ -27,21 +28,23 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, *, digits: int | None = None) -> DataFrame:
     """The k chunks of largest inner product with each query: query_id, rank, id, score and the chunks' other columns.
 
-    ``queries`` has query_id and q and is dealt by query_id into blocks of about MOST_QUERIES, each broadcast by itself;
-    ``chunks`` has id and v and is read once for each block. Every task keeps its own best k of each query before the
-    shuffle (a window with a limit), so k rows a task and query move.
+    ``queries`` has query_id and q, ``chunks`` id and v. Both are dealt into blocks, at most about MOST_QUERIES and PART,
+    and every block of queries meets every block of chunks in a task, by a matrix product whose best are scored exactly.
+    So a chunk moves once for each block of queries, a query once for each of chunks, and k rows a query and block move on.
+    The work is the product of both tables, memory that of two blocks.
     """
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    asked = queries.select("query_id", "q").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [_nearest(asked.filter(F.col("block") == b).drop("block"), chunks, k, digits) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None) -> DataFrame:
-    scores = dot(F.col("q"), F.col("v"))
-    scored = chunks.join(F.broadcast(queries)).withColumn("score", F.round(scores, digits) if digits is not None else scores)
+    n, cores = chunks.count(), queries.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(1, -(-queries.count() // MOST_QUERIES)), max(1, -(-n // PART), min(cores, -(-n // LEAST_PART)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "q", of("query_id", blocks).alias("_block"), every(parts).alias("_part"))
+    held = chunks.withColumn("_part", of("id", parts)).withColumn("_block", every(blocks))
+    columns = [c for c in chunks.columns if c != "v"]
+    schema = StructType([*(chunks.schema[c] for c in columns), queries.schema["query_id"]]).add("score", "double")
+    best = lambda a, h: topk.best_rows(a, h, k, digits, columns)
+    found = asked.groupBy("_block", "_part").cogroup(held.groupBy("_block", "_part")).applyInArrow(best, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.drop("q", "v").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def nearest_by_index(queries: DataFrame, chunks: DataFrame, index: str, k: int = TOP_K) -> DataFrame:
