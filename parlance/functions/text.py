@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed value: a run of the characters that count as white space in Unicode, which \\s alone doesn't cover.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 FENCE = "```"
+#: Letters whose upper case is several characters, but that have one of a single character as well; others of that kind stay.
+LONG_UPPER = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and len(c.title()) == 1}
 #: Words that stand for true and for false in settings.
 TRUE_WORDS = ("1", "true", "yes", "on")
 FALSE_WORDS = ("0", "false", "no", "off", "")
@@ -23,6 +25,13 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}|{WS}$", "")
 
 
+def simple_upper(x: Column) -> Column:
+    """``x`` in upper case, one character for each, as SQL engines do that map code points; so places in ``x`` stay."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(LONG_UPPER), "".join(LONG_UPPER.values())))
+    each = F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(each)
+
+
 def normalize_question(x: Column) -> Column:
     """The form in which questions count as equal: lower case, white space collapsed; null stays null."""
     return collapse(F.lower(x))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.snapshots import Snapshots
 from parlance.functions.tables import shared_folder, written
-from parlance.functions.text import normalize_question
+from parlance.functions.text import normalize_question, simple_upper
 from parlance.operators import records, sampling, shapes, sketches, stats, vector_index
 from parlance.plans import chunk_index, dataset, export
 from parlance.plans.catalog import CHUNKS, PAIRED, PER_CONV, norm_sql, query, read, u_sql
@@ -28,7 +28,7 @@ def _states(spark, d):
     docs = read(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
     changed = F.col("lang").eqNullSafe(CHANGED)
     first = docs.filter(~F.col("source").eqNullSafe(LATER)).withColumn("mtime", F.lit("1"))
-    second = docs.filter(~F.col("source").eqNullSafe(GONE)).withColumn("mtime", F.when(changed, "2").otherwise("1")).withColumn("text", F.when(changed, F.upper("text")).otherwise(F.col("text")))
+    second = docs.filter(~F.col("source").eqNullSafe(GONE)).withColumn("mtime", F.when(changed, "2").otherwise("1")).withColumn("text", F.when(changed, simple_upper(F.col("text"))).otherwise(F.col("text")))
     return first, second
 
 
