@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions.snapshots import Snapshots
+from parlance.operators import topk
 
 #: Vectors that a bucket should hold on average, and bits of a bucket's name at least and at most.
 PER_BUCKET, LEAST_BITS, MOST_BITS = 256, 3, 12
-#: Vectors of a part: what is compared in one piece. A bucket of more is dealt over several.
-PART = 20_000
+#: Vectors of a cell at most, which is compared in one piece, and from which one is worth a task of its own. Queries of a block.
+PART, LEAST_PART, MOST_QUERIES = 50_000, 2_000, 20_000
 #: Vectors and queries of the sample on which probes are chosen, at most.
 SAMPLE, SAMPLE_QUERIES = 20_000, 200
 QUERIES_AT_ONCE = 2_000
@@ -128,12 +131,10 @@ def opened(spark: SparkSession, folder: str, version: int | None = None) -> tupl
     return Plan(**record["plan"]), rows, spark.read.schema("table int, bucket int, n long").parquet(f"{at}/{record['sizes']}")
 
 
-def probed(queries: DataFrame, plan: Plan, probes: int | None = None) -> DataFrame:
-    """The buckets that each query (query_id, q) looks into: query_id, q, table, bucket, the cheapest of each table."""
-    n = min(probes or plan.probes, 1 << plan.bits)
-    kind = queries.schema["query_id"].dataType.simpleString()
+def _probes(queries: DataFrame, plan: Plan, n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[tuple[pd.DataFrame, int, np.ndarray]]]:
+    """For batches of queries the queries of the plan's dimensions, each table, and the n cheapest buckets of each query in it."""
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int, np.ndarray]]:
         for batch in batches:
             batch = batch[batch["q"].map(len) == plan.dims]
             for begin in range(0, len(batch), QUERIES_AT_ONCE):
@@ -141,8 +142,19 @@ def probed(queries: DataFrame, plan: Plan, probes: int | None = None) -> DataFra
                 vectors = np.stack(some["q"].to_numpy()).astype(float)
                 for t in range(plan.tables):
                     cost = costs(plan, vectors, t)
-                    names = np.argpartition(cost, n - 1, axis=1)[:, :n] if n < cost.shape[1] else np.tile(np.arange(n), (len(some), 1))
-                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy(), "q": some["q"].to_numpy(), "table": t, "buckets": list(names)})
+                    yield some, t, np.argpartition(cost, n - 1, axis=1)[:, :n] if n < cost.shape[1] else np.tile(np.arange(n), (len(some), 1))
+
+    return asked
+
+
+def probed(queries: DataFrame, plan: Plan, probes: int | None = None) -> DataFrame:
+    """The buckets that each query (query_id, q) looks into: query_id, q, table, bucket, the cheapest of each table."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    chosen_buckets = _probes(queries, plan, min(probes or plan.probes, 1 << plan.bits))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, t, names in chosen_buckets(batches):
+            yield pd.DataFrame({"query_id": some["query_id"].to_numpy(), "q": some["q"].to_numpy(), "table": t, "buckets": list(names)})
 
     found = usable(queries.select("query_id", "q"), "q").mapInPandas(asked, f"query_id {kind}, q array<float>, table int, buckets array<int>")
     return found.select("query_id", "q", "table", F.explode("buckets").alias("bucket"))
@@ -154,37 +166,111 @@ def candidates(queries: DataFrame, folder: str, *, probes: int | None = None) ->
     return probed(queries, plan, probes).drop("q").join(F.broadcast(sizes), ["table", "bucket"]).groupBy("query_id").agg(F.sum("n").alias("compared"))
 
 
+class Cells:
+    """Neighbouring buckets of a table packed into cells of PART vectors, or less if tasks lack; one larger bucket is dealt over parts.
+
+    Held by arrays over table and bucket: there are at most tables * 2 ** MOST_BITS buckets, whatever the number of vectors.
+    """
+
+    def __init__(self, plan: Plan, sizes: list[tuple[int, int, int]], tasks: int):
+        n = np.zeros((plan.tables, 1 << plan.bits), dtype=np.int64)
+        for table, bucket, count in sizes:
+            n[table, bucket] = count
+        most = min(PART, max(LEAST_PART, -(-int(n[0].sum()) // tasks)))
+        self.parts = np.maximum(1, -(-n // most))
+        self.cell = np.zeros_like(n)
+        for t in range(plan.tables):
+            cell, filled = 0, 0
+            for b, count in enumerate(n[t].tolist()):
+                if filled and filled + count > most:
+                    cell, filled = cell + 1, 0
+                self.cell[t, b], filled = cell, filled + count
+
+    def parts_of(self, table: int) -> list[int]:
+        """The parts of each of a table's cells."""
+        out = np.ones(int(self.cell[table].max()) + 1, dtype=np.int64)
+        np.maximum.at(out, self.cell[table], self.parts[table])
+        return out.tolist()
+
+
 def nearest(queries: DataFrame, folder: str, k: int = 20, *, probes: int | None = None, digits: int | None = None, version: int | None = None) -> DataFrame:
     """The k vectors of largest inner product found for each query: query_id, rank, id, score; ties to the smaller id.
 
-    Queries and vectors meet by bucket; one of more than PART vectors is dealt over parts, to each of which its queries
-    go. A part keeps each query's best k only, so what moves grows with the queries, the probes and k, not with the
-    vectors found. Scores are exact inner products in double precision. More probes than the index was built for find more.
+    Queries and vectors meet by cells of neighbouring buckets: a query goes to a cell once, with the buckets that it looks
+    into there, and takes its best k away. So what moves grows with the queries, the cells and k, not with the buckets or
+    the vectors found. Queries are dealt into blocks of about MOST_QUERIES; each reads the vectors once. If all buckets
+    are looked into, one table holds all vectors and the others are left unread. Scores are exact inner products in double
+    precision. More probes than the index was built for find more.
     """
     spark = queries.sparkSession
     plan, rows, sizes = opened(spark, folder, version)
-    parts = F.broadcast(sizes.select("table", "bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    asked = probed(queries, plan, probes).join(parts, ["table", "bucket"])
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    held = rows.join(parts, ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).drop("parts")
+    n = min(probes or plan.probes, 1 << plan.bits)
+    every = n == 1 << plan.bits
+    cells = Cells(plan, [tuple(r) for r in sizes.select("table", "bucket", "n").collect()], spark.sparkContext.defaultParallelism)
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("id", rows))}
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(asked):
-            held = held.sort_values("id", kind="stable")
-            ids, vectors = held["id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(float)
-            for begin in range(0, len(asked), QUERIES_AT_ONCE // 4):
-                some = asked.iloc[begin : begin + QUERIES_AT_ONCE // 4]
-                scores = np.stack(some["q"].to_numpy()).astype(float) @ vectors.T
-                scores = scores if digits is None else np.round(scores, digits)
-                # Stable, so that of equal scores the smaller id comes first.
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    keys = ["table", "bucket", "part"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-    distinct = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    asked = usable(queries.select("query_id", "q"), "q").withColumn("q", F.col("q").cast("array<float>"))
+    blocks = max(1, -(-asked.count() // MOST_QUERIES))
+    chosen_buckets = _probes(queries, plan, n)
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, t, names in chosen_buckets(batches):
+            parts = cells.parts_of(t)
+            names = np.sort(names, axis=1)
+            # Cells follow the buckets, so each query's buckets of a cell stand together.
+            of = cells.cell[t][names]
+            begins = np.diff(of, axis=1, prepend=-1) != 0
+            query, at = np.nonzero(begins)
+            end = np.append(np.where(query[1:] == query[:-1], at[1:], names.shape[1]), names.shape[1]) if len(query) else at
+            out = {"query_id": some["query_id"].to_numpy()[query], "q": some["q"].to_numpy()[query], "table": t, "cell": of[query, at]}
+            yield pd.DataFrame(out | {"buckets": [names[q, a:e] for q, a, e in zip(query.tolist(), at.tolist(), end.tolist())], "parts": [parts[c] for c in out["cell"].tolist()]})
+
+    if every:
+        # All cells of the first table.
+        listed = F.explode(F.array(*(F.struct(F.lit(c).alias("cell"), F.lit(p).alias("parts")) for c, p in enumerate(cells.parts_of(0)))))
+        asked = asked.filter(F.size("q") == plan.dims).select("query_id", "q", F.lit(0).alias("table"), listed.alias("at"), F.lit(None).cast("array<int>").alias("buckets"))
+        asked = asked.select("query_id", "q", "table", "at.cell", "buckets", "at.parts")
+        rows = rows.filter("table = 0")
+    else:
+        asked = asked.mapInPandas(sent, f"query_id {kinds['query_id']}, q array<float>, table int, cell int, buckets array<int>, parts int")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    told = spark.createDataFrame([(t, b, int(c), int(p)) for t in range(plan.tables) for b, (c, p) in enumerate(zip(cells.cell[t], cells.parts[t]))], "table int, bucket int, cell int, parts int")
+    held = rows.join(F.broadcast(told), ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).drop("parts")
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held, sort_keys=[("id", "ascending")]))
+        q, v = (topk.Vectors(x).rows(np.arange(len(x)), plan.dims) for x in (asked["q"], held["v"]))
+        if every:
+            qi, vi, score = topk.best(q, v, k, digits)
+        else:
+            qi, vi, score = looked_up(q, v, asked["buckets"], held["bucket"].to_numpy(), k, digits)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(qi)), "id": held["id"].take(pa.array(vi)), "score": pa.array(score)})
+
+    keys = ["block", "table", "cell", "part"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    # What several tables find meets where its query is ranked.
+    distinct = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def looked_up(q: np.ndarray, v: np.ndarray, lists: pa.ChunkedArray, bucket: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's best k among the vectors of the buckets on its list: places of query and vector and the score."""
+    lists = lists.combine_chunks()
+    asks = np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    wants = lists.flatten().to_numpy(zero_copy_only=False)
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    by_bucket, vectors = np.argsort(bucket, kind="stable"), np.sort(bucket, kind="stable")
+    # Some queries at a time, as each takes k away from each bucket.
+    for begin in range(0, len(q), QUERIES_AT_ONCE):
+        lo, hi = np.searchsorted(asks, [begin, begin + QUERIES_AT_ONCE])
+        order = lo + np.argsort(wants[lo:hi], kind="stable")
+        names, first = np.unique(wants[order], return_index=True)
+        some = []
+        for b, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            those, at = asks[order[x:y]], by_bucket[slice(*np.searchsorted(vectors, [b, b + 1]))]
+            qi, vi, score = topk.best(q[those], v[at], k, digits)
+            some.append((those[qi], at[vi], score))
+        if some:
+            found.append(topk.first_of_each(*(np.concatenate(x) for x in zip(*some)), k))
+    return tuple(np.concatenate(x) for x in zip(*found))
