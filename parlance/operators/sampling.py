@@ -114,20 +114,25 @@ def draws(slots: DataFrame, chunks: DataFrame, n: int, *, seed: int = 0) -> Data
 
 
 def snippet_cascade(
-    slots: DataFrame, found: DataFrame, chunks: DataFrame, used: DataFrame, preferred: DataFrame, *, n: int = 6, drawn: int = 8, seed: int = 0
+    slots: DataFrame, found: DataFrame, chunks: DataFrame, used: DataFrame, preferred: DataFrame, *, n: int = 6, drawn: int = 8, seed: int = 0, search: str = "slot"
 ) -> DataFrame:
     """Snippets of each slot: what its search found, less used chunks, of preferred sources if any is among them; else
     chunks drawn from preferred sources; else chunks drawn from all. Adds ``way`` (0, 1 or 2); the first ``n`` of each.
 
     ``slots`` has slot and mode, ``found`` slot, rank and the columns of ``chunks`` (id, source), ``used`` id, and
     ``preferred`` source, see ``retrieval.effective_preference``. Slots of other modes than SEARCHED have no search.
+    Slots that share a search name it in a column ``search``, which ``found`` has instead of slot: what it found is
+    chosen from once, and only the first ``n`` go to its slots.
     """
-    searched = slots.filter(F.col("mode").isin(*SEARCHED)).select("slot")
-    hits = found.join(searched, "slot", "left_semi").join(used.select("id").distinct(), "id", "left_anti")
+    searched = slots.filter(F.col("mode").isin(*SEARCHED)).select("slot", *({search} - {"slot"}))
+    hits = found.join(searched, search, "left_semi").join(used.select("id").distinct(), "id", "left_anti")
     marks = small(preferred.select("source").distinct().withColumn("_wanted", F.lit(True)))
-    hits = hits.join(marks, "source", "left")
-    some = F.max(F.coalesce("_wanted", F.lit(False))).over(W.partitionBy("slot"))
-    hits = hits.withColumn("_some", some).filter("_wanted OR NOT _some").drop("_wanted", "_some")
+    hits = hits.join(marks, "source", "left").withColumn("_wanted", F.coalesce("_wanted", F.lit(False)))
+    # The first n of either kind, which each task keeps of its own before the shuffle; more can't be used.
+    hits = hits.withColumn("_n", F.row_number().over(W.partitionBy(search, "_wanted").orderBy("rank", "id"))).filter(F.col("_n") <= n)
+    hits = hits.withColumn("_some", F.max("_wanted").over(W.partitionBy(search))).filter("_wanted OR NOT _some").drop("_wanted", "_some", "_n")
+    if search != "slot":
+        hits = hits.join(searched, search).drop(search)
     free = chunks.join(used.select("id").distinct(), "id", "left_anti")
     names = ["slot", "rank", *chunks.columns]
     left = slots.select("slot").join(hits.select("slot").distinct(), "slot", "left_anti")

@@ -266,11 +266,12 @@ SELECT slot, id, source, way FROM (SELECT *, row_number() OVER (PARTITION BY slo
 def snippet_cascade(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     mode = F.element_at(F.array(*map(F.lit, ("seeded", "followup", "adjacent", "fresh", "off_topic"))), (F.col("slot") % 5 + 1).cast("int"))
-    slots = read(spark, d, "customer").select(F.col("c_custkey").alias("slot")).withColumn("mode", mode)
-    met = slots.join(docs.drop("lang"), F.col("id") % 100 == F.col("slot") % 100)
-    found = met.withColumn("rank", F.row_number().over(W.partitionBy("slot").orderBy("id"))).drop("mode")
+    slots = read(spark, d, "customer").select(F.col("c_custkey").alias("slot")).withColumns({"mode": mode, "search": F.col("slot") % 100})
+    asked = docs.drop("lang").withColumn("search", F.col("id") % 100)
+    # Slots that ask the same share what it finds.
+    found = asked.withColumn("rank", F.row_number().over(W.partitionBy("search").orderBy("id")))
     used, wanted = docs.filter("lang = 'de'").select("id"), docs.filter("source < 'src15'").select("source").distinct()
-    return sampling.snippet_cascade(slots, found, docs.drop("lang"), used, wanted).select("slot", "id", "source", "way")
+    return sampling.snippet_cascade(slots, found, docs.drop("lang"), used, wanted, search="search").select("slot", "id", "source", "way")
 
 
 @query(
