@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions.tables import written
-from parlance.functions.text import normalize_question, question_hash
+from parlance.functions.text import normalize_question, question_hash, text_hash
 
 
 def first_wins(batch: DataFrame, seen: DataFrame | None = None, *, question: str = "question", order: str = "conversation_index") -> DataFrame:
@@ -46,9 +46,21 @@ def registry(turns: DataFrame, ledger: DataFrame) -> DataFrame:
 def in_source_duplicates(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Candidates whose question the ledger has for the same source. Blank questions and unknown sources are never duplicates."""
     known = ledger.select("source_path", question_hash(F.col("question")).alias("question_hash")).distinct()
-    asked = candidates.withColumn("question_hash", question_hash(F.col("question")))
-    asked = asked.filter((normalize_question(F.col("question")) != "") & (F.coalesce("source_path", F.lit("")) != ""))
-    return asked.join(known, ["source_path", "question_hash"], "left_semi")
+    asked = candidates.filter(F.coalesce("source_path", F.lit("")) != "").withColumn("question_hash", question_hash(F.col("question")))
+    # Blank questions are told by their hash, as the normal form is what costs.
+    return asked.filter(F.col("question_hash") != text_hash(F.lit(""))).join(known, ["source_path", "question_hash"], "left_semi")
+
+
+def repeats_in_source(rows: DataFrame, *, order: str) -> DataFrame:
+    """Rows (source_path, question, ``order``) whose question a row of lower order of the same source asks, with question_hash.
+
+    Blank questions and unknown sources never count. Texts are read once, and what moves are hashes and the other columns.
+    """
+    known = rows.filter(F.coalesce("source_path", F.lit("")) != "").withColumn("question_hash", question_hash(F.col("question"))).drop("question")
+    place = F.rank().over(W.partitionBy("source_path", "question_hash").orderBy(order))
+    # One condition with the rank in it, so that it isn't moved ahead of the window, where the hash would be made twice.
+    again = F.when(F.col("question_hash") != text_hash(F.lit("")), F.col("_place")).otherwise(1) > 1
+    return known.withColumn("_place", place).filter(again).drop("_place")
 
 
 def commit_with_retries(
