@@ -85,16 +85,16 @@ def concurrent_commits(spark, d):
 
 @query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1 THEN 'accepted' ELSE 'in_batch' END AS outcome FROM events")
 def stream_first_wins(spark, d):
-    """Events in files of mixed order, read file by file; the stream stops half way and goes on from its checkpoint."""
-    folder, rows = shared_folder(spark), read(spark, d, "events")
+    """Events in files of mixed order, read as many at a time as there are cores; the stream stops half way and goes on from its checkpoint."""
+    folder, rows, cores = shared_folder(spark), read(spark, d, "events"), spark.sparkContext.defaultParallelism
     asked = rows.select("event_id", F.concat_ws(" ", "event_type", "user_id").alias("question"), F.col("ts").cast("timestamp").alias("ts"))
     half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
     commits.use_store(spark)
     # A row long after all others tells that no more of them come.
     end = asked.agg(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("question"), (F.max("ts") + F.expr("INTERVAL 2000 DAYS")).alias("ts"))
     for part in (asked.filter(half), asked.filter(~half), end):
-        part.repartition(2, "question").write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.repartition(2 * cores, "question").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", cores).parquet(f"{folder}/in")
         told = commits.first_wins_stream(stream, order="event_id", delay="800 days")
         told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").filter("event_id >= 0").select("event_id", "outcome")

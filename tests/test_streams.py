@@ -49,6 +49,22 @@ def test_later_rows_of_a_form_are_in_run_until_it_is_forgotten(spark, tmp_path):
     assert (got[5], got[1], got[0], got[6]) == ("accepted", "in_run", "accepted", "accepted")
 
 
+def test_state_is_held_by_buckets_whatever_the_columns_names(spark, tmp_path, monkeypatch):
+    """Forms share the values and timers of a few buckets; columns come by place, and great whole numbers among nulls stay as they are."""
+    monkeypatch.setattr(commits, "BUCKETS", 4)
+    commits.use_store(spark)
+    folder, rows = f"file://{tmp_path}", [(k, f"q {k % 300}", START + dt.timedelta(minutes=k), 2**53 + k if k % 7 else None) for k in range(900)]
+    table = spark.createDataFrame(rows, "conversation_index int, question string, ts timestamp, _of long")
+    table.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = commits.first_wins_stream(stream, delay="2 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # A value of open forms and one timer, perhaps a stale one, for each bucket; with their index.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 6
+    told = {r.conversation_index: (r.outcome, r._of) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert told == {k: ("in_batch", of) for k, _, _, of in rows if k >= 300}
+
+
 @pytest.fixture(scope="module")
 def finished(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('done')}/done"
