@@ -114,6 +114,32 @@ def messages_with_tools(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn_index", F.posexplode(said).alias("pos", "m")).select("conv_id", "turn_index", "pos", "m.*")
 
 
+def called_messages(turns: Column) -> Column:
+    """What ``messages_with_tools`` gives, of an array of turns as an array in order; null if nothing was said. Nothing moves."""
+    none, no_events = F.lit(None).cast("string"), F.array().cast("array<struct<id:string,name:string,arguments:string,result:string>>")
+    no_calls = F.lit(None).cast("array<struct<id:string,name:string,arguments:string>>")
+    told = F.transform(turns, lambda t: F.struct(t["turn_index"].alias("turn_index"), t["user"].alias("user"), t["assistant"].alias("assistant"), F.coalesce(t["tool_events"], no_events).alias("events")))
+    told = F.array_sort(told)
+    counts = F.transform(told, lambda t: F.size(t["events"]))
+    before = F.slice(F.aggregate(counts, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))), 1, F.size(told))
+
+    def message(role, content, called, call_id, name):
+        return F.struct(F.lit(role).alias("role"), content.alias("content"), called.alias("calls"), call_id.alias("tool_call_id"), name.alias("name"))
+
+    def said(t, n):
+        own = lambda e, i: F.coalesce(F.nullif(e["id"], F.lit("")), F.concat(F.lit("call_"), (n + i).cast("string")))
+        calls = F.transform(t["events"], lambda e, i: F.struct(own(e, i).alias("id"), e["name"].alias("name"), e["arguments"].alias("arguments")))
+        user, last = (F.array(message(role, t[role], no_calls, none, none)) for role in ("user", "assistant"))
+        used = F.filter(F.array(message("assistant", F.lit(""), calls, none, none)), lambda m: F.size(m["calls"]) > 0)
+        results = F.transform(t["events"], lambda e, i: message("tool", e["result"], no_calls, own(e, i), e["name"]))
+        kept = F.filter(F.concat(user, used, results, last), lambda m: m["calls"].isNotNull() | (F.coalesce(m["content"], F.lit("")) != ""))
+        names = ("role", "content", "calls", "tool_call_id", "name")
+        return F.transform(kept, lambda m, pos: F.struct(t["turn_index"].alias("turn_index"), pos.alias("pos"), *[m[c].alias(c) for c in names]))
+
+    out = F.array_sort(F.flatten(F.zip_with(told, before, said)))
+    return F.get(F.filter(F.array(out), lambda x: F.size(x) > 0), F.lit(0))
+
+
 def flatten_turns(conversations: DataFrame) -> DataFrame:
     """A row for each turn of a conversation's array, its structs opened one level: names joined by an underscore."""
     rows = conversations.select(*[c for c in conversations.columns if c != "turns"], F.explode("turns").alias("t"))

@@ -143,12 +143,12 @@ def written_messages(spark, d):
 
 
 def _fanned_out(spark, d):
-    """Two streams over halves of the conversations, a file at a time; the last batch of each comes twice."""
-    folder, rows = shared_folder(spark), written(done(spark, d), "done")
+    """Two streams over halves of the conversations, as many files at a time as there are cores; the last batch of each comes twice."""
+    folder, rows, cores = shared_folder(spark), written(done(spark, d), "done"), spark.sparkContext.defaultParallelism
     for run, rest in (("first", 0), ("second", 1)):
         part = rows.filter(F.pmod(F.xxhash64("conversation_id"), F.lit(2)) == rest)
-        part.repartition(2).write.parquet(f"{folder}/in/{run}")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/{run}")
+        part.repartition(2 * cores).write.parquet(f"{folder}/in/{run}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(f"{folder}/in/{run}")
         fan_out.fan_out(stream, f"{folder}/out", run, f"{folder}/at/{run}").trigger(availableNow=True).start().awaitTermination()
         fan_out.sink(f"{folder}/out", run)(part, 0)
     return f"{folder}/out"

@@ -13,6 +13,8 @@ from parlance.operators import records as R
 
 #: The tables that a conversation goes to.
 TABLES = ("synthetic_qa", "conversations", "conversations_index", "conversations_sft", "conversations_sft_judged", "turns")
+#: Bytes of a row group of the copy that the tables are written from: small, so that one file is read by several tasks.
+COPY_BLOCK = 8 << 20
 RUN_STATUSES = ("started", "resumed", "in_progress", "completed")
 
 
@@ -22,13 +24,9 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def with_messages(done: DataFrame) -> DataFrame:
-    """Adds ``messages``, the turns' user and assistant texts in order, ``messages_with_tools`` and ``artifact_turns``, their number."""
-    turns = done.select(F.col("conversation_id").alias("conv_id"), F.explode("turns").alias("t")).select("conv_id", "t.turn_index", "t.user", "t.assistant", "t.tool_events")
-    called = C.messages_with_tools(turns)
-    message = F.struct("turn_index", "pos", "role", "content", "calls", "tool_call_id", "name")
-    listed = called.groupBy(F.col("conv_id").alias("conversation_id")).agg(F.array_sort(F.collect_list(message)).alias("messages_with_tools"))
+    """Adds ``messages``, the turns' user and assistant texts in order, ``messages_with_tools`` and ``artifact_turns``, their number; all within the row."""
     none = F.array().cast("array<struct<role:string,content:string>>")
-    return done.join(listed, "conversation_id", "left").withColumn("messages", C.chat_messages(F.col("turns"), none)).withColumn("artifact_turns", F.coalesce("n_turns", F.size("turns")))
+    return done.withColumn("messages_with_tools", C.called_messages(F.col("turns"))).withColumn("messages", C.chat_messages(F.col("turns"), none)).withColumn("artifact_turns", F.coalesce("n_turns", F.size("turns")))
 
 
 def tables_of(rows: DataFrame, *, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -56,7 +54,7 @@ def write_conversations(done: DataFrame, folder: str, *, columns: dict[str, str]
     """
     spark, copy = done.sparkSession, f"{folder.rstrip('/')}/_batches/{uuid.uuid4().hex}"
     made = with_messages(done)
-    made.write.parquet(copy)
+    made.write.option("parquet.block.size", COPY_BLOCK).parquet(copy)
     for name, rows in tables_of(spark.read.schema(made.schema).parquet(copy), columns=columns).items():
         append_rows(rows, f"{folder.rstrip('/')}/{name}")
 

@@ -30,7 +30,7 @@ def sink(folder: str, run: str, *, columns: dict[str, str] | None = None) -> Cal
             return
         copy = f"{at}/_batches/run={run}/batch={number}"
         made = dataset.with_messages(batch)
-        made.write.mode("overwrite").parquet(copy)
+        made.write.mode("overwrite").option("parquet.block.size", dataset.COPY_BLOCK).parquet(copy)
         schemas = {}
         for name, rows in dataset.tables_of(batch.sparkSession.read.schema(made.schema).parquet(copy), columns=columns).items():
             rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{at}/{name}/run={run}/batch={number}")

@@ -103,3 +103,19 @@ def test_batch_that_fails_half_way_is_not_seen(spark, tmp_path, finished, monkey
     write(finished, 0)
     assert fan_out.table(spark, folder, "conversations").count() == finished.count()
     assert fan_out.table(spark, folder, "conversations_sft").columns == spark.read.json(f"{folder}/conversations_sft").select("messages", "messages_with_tools", "metadata", "user_reasoning", "assistant_reasoning").columns
+
+
+def test_messages_are_made_within_the_row(spark):
+    """Calls are numbered over the turns' order, what nobody said is null, two rows of one id stay apart, and no row moves."""
+    event = "struct<id:string,name:string,arguments:string,result:string>"
+    rows = [
+        ("x", [(2, "u2", None, [("", "n", "{}", "r"), ("g", "n", "{}", "")]), (1, "u1", "a1", [("", "m", "{}", "q")]), (3, "", "", None)], 1),
+        ("e", [], 2), ("n", None, 3), ("z", [(1, "", None, None)], 4), ("x", [(1, "again", "", None)], 5),
+    ]
+    done = spark.createDataFrame(rows, f"conversation_id string, turns array<struct<turn_index:int,user:string,assistant:string,tool_events:array<{event}>>>, n_turns int")
+    made = dataset.with_messages(done)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.n_turns: r.messages_with_tools and [(m.turn_index, m.pos, m.role, m.content, m.calls and [c.id for c in m.calls], m.tool_call_id) for m in r.messages_with_tools] for r in made.collect()}
+    first = [(1, 0, "user", "u1", None, None), (1, 1, "assistant", "", ["call_0"], None), (1, 2, "tool", "q", None, "call_0"), (1, 3, "assistant", "a1", None, None)]
+    second = [(2, 0, "user", "u2", None, None), (2, 1, "assistant", "", ["call_1", "g"], None), (2, 2, "tool", "r", None, "call_1")]
+    assert got == {1: first + second, 2: None, 3: None, 4: None, 5: [(1, 0, "user", "again", None, None)]}
