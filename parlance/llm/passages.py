@@ -40,14 +40,16 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(seeds):
         return seeds, np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(seeds % np.uint64(SAMPLED) == 0)
-    bounds = np.r_[-1, at, len(seeds)]
-    more = []
-    for gap in np.flatnonzero(np.diff(bounds) > WINDOW).tolist():
-        some = seeds[bounds[gap] + 1 : bounds[gap + 1]]
-        views = np.lib.stride_tricks.sliding_window_view(some, WINDOW)
-        more.append(bounds[gap] + 1 + views.argmin(axis=1) + np.arange(len(views)))
-    if more:
-        at = np.unique(np.concatenate([at, *more]))
+    bounds = np.concatenate([[-1], at, [len(seeds)]])
+    wide = np.diff(bounds) - WINDOW
+    gaps = np.flatnonzero(wide > 0)
+    if len(gaps):
+        # Where the windows in wide gaps begin, for all gaps at once.
+        windows = wide[gaps]
+        begin = np.repeat(bounds[gaps] + 1 - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        steps = np.arange(WINDOW)
+        some = np.split(begin, range(50_000, len(begin), 50_000))
+        at = np.unique(np.concatenate([at, *(x + seeds[x[:, None] + steps].argmin(axis=1) for x in some)]))
     elif not len(at):
         at = np.array([int(np.argmin(seeds))])
     found = seeds[at]
@@ -62,9 +64,12 @@ def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def turns(values: np.ndarray) -> np.ndarray:
     """How often each value has come before in the array."""
     order = np.argsort(values, kind="stable")
-    first = np.r_[True, values[order][1:] != values[order][:-1]]
-    out = np.empty(len(values), dtype=np.int64)
-    out[order] = np.arange(len(values)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    inorder = values[order]
+    out = np.zeros(len(values), dtype=np.int64)
+    same = inorder[1:] == inorder[:-1]
+    if same.any():
+        first = np.concatenate([[True], ~same])
+        out[order] = np.arange(len(values)) - np.flatnonzero(first)[np.cumsum(first) - 1]
     return out
 
 
@@ -123,46 +128,53 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
     if (step > 0).all() and (leap > 0).all() and (GAP * (step + leap) < SEED_WORDS).all():
         # All follow one another at less cost than they are worth: the best chain has them all.
         return [order] if len(order) > 1 else []
-    rank = np.unique(other, return_inverse=True)[1]
-    tree, n = Fenwick(int(rank.max()) + 1), len(pos)
-    score, before = np.zeros(n), np.full(n, -1)
+    ranks = np.unique(other, return_inverse=True)[1]
+    tree, n = Fenwick(int(ranks.max()) + 1), len(pos)
+    # Single items of lists are reached far sooner than those of arrays.
+    rank, at_, cost = ranks.tolist(), pos.tolist(), (GAP * (pos + other)).tolist()
+    score, before = [0.0] * n, [-1] * n
     k = 0
     while k < n:
         same = k
-        while same < n and pos[same] == pos[k]:
-            gain, prior = tree.most(int(rank[same]))
+        while same < n and at_[same] == at_[k]:
+            gain, prior = tree.most(rank[same])
             own = float(SEED_WORDS)
-            cost = GAP * (pos[same] + other[same])
-            if prior >= 0 and gain - cost > 0:
-                own += gain - cost
+            if prior >= 0 and gain - cost[same] > 0:
+                own += gain - cost[same]
                 before[same] = prior
             score[same] = own
             same += 1
         for j in range(k, same):
-            tree.put(int(rank[j]), (score[j] + GAP * (pos[j] + other[j]), j))
+            tree.put(rank[j], (score[j] + cost[j], j))
         k = same
-    used, out = np.zeros(n, dtype=bool), []
-    for end in np.argsort(-score, kind="stable"):
-        chain, at = [], int(end)
+    used, out = [False] * n, []
+    for end in np.argsort(-np.array(score), kind="stable").tolist():
+        chain, at = [], end
         while at >= 0 and not used[at]:
             used[at] = True
             chain.append(at)
-            at = int(before[at])
+            at = before[at]
+        if len(chain) < 2:
+            continue
         found = order[np.array(chain[::-1], dtype=np.int64)]
         # Passages don't go on over more than APART other words, so a gap never costs more than APART squared to align.
         wide = np.flatnonzero(np.maximum(np.diff(where[0][found]), np.diff(where[1][found])) > APART + SEED_WORDS) + 1
-        out += [part for part in np.split(found, wide) if len(part) > 1]
+        out += [part for part in np.split(found, wide) if len(part) > 1] if len(wide) else [found]
     return out
 
 
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence of two short runs."""
-    row = [0] * (len(b) + 1)
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    # A bit for each word of b, cleared where the length grows: one sum for each word of a.
+    whole = (1 << len(b)) - 1
+    row = whole
     for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
 
 
 def draw(a: list[int], b: list[int]) -> tuple[int, int]:
@@ -281,7 +293,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            h, t, pos = [], [], []
+            h, t, pos, n = [], [], [], 0
             for key, text in zip(batch["t"].tolist(), batch["text"]):
                 if key in seen:
                     continue
@@ -293,9 +305,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 h.append(np.append(found.view(np.int64), key))
                 pos.append(np.append(at, -len(values)))
                 t.append(np.full(len(at) + 1, key))
-                if sum(map(len, h)) > 500_000:
+                n += len(at) + 1
+                if n > 500_000:
                     yield pd.DataFrame({"h": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
-                    h, t, pos = [], [], []
+                    h, t, pos, n = [], [], [], 0
             if h:
                 yield pd.DataFrame({"h": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
 

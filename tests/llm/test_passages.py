@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from parlance.llm import passages
@@ -56,3 +57,29 @@ def test_exact_passages_are_never_lost(spark, length):
             docs.append((len(docs), " ".join(prose(rng, rng.randint(0, 60)) + part + prose(rng, rng.randint(0, 60)))))
     found = {r.doc_id for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert {i for i, _ in docs if i % 4 < 2} <= found
+
+
+def test_helpers_equal_plain_loops():
+    """Seeds by windows, turns and common words against loops over the same values."""
+    rng = random.Random(4)
+    for _ in range(60):
+        values = np.array([rng.randrange(1 + rng.randrange(200)) for _ in range(rng.randrange(300))], dtype=np.uint64)
+        seeds = passages.grams(values, passages.SEED_WORDS).tolist()
+        kept = {k for k, x in enumerate(seeds) if x % passages.SAMPLED == 0}
+        for k in range(len(seeds) - passages.WINDOW + 1):
+            some = seeds[k : k + passages.WINDOW]
+            if all(x % passages.SAMPLED for x in some):
+                kept.add(k + some.index(min(some)))
+        if seeds and not kept:
+            kept = {seeds.index(min(seeds))}
+        assert set(passages.minimizers(values)[1].tolist()) == kept
+        listed = values.tolist()
+        assert passages.turns(values).tolist() == [listed[:k].count(x) for k, x in enumerate(listed)]
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(40))] for _ in range(2))
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+            rows.append(row)
+        assert passages.common_words(a, b) == rows[-1][-1]
