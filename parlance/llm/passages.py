@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bitmap, matching, save, small, spread
-from .shingles import WordHashes, grams, hashed, mix, words_of
+from .shingles import BASE, INVERSE, KnownWords, grams, hashed_texts, mix
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
 #: of each window of WINDOW seeds without such a one the least is kept.
@@ -30,35 +32,49 @@ MARGIN = 2
 MISMATCH, DROP = 1, 8
 
 
-def minimizers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds that are kept: the sampled ones, and the least in windows that have none; one at least.
+def minimizers(values: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and texts of the seeds that are kept: the sampled ones, and the least in windows that have none; one at least.
 
-    A seed that comes again in the text is given again with its number of occurrence in the hash, so that stretches
-    which repeat a word or a line chain with others of their kind.
+    ``bounds`` says where the words of each text begin and end, if there are several. A seed that comes again in its text
+    is given again with its number of occurrence in the hash, so that stretches which repeat a word or a line chain with
+    others of their kind.
     """
+    bounds = np.array([0, len(values)]) if bounds is None else bounds
     seeds = grams(values, SEED_WORDS)
-    if not len(seeds):
-        return seeds, np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(seeds % np.uint64(SAMPLED) == 0)
-    bounds = np.concatenate([[-1], at, [len(seeds)]])
-    wide = np.diff(bounds) - WINDOW
+    begin, end = bounds[:-1], bounds[1:] - SEED_WORDS + 1
+    text = np.flatnonzero(end > begin)
+    begin, end = begin[text], end[text]
+    if not len(text):
+        return seeds[:0], text, text
+    depth = np.zeros(len(seeds) + 1, dtype=np.int8)
+    depth[begin] += 1
+    depth[end] -= 1
+    inside = np.cumsum(depth, dtype=np.int8)[:-1] > 0  # others reach over into the next text
+    at = np.flatnonzero(inside & (seeds % np.uint64(SAMPLED) == 0))
+    edges = np.sort(np.concatenate([begin - 1, at, end]))
+    wide = np.diff(edges) - WINDOW
     gaps = np.flatnonzero(wide > 0)
+    gaps = gaps[inside[edges[gaps] + 1]]
+    kept = [at]
     if len(gaps):
         # Where the windows in wide gaps begin, for all gaps at once.
         windows = wide[gaps]
-        begin = np.repeat(bounds[gaps] + 1 - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        first = np.repeat(edges[gaps] + 1 - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
         steps = np.arange(WINDOW)
-        some = np.split(begin, range(50_000, len(begin), 50_000))
-        at = np.unique(np.concatenate([at, *(x + seeds[x[:, None] + steps].argmin(axis=1) for x in some)]))
-    elif not len(at):
-        at = np.array([int(np.argmin(seeds))])
+        kept += [x + seeds[x[:, None] + steps].argmin(axis=1) for x in np.split(first, range(50_000, len(first), 50_000))]
+    # Texts of few seeds, none of them sampled.
+    few = np.flatnonzero((np.searchsorted(at, begin) == np.searchsorted(at, end)) & (end - begin < WINDOW))
+    kept += [np.array([int(b + np.argmin(seeds[b:e])) for b, e in zip(begin[few].tolist(), end[few].tolist())], dtype=np.int64)]
+    at = np.unique(np.concatenate(kept))
     found = seeds[at]
-    turn = turns(found)
+    whose = text[np.searchsorted(begin, at, side="right") - 1]
+    turn = turns(found ^ mix(whose.astype(np.uint64)))
     again = turn > 0
+    at = at - bounds[whose]
     if again.any():
         found = np.concatenate([found, mix(found[again] ^ mix(turn[again].astype(np.uint64)))])
-        at = np.concatenate([at, at[again]])
-    return found, at
+        at, whose = (np.concatenate([x, x[again]]) for x in (at, whose))
+    return found, at, whose
 
 
 def turns(values: np.ndarray) -> np.ndarray:
@@ -73,11 +89,6 @@ def turns(values: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Odd numbers, inverse to each other modulo 2^64: bases of the hashes of long runs.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
 def long_grams(values: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` values, in order, at a cost that doesn't grow with the width."""
     n = len(values) - width + 1
@@ -163,6 +174,25 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def chains_of(start: np.ndarray, end: np.ndarray, pos: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of many groups of matches, each a stretch of the arguments: the matches of all chains in turn, and each chain's number of them and group."""
+    size = end - start
+    step, leap = np.diff(pos), np.diff(other)
+    broken = np.concatenate([[0], np.cumsum(~((step > 0) & (leap > 0) & (GAP * (step + leap) < SEED_WORDS)))])
+    # Groups whose matches all follow one another are chains as they are.
+    plain = (size > 1) & (broken[np.maximum(start, end - 1)] == broken[start])
+    of = np.flatnonzero(plain)
+    width = size[of]
+    out = [np.repeat(start[of] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))]
+    more: list[tuple[int, int]] = []
+    for k in np.flatnonzero(~plain & (size > 1)).tolist():
+        for chain in chains(pos[start[k] : end[k]], other[start[k] : end[k]]):
+            out.append(start[k] + chain)
+            more.append((len(chain), k))
+    rest = np.array(more, dtype=np.int64).reshape(-1, 2)
+    return np.concatenate(out), np.concatenate([width, rest[:, 0]]), np.concatenate([of, rest[:, 1]])
+
+
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence of two short runs."""
     places: dict[int, int] = {}
@@ -227,51 +257,58 @@ def align(a: list[int], b: list[int], pos: list[int], other: list[int]) -> tuple
     return i - left[0], end_i + right[0], j - left[1], end_j + right[1], matched + left[2] + right[2]
 
 
-def seams(own: int, h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, and places of both seeds, of the pairs of neighbouring shared seeds that no one least text explains.
+def seams(text: np.ndarray, own: np.ndarray, h: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, own texts and places of both seeds, of the pairs of neighbouring shared seeds that no one least text explains.
 
     Such a pair lies where one shared stretch ends and the next begins. A pair that matches with one text lead over is
-    not given: the passage is found in that text. ``pos`` must rise; a seed given twice makes pairs in either form.
+    not given: the passage is found in that text. ``text`` numbers the texts and must rise, and ``pos`` within each; a
+    seed given twice makes pairs in either form.
     """
-    open_ = bridged(own, of, pos, of_pos)
-    first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+    new = np.r_[True, (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])]
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(pos)] - 1
+    open_ = ~bridged(text, own, of, pos, of_pos, np.cumsum(new) - 1)[:-1] & (text[first[:-1]] == text[first[1:]]) & (np.diff(pos[first]) <= NEAR)
+    twice = last != first
     out = []
-    for x in (first, last):
-        for y in (first, last):
-            a, b = x[:-1], y[1:]
+    for x, either in ((first, open_), (last, open_ & twice[:-1])):
+        for y, both in ((first, either), (last, either & twice[1:])):
+            a, b = x[:-1][both], y[1:][both]
             step = of_pos[b] - of_pos[a]
-            ok = (pos[b] - pos[a] <= NEAR) & ((of[a] != of[b]) | (step <= 0) | (step > NEAR)) & (open_[pos[b]] > open_[pos[a]])
-            out.append((mix(h[a[ok]] ^ mix(h[b[ok]])).view(np.int64), pos[a[ok]], pos[b[ok]]))
-        if len(first) == len(pos):
-            break
-    return tuple(np.concatenate(x) for x in zip(*(out[:1] if len(first) == len(pos) else out)))
+            ok = (of[a] != of[b]) | (step <= 0) | (step > NEAR)
+            a, b = a[ok], b[ok]
+            out.append((mix(h[a] ^ mix(h[b])).view(np.int64), own[a], pos[a], pos[b]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def bridged(own: int, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray) -> np.ndarray:
-    """Of the words from the first to the last match, how many up to each lie between no two matches with one other text than ``own``.
+def bridged(text: np.ndarray, own: np.ndarray, of: np.ndarray, pos: np.ndarray, of_pos: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each place of matches, whether what follows up to the next one lies between two matches with one other text than its own.
 
     Such matches follow each other at nearly one distance, near enough for their chain to lead over what is between.
+    ``place`` numbers the places in order.
     """
-    order = np.lexsort((pos, of))
-    of, at, apart = of[order], pos[order], (pos - of_pos)[order]
-    near = (of[1:] == of[:-1]) & (of[1:] != own) & (np.diff(at) <= 2 * NEAR) & (np.abs(np.diff(apart)) <= SEED_WORDS)
-    depth = np.zeros(int(pos.max()) + 2, dtype=np.int64)
-    np.add.at(depth, at[:-1][near], 1)
-    np.add.at(depth, at[1:][near], -1)
-    return np.concatenate([[0], np.cumsum(np.cumsum(depth) == 0)])
+    order = np.lexsort((of, text))
+    i, of, at, apart, place = text[order], of[order], pos[order], (pos - of_pos)[order], place[order]
+    near = (i[1:] == i[:-1]) & (of[1:] == of[:-1]) & (of[1:] != own[order][1:]) & (np.diff(at) <= 2 * NEAR) & (np.abs(np.diff(apart)) <= SEED_WORDS)
+    n = int(place.max()) + 1
+    return np.cumsum(np.bincount(place[:-1][near], minlength=n) - np.bincount(place[1:][near], minlength=n)) > 0
 
 
-def stretches(pos: np.ndarray, passage: int) -> list[tuple[int, int]]:
-    """Words, from and to, outside of which no exact passage can lie that another text has.
+def stretches(text: np.ndarray, pos: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of matches that begin a stretch, and words, from and to, outside of which no exact passage can lie that another text has.
 
     A passage's own minimizers are shared and at most WINDOW apart; they leave WINDOW - 1 words at most before the first
     and behind the last seed.
     """
-    cut = np.flatnonzero(np.diff(pos) > WINDOW) + 1
-    runs = zip(pos[np.r_[0, cut]].tolist(), pos[np.r_[cut, len(pos)] - 1].tolist())
-    spans = [(max(0, a - WINDOW + 1), b + SEED_WORDS + WINDOW - 1) for a, b in runs]
-    return [(a, b) for a, b in spans if b - a >= passage]
+    start = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (np.diff(pos) > WINDOW)])
+    end = np.r_[start[1:], len(pos)] - 1
+    a, b = np.maximum(0, pos[start] - WINDOW + 1), pos[end] + SEED_WORDS + WINDOW - 1
+    long = b - a >= passage
+    return start[long], a[long], b[long]
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of ints that follow one another in ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, identity: float = IDENTITY) -> DataFrame:
@@ -291,26 +328,21 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen = WordHashes(), set()
+        known, seen = KnownWords(), set()
         for batch in batches:
-            h, t, pos, n = [], [], [], 0
-            for key, text in zip(batch["t"].tolist(), batch["text"]):
+            fresh = []
+            for k, key in enumerate(batch["t"].tolist()):
                 if key in seen:
                     continue
                 if len(seen) > 500_000:  # forgetting only means that a copy is seen again
                     seen.clear()
                 seen.add(key)
-                values = hashed(words_of(text), hashes)
-                found, at = minimizers(values)
-                h.append(np.append(found.view(np.int64), key))
-                pos.append(np.append(at, -len(values)))
-                t.append(np.full(len(at) + 1, key))
-                n += len(at) + 1
-                if n > 500_000:
-                    yield pd.DataFrame({"h": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
-                    h, t, pos, n = [], [], [], 0
-            if h:
-                yield pd.DataFrame({"h": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
+                fresh.append(k)
+            keys = batch["t"].to_numpy()[fresh]
+            for first, values, bounds in hashed_texts(batch["text"].iloc[fresh].tolist(), known):
+                own = keys[first : first + len(bounds) - 1]
+                h, at, whose = minimizers(values, bounds)
+                yield pd.DataFrame({"h": np.concatenate([h.view(np.int64), own]), "t": np.concatenate([own[whose], own]), "pos": np.concatenate([at, -np.diff(bounds)])})
 
     # A text's row with place -n, under a hash of its own, says that it has n words.
     places = rows.select("t", "text").mapInPandas(seeds, "h long, t long, pos int")
@@ -349,30 +381,36 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     matches = held_by.filter("pos >= 0").groupBy("t").agg(F.collect_set(F.struct("pos", "h", "of", "of_pos")).alias("m")).filter(F.size("m") > 1)
     matches = matches.select("t", *[F.col(f"m.{c}").alias(c) for c in ("pos", "h", "of", "of_pos")])
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, pos, h, of, of_pos in zip(batch["t"].tolist(), batch["pos"], batch["h"], batch["of"], batch["of_pos"]):
-                order = np.lexsort((h, pos))
-                pos, h, of, of_pos = pos[order].astype(np.int64), h[order], of[order], of_pos[order].astype(np.int64)
-                out += [("run", t, 0, [a, b], []) for a, b in stretches(pos, passage)]
-                out += [("pair", t, k, [x, y], []) for k, x, y in zip(*(v.tolist() for v in seams(t, h.view(np.uint64), of, pos, of_pos)))]
-                group = np.argsort(of, kind="stable")
-                start = np.flatnonzero(np.r_[True, np.diff(of[group]) != 0])
-                end = np.r_[start[1:], len(group)]
-                # A chain needs two matches that are far enough apart.
-                far = pos[group[end - 1]] - pos[group[start]] >= max(1, REACH - SEED_WORDS)
-                for x, y in zip(start[far].tolist(), end[far].tolist()):
-                    part = group[x:y]
-                    if of[part[0]] == t:
-                        continue
-                    p, o = pos[part], of_pos[part]
-                    for chain in chains(p, o):
-                        if p[chain[-1]] + SEED_WORDS - p[chain[0]] >= REACH:
-                            out.append(("chain", t, int(of[part[0]]), p[chain].tolist(), o[chain].tolist()))
-            yield pd.DataFrame(out, columns=["what", "t", "of", "pos", "of_pos"])
-
-    links = save(matches.mapInPandas(linked, "what string, t long, of long, pos array<int>, of_pos array<int>"), "chains")
+            if not batch.num_rows:
+                continue
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["pos"]).to_numpy(zero_copy_only=False))
+            pos, h, of, of_pos = (batch[c].flatten().to_numpy().astype(np.int64) for c in ("pos", "h", "of", "of_pos"))
+            order = np.lexsort((h, pos, text))
+            text, pos, h, of, of_pos = (x[order] for x in (text, pos, h, of, of_pos))
+            own = batch["t"].to_numpy()[text]
+            at, a, b = stretches(text, pos, passage)
+            yield linked_rows("run", own[at], np.zeros_like(at), np.c_[a, b].ravel(), np.full(len(at), 2))
+            key, t, a, b = seams(text, own, h.view(np.uint64), of, pos, of_pos)
+            yield linked_rows("pair", t, key, np.c_[a, b].ravel(), np.full(len(key), 2))
+            group = np.lexsort((of, text))
+            text, own, of, pos, of_pos = (x[group] for x in (text, own, of, pos, of_pos))
+            start = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (of[1:] != of[:-1])])
+            end = np.r_[start[1:], len(group)]
+            # A chain needs two matches that are far enough apart.
+            far = (pos[end - 1] - pos[start] >= max(1, REACH - SEED_WORDS)) & (of[start] != own[start])
+            chained, sizes, k = chains_of(start[far], end[far], pos, of_pos)
+            p, o, ends = pos[chained], of_pos[chained], np.cumsum(sizes)
+            wide = p[ends - 1] + SEED_WORDS - p[ends - sizes] >= REACH
+            inside, k = np.repeat(wide, sizes), start[far][k[wide]]
+            yield linked_rows("chain", own[k], of[k], p[inside], sizes[wide], o[inside])
+
+    def linked_rows(what: str, t: np.ndarray, of: np.ndarray, pos: np.ndarray, sizes: np.ndarray, of_pos: np.ndarray | None = None) -> pa.RecordBatch:
+        others = lists(pos[:0], np.zeros_like(sizes)) if of_pos is None else lists(of_pos, sizes)
+        return pa.RecordBatch.from_arrays([pa.array([what]).take(pa.array(np.zeros_like(sizes))), pa.array(t), pa.array(of), lists(pos, sizes), others], ["what", "t", "of", "pos", "of_pos"])
+
+    links = save(matches.mapInArrow(linked, "what string, t long, of long, pos array<int>, of_pos array<int>"), "chains")
     found = links.filter("what = 'chain'").select("t", "of", "pos", "of_pos")
 
     def hubs(keyed: DataFrame) -> DataFrame:
@@ -381,17 +419,24 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         both = keyed.join(first.select("key", F.col("first.t").alias("of"), F.col("first.pos").alias("of_pos")), "key").filter("t <> of")
         return both.groupBy("t", "of").agg(F.collect_set(F.struct("pos", "of_pos")).alias("m"))
 
-    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, of, m in zip(batch["t"], batch["of"], batch["m"]):
-                both = sorted({(p, o) for x in m for p, o in zip(x["pos"], x["of_pos"])})
-                pos, other = np.array([p for p, _ in both]), np.array([o for _, o in both])
-                out += [(t, of, pos[c].tolist(), other[c].tolist()) for c in chains(pos, other)]
-            yield pd.DataFrame(out, columns=["t", "of", "pos", "of_pos"])
+            if not batch.num_rows:
+                continue
+            group = np.repeat(np.arange(batch.num_rows), 2 * pc.list_value_length(batch["m"]).to_numpy(zero_copy_only=False))
+            # Each match has two places in either text; no place twice.
+            pos, other = (pc.struct_field(batch["m"].flatten(), c).flatten().to_numpy().astype(np.int64) for c in ("pos", "of_pos"))
+            order = np.lexsort((other, pos, group))
+            group, pos, other = (x[order] for x in (group, pos, other))
+            new = np.r_[True, (group[1:] != group[:-1]) | (pos[1:] != pos[:-1]) | (other[1:] != other[:-1])]
+            group, pos, other = group[new], pos[new], other[new]
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            chained, sizes, k = chains_of(start, np.r_[start[1:], len(group)], pos, other)
+            k = group[start[k]]
+            yield pa.RecordBatch.from_arrays([batch["t"].take(pa.array(k)), batch["of"].take(pa.array(k)), lists(pos[chained], sizes), lists(other[chained], sizes)], ["t", "of", "pos", "of_pos"])
 
     chain_columns = "t long, of long, pos array<int>, of_pos array<int>"
-    pairs = save(hubs(links.filter("what = 'pair'").select(F.col("of").alias("key"), "t", "pos")).mapInPandas(paired, chain_columns), "pairs")
+    pairs = save(hubs(links.filter("what = 'pair'").select(F.col("of").alias("key"), "t", "pos")).mapInArrow(paired, chain_columns), "pairs")
     spanned = found.groupBy("t", "of").agg(F.collect_list(F.struct(F.element_at("pos", 1).alias("a"), F.element_at("pos", -1).alias("b"))).alias("spans"))
     inside = F.exists("spans", lambda x: (x["a"] <= F.element_at("pos", 1)) & (x["b"] >= F.element_at("pos", -1)))
     pairs = pairs.join(spanned, ["t", "of"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
@@ -403,14 +448,16 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Of copies the row of least id is read.
     wanted = save(wanted.join(texts, "t").select(F.col("t").alias("want"), F.col("least_id").alias("want_id")), "wanted")
 
-    def hashes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownWords()
         for batch in batches:
-            # Half a hash tells words apart well enough, beside a seed or fifty in a row.
-            yield pd.DataFrame({"t": batch["t"], "words": [(hashed(words_of(x), hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch["text"]]})
+            for first, values, bounds in hashed_texts(batch["text"].to_pylist(), known):
+                # Half a hash tells words apart well enough, beside a seed or fifty in a row.
+                words = lists((values >> np.uint64(32)).astype(np.uint32).view(np.int32), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([batch["t"].slice(first, len(words)), words], ["t", "words"])
 
     own = (F.col("t") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id"))
-    words = save(matching(rows, "t", wanted, "want", own).select("t", "text").mapInPandas(hashes_of, "t long, words array<int>"), "words")
+    words = save(matching(rows, "t", wanted, "want", own).select("t", "text").mapInArrow(hashes_of, "t long, words array<int>"), "words")
     if words.groupBy("t").count().filter("count > 1").limit(1).count():  # rows alike in id and text
         words = save(words.dropDuplicates(["t"]), "words_once")
 
