@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, matching, save, small, spread
+from .common import bitmap, matching, save, spread
 from .shingles import BASE, INVERSE, KnownWords, grams, hashed_texts, mix
 
 #: Words of a seed. A seed whose hash is a multiple of SAMPLED is kept wherever it stands, so edits beside it don't matter;
@@ -473,14 +473,18 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((t, of, int(pos[a]), int(pos[b]) + passage, int(other[a]), int(other[b]) + passage, int(pos[b]) - int(pos[a]) + passage))
             yield pd.DataFrame(out, columns=["t", "of", "start_word", "end_word", "of_start", "of_end", "matched"])
 
+    def those(wanted: DataFrame, name: str) -> DataFrame:
+        """The words of the texts that ``want`` names, with what else is given of each; others' stay where they are."""
+        return matching(words, "t", save(wanted, name), "want", F.col("t") == F.col("want")).drop("want")
+
     # Of either text only the stretch about the chain goes on.
     def about(chained: DataFrame, reach: int) -> DataFrame:
-        needed = small(save(chained.select(F.explode(F.array("t", "of")).alias("t")).distinct(), "needed"))
-        held = words.join(needed, "t", "left_semi")
+        # Either side reads only the texts that it needs; those that others lead to are far fewer.
+        own, other = (those(chained.select(F.col(c).alias("want")).distinct(), f"needed_{c}") for c in ("t", "of"))
         cut = lambda w, p: F.slice(w, F.greatest(F.lit(1), F.element_at(p, 1) + 1 - reach), F.element_at(p, -1) - F.greatest(F.lit(0), F.element_at(p, 1) - reach) + SEED_WORDS + reach)
         start = lambda p: F.greatest(F.lit(0), F.element_at(p, 1) - reach)
-        near = chained.join(held, "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
-        near = near.join(held.withColumnRenamed("t", "of"), "of")
+        near = chained.join(own, "t").select("t", "of", "pos", "of_pos", cut(F.col("words"), "pos").alias("a"), start("pos").alias("a0"), F.size("words").alias("a_all"))
+        near = near.join(other.withColumnRenamed("t", "of"), "of")
         return near.select("t", "of", "pos", "of_pos", "a", "a0", "a_all", cut(F.col("words"), "of_pos").alias("b"), start("of_pos").alias("b0"), F.size("words").alias("b_all"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -523,15 +527,16 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         """Windows of a text's stretches that no passage found so far holds whole (open), and the others that ``listed`` may have."""
         for batch in batches:
             h, t, pos = [], [], []
-            for key, values, runs, held in zip(batch["t"].tolist(), batch["words"], batch["runs"], batch["held"]):
-                closed = np.zeros(len(values) + 1, dtype=np.int64)
+            for key, lo, values, runs, held in zip(batch["t"].tolist(), batch["lo"].tolist(), batch["words"], batch["runs"], batch["held"]):
+                n = lo + len(values)
+                closed = np.zeros(n + 1, dtype=np.int64)
                 for x in held if held is not None else ():
                     if x["end_word"] - x["start_word"] >= passage:
-                        closed[x["start_word"]] += 1
-                        closed[x["end_word"] - passage + 1] -= 1
+                        closed[min(x["start_word"], n)] += 1
+                        closed[min(x["end_word"] - passage + 1, n)] -= 1
                 inside = np.cumsum(closed) > 0
                 for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                    keys = long_grams(values[a:b].view(np.uint32).astype(np.uint64), passage)
+                    keys = long_grams(values[a - lo : b - lo].view(np.uint32).astype(np.uint64), passage)
                     # A window that comes again in a stretch is told by its number, so that its places don't multiply.
                     turn = turns(keys)
                     keys = np.where(turn > 0, mix(keys ^ mix(turn.astype(np.uint64))), keys).view(np.int64)
@@ -544,7 +549,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pd.DataFrame({"key": np.concatenate(h), "t": np.concatenate(t), "pos": np.concatenate(pos)})
 
     # Windows of ``passage`` words that lie in no passage yet may still be shared: with each other, or with one that does.
-    stretched = save(words.join(runs, "t").join(held, "t", "left"), "stretched")
+    # Of a text only what lies from its first stretch to its last goes on.
+    outer = those(runs.select(F.col("t").alias("want"), F.array_min("runs").alias("lo"), F.array_max("runs").alias("hi")), "outer")
+    outer = outer.select("t", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
+    stretched = save(outer.join(runs, "t").join(held, "t", "left"), "stretched")
     listed = None
     open_ = save(stretched.mapInPandas(exact, "key long, t long, pos int"), "open")
     listed = bitmap(open_, "key")
